@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import minhash, warc
 from .bpe import op4_bpe
 from .decontaminate import op3_decontaminate
+from .minhash import op8_minhash
 from .sharding import op9_sharding
+from .warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_bpe, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_bpe, op7_warc, op8_minhash, op9_sharding)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE}
