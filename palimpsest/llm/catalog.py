@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import minhash, warc
+from . import minhash, vectors, warc
 from .bpe import op4_bpe
 from .decontaminate import op3_decontaminate
+from .langid import op1_langid
 from .minhash import op8_minhash
+from .quality import op5_quality
 from .sharding import op9_sharding
+from .suffixes import op6_suffixes
+from .vectors import op10_vectors
 from .warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_bpe, op7_warc, op8_minhash, op9_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_langid, op3_decontaminate, op4_bpe, op5_quality, op6_suffixes, op7_warc, op8_minhash, op9_sharding, op10_vectors,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op10_vectors": vectors.ORACLE}
