@@ -7,9 +7,10 @@ more are linked; components of links are the duplicate groups.
 128 universal hash minima per document, cut into 32 bands of four, bring similar documents into common buckets: a
 pair at exactly 0.75 shares none with probability (1 - 0.75**4)**32, about 5e-6. A bucket's members are not all
 paired with each other: each is paired with the bucket's smallest and with its neighbour. Signatures verify those
-pairs, and full sets confirm them. Buckets whose members then still lie in several components are searched once more,
-in blocks of bounded size, for pairs across components whose signatures agree, and full sets confirm those too; so no
-link between groups is lost to the choice of leaders.
+pairs, and full sets confirm them. Buckets whose members then still lie in several components are searched again, in
+blocks of bounded size, for pairs across components whose signatures agree: first the best pair of each component, which
+joins nearly all that belong together, then every pair that is left. Full sets confirm those too; so no link between
+groups is lost to the choice of leaders.
 
 Defined cases: documents without text or words have empty sets, are linked with nothing and are kept. Rows
 without a doc_id have no component and are kept. Rows that share a doc_id are one document that has the links of
@@ -238,25 +239,28 @@ def _set(text: str) -> np.ndarray:
 
 #: Members of a bucket compared at once when a bucket lies in several components.
 BLOCK = 1024
-MEMBER = "key long, doc_id long, component long, signature binary"
 
 
-def _members(sigs: DataFrame, candidates_: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that share a bucket with another, one per set, with their component so far."""
+def _members(sigs: DataFrame, candidates_: DataFrame) -> DataFrame:
+    """(doc_id, signature): documents that share a bucket with another, one per set."""
     ids = candidates_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    one = (
+    return (
         sigs.where("n_shingles > 0 and doc_id is not null")
         .join(ids, "doc_id", "left_semi")
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+        .select("doc_id", "signature")
     )
-    return one.join(labels, F.col("doc_id") == F.col("node"), "left").select(
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component"), "signature"
     )
 
 
-def across(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket and different components whose signatures agree.
+def across(members: DataFrame, best: bool = False) -> DataFrame:
+    """(a, b): pairs of one bucket and different components whose signatures agree; best: only the best of each component.
 
     A bucket is cut into blocks, and each pair of blocks is a cell that one task compares at a time.
     """
@@ -290,12 +294,24 @@ def across(members: DataFrame) -> DataFrame:
         mine = part.column("mine").to_numpy()
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        top: dict[int, tuple[int, int, int]] = {}
         for r in rows.tolist():
             far = cols[comp[cols] != comp[r]]
             far = far[ids[far] > ids[r]] if i == j else far
-            if len(far):
-                far = far[(sig[far] == sig[r]).sum(axis=1) >= AGREE]
+            if not len(far):
+                continue
+            agree = (sig[far] == sig[r]).sum(axis=1)
+            if not best:
+                far = far[agree >= AGREE]
                 yield np.minimum(ids[far], ids[r]), np.maximum(ids[far], ids[r])
+                continue
+            for k in np.flatnonzero(agree >= AGREE).tolist():
+                for c in (comp[r], comp[far[k]]):
+                    if agree[k] > top.get(c, (0,))[0]:
+                        top[c] = (agree[k], ids[r], ids[far[k]])
+        if top:
+            pairs = np.array([t[1:] for t in top.values()], np.int64)
+            yield pairs.min(axis=1), pairs.max(axis=1)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -331,12 +347,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(
         similar(agreeing(unequal, sigs), docs).select("a", "b").unionByName(found.where("same").select("a", "b")), "links"
     )
-    labels = components(links)
-    more = across(materialize(_members(sigs, found, labels), "members")).join(unequal, ["a", "b"], "left_anti")
-    new = materialize(similar(more, docs).select("a", "b"), "links")
-    if not new.isEmpty():
-        hung = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(hung.unionByName(new))
+    labels, tested = components(links), unequal
+    alone = materialize(_members(sigs, found), "members")
+    for best in (True, False):
+        more = materialize(across(_labelled(alone, labels), best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = materialize(similar(more, docs).select("a", "b"), "links")
+        if not new.isEmpty():
+            hung = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(hung.unionByName(new))
+        tested = tested.unionByName(more)
     return (
         sigs.select("doc_id", "n_shingles")
         .join(labels, F.col("doc_id") == F.col("node"), "left")
