@@ -237,106 +237,163 @@ def _set(text: str) -> np.ndarray:
     return next(shingle_sets(body, np.array([0, len(body)])))
 
 
-#: Members of a bucket compared at once when a bucket lies in several components.
-BLOCK = 1024
+#: Members of a bucket, and shingles of their sets, in a block: what is compared at once when a bucket lies in several components.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+CELL = ["key", "i", "j"]
 
 
 def _members(sigs: DataFrame, candidates_: DataFrame) -> DataFrame:
-    """(doc_id, signature): documents that share a bucket with another, one per set."""
+    """(doc_id, n_shingles, signature): documents that share a bucket with another, one per set."""
     ids = candidates_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return (
         sigs.where("n_shingles > 0 and doc_id is not null")
         .join(ids, "doc_id", "left_semi")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-        .select("doc_id", "signature")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .select("doc_id", "n_shingles", "signature")
     )
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("component"), "signature"
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "signature"
     )
 
 
-def across(members: DataFrame, best: bool = False) -> DataFrame:
-    """(a, b): pairs of one bucket and different components whose signatures agree; best: only the best of each component.
+def _by_cell(compare):
+    """A map over rows sorted by cell that hands over one cell at a time."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(c).to_numpy() for c in CELL], axis=1)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(cell[lo]) != key:
+                    yield from compare(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = tuple(cell[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    return run
 
-    A bucket is cut into blocks, and each pair of blocks is a cell that one task compares at a time.
-    """
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in several components, in cells: a bucket is cut into blocks, and two blocks make a cell."""
 
     def keyed(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(_stack(batch.column("signature"))).view(np.int64).ravel()
                 owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(owner) for c in ("doc_id", "component"))], ["key", "doc_id", "component"])
+                names = ["doc_id", "component", "n_shingles"]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(owner) for c in names)], ["key", *names])
 
-    placed = members.select("doc_id", "component", "signature").mapInArrow(keyed, "key long, doc_id long, component long")
+    placed = members.select("doc_id", "component", "n_shingles", "signature").mapInArrow(keyed, "key long, doc_id long, component long, n_shingles long")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_keys = (
         placed.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi and n > 2")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("key", blocks.alias("blocks"))
     )
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = (
+    return (
         placed.join(open_keys, "key")
-        .withColumn("mine", mine)
+        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
         .join(members.select("doc_id", "signature"), "doc_id")
+        .repartition(*CELL)
+        .sortWithinPartitions(*CELL)
     )
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _apart(part: pa.Table):
+    """For each row of the cell's first block: its place and the places in the second block it is to be compared with."""
+    comp, ids, mine = (part.column(c).to_numpy() for c in ("component", "doc_id", "mine"))
+    i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+    cols = np.flatnonzero(mine == j)
+    for r in np.flatnonzero(mine == i).tolist():
+        far = cols[comp[cols] != comp[r]]
+        far = far[ids[far] > ids[r]] if i == j else far
+        if len(far):
+            yield r, far
+
+
+def best_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): of each component, its best agreeing pair with another component in each cell."""
 
     def compare(part: pa.Table):
         sig, comp, ids = _stack(part.column("signature")), part.column("component").to_numpy(), part.column("doc_id").to_numpy()
-        mine = part.column("mine").to_numpy()
-        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         top: dict[int, tuple[int, int, int]] = {}
-        for r in rows.tolist():
-            far = cols[comp[cols] != comp[r]]
-            far = far[ids[far] > ids[r]] if i == j else far
-            if not len(far):
-                continue
+        for r, far in _apart(part):
             agree = (sig[far] == sig[r]).sum(axis=1)
-            if not best:
-                far = far[agree >= AGREE]
-                yield np.minimum(ids[far], ids[r]), np.maximum(ids[far], ids[r])
-                continue
             for k in np.flatnonzero(agree >= AGREE).tolist():
                 for c in (comp[r], comp[far[k]]):
                     if agree[k] > top.get(c, (0,))[0]:
                         top[c] = (agree[k], ids[r], ids[far[k]])
         if top:
             pairs = np.array([t[1:] for t in top.values()], np.int64)
-            yield pairs.min(axis=1), pairs.max(axis=1)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    return _cells(members).mapInArrow(_by_cell(compare), "a long, b long").distinct()
 
-        def flush():
-            part = pa.Table.from_batches(held).combine_chunks()
-            found = list(compare(part))
-            a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
-                    yield from flush()
-                    held = []
-                held.append(part)
-        if held:
-            yield from flush()
+def links_across(members: DataFrame, docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    """(a, b): links between components, one at least for each two components of a cell that have any.
+
+    A first pass finds the members of each cell whose signatures agree with one of another component; their texts are
+    fetched, and the cell compares full sets. Pairs never leave it, links do.
+    """
+
+    def agreeing_members(part: pa.Table):
+        sig = _stack(part.column("signature"))
+        seen = np.zeros(part.num_rows, bool)
+        for r, far in _apart(part):
+            far = far[(sig[far] == sig[r]).sum(axis=1) >= AGREE]
+            seen[far] = True
+            seen[r] |= len(far) > 0
+        if seen.any():
+            yield from part.select([*CELL, "mine", "doc_id", "component"]).filter(pa.array(seen)).to_batches()
+
+    def compare(part: pa.Table):
+        sets = [_set(t.as_py()) for t in part.column("text")]
+        comp, ids = part.column("component").to_numpy(), part.column("doc_id").to_numpy()
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        offs = np.concatenate(([0], np.cumsum(size)))
+        words, number = np.unique(np.concatenate(sets), return_inverse=True)
+        flag = np.zeros(len(words), np.int64)
+        found = []
+        for r, far in _apart(part):
+            flag[number[offs[r] : offs[r + 1]]] = 1
+            shared = np.add.reduceat(flag[number], offs[:-1])[far]
+            flag[number[offs[r] : offs[r + 1]]] = 0
+            far = far[100 * shared >= percent * (size[r] + size[far] - shared)]
+            _, first = np.unique(comp[far], return_index=True)
+            found += [(ids[r], ids[f]) for f in far[first].tolist()]
+        if found:
+            pairs = np.array(found, np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+    fields = "key long, i int, j int, mine int, doc_id long, component long"
+    rows = _cells(members).mapInArrow(_by_cell(agreeing_members), fields)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    # Rows that share a doc_id may hold different texts; each is a row of the cell.
+    whole = rows.join(texts, "doc_id").select(*CELL, "mine", "doc_id", "component", "text").repartition(*CELL).sortWithinPartitions(*CELL)
+    return whole.mapInArrow(_by_cell(compare), "a long, b long").distinct()
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """The components when links are added to those there are."""
+    if new.isEmpty():
+        return labels
+    hung = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(hung.unionByName(new))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -347,15 +404,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(
         similar(agreeing(unequal, sigs), docs).select("a", "b").unionByName(found.where("same").select("a", "b")), "links"
     )
-    labels, tested = components(links), unequal
+    labels = components(links)
     alone = materialize(_members(sigs, found), "members")
-    for best in (True, False):
-        more = materialize(across(_labelled(alone, labels), best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = materialize(similar(more, docs).select("a", "b"), "links")
-        if not new.isEmpty():
-            hung = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = components(hung.unionByName(new))
-        tested = tested.unionByName(more)
+    best = best_pairs(_labelled(alone, labels)).join(unequal, ["a", "b"], "left_anti")
+    labels = _joined(labels, materialize(similar(best, docs).select("a", "b"), "links"))
+    labels = _joined(labels, materialize(links_across(_labelled(alone, labels), docs), "links"))
     return (
         sigs.select("doc_id", "n_shingles")
         .join(labels, F.col("doc_id") == F.col("node"), "left")
