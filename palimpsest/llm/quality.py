@@ -228,3 +228,22 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = learned_from(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` predicted to be good, with their columns; learned from the labels given."""
+    vectors = word_vectors(docs)
+    chosen = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # SAMPLE ids at most
+    network = fit(features(labelled, vectors), labels.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+
+    def run(batches):
+        words, score = shared.value
+        for batch in batches:
+            body, offs = column_bytes(batch.column("text"))
+            for lo, hi, part, po in slices(body, offs, PIECE):
+                good = score(pooled(part, po, words).astype(np.float64)) >= THRESHOLD
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
