@@ -7,6 +7,7 @@ from .bpe import op4_bpe
 from .decontaminate import op3_decontaminate
 from .langid import op1_langid
 from .minhash import op8_minhash
+from .passages import op2_passages
 from .quality import op5_quality
 from .sharding import op9_sharding
 from .suffixes import op6_suffixes
@@ -16,7 +17,7 @@ from .warc import op7_warc
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_langid, op3_decontaminate, op4_bpe, op5_quality, op6_suffixes, op7_warc, op8_minhash, op9_sharding, op10_vectors,
+        op1_langid, op2_passages, op3_decontaminate, op4_bpe, op5_quality, op6_suffixes, op7_warc, op8_minhash, op9_sharding, op10_vectors,
     )
 }
 
