@@ -78,7 +78,7 @@ def corrupt(c: Column, key: Column, rate: float = 0.15, seed: int = 42) -> Colum
     return F.when(T.strip(c) == "", c).otherwise(F.array_join(F.transform(source, one), ""))
 
 
-def register_noise(c: Column, key: Column, rate: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:
+def register_noise(c: Column, key: Column, rate: Column, seed: int | Column = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:
     """max(1, int(n * rate)) errors at the script characters with the lowest draws, 3 in 10 texts with a dense patch besides.
 
     An error substitutes (75 %, only what the table holds), swaps with the next character (12 %), deletes (8 %) or doubles (5 %).
@@ -140,8 +140,8 @@ def inject_tags(c: Column, key: Column, seed: int = 42, letters: str = r"\x{0B80
 def training_pairs(lines: Column, key: Column, register: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:
     """The noisy side of a pair: up to five seeds until something changes, then leak tags at the register's rate."""
     rate = F.coalesce(_rates(ERROR_RATES)[register], F.lit(DEFAULT_ERROR_RATE))
-    tries = [register_noise(lines, key, rate, seed * 100 + k, letters, table) for k in range(5)]
-    noisy = F.coalesce(*[F.when(t != lines, t) for t in tries], lines)
+    seeds = F.sequence(F.lit(seed * 100), F.lit(seed * 100 + 4))
+    noisy = F.aggregate(seeds, lines, lambda acc, s: F.when(acc != lines, acc).otherwise(register_noise(lines, key, rate, s, letters, table)))
     inject = F.coalesce(_rates(INJECT_RATES)[register], F.lit(DEFAULT_INJECT_RATE))
     return F.when(draw(seed, key, F.lit("inject")) < inject, inject_tags(noisy, key, seed, letters)).otherwise(noisy)
 

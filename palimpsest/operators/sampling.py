@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def draw(seed: int, *key: Column | str) -> Column:
+def draw(seed: int | Column, *key: Column | str) -> Column:
     """A number from 0 up to 1 for each key."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", seed, *key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def order_key(seed: int, *key: Column | str) -> Column:
