@@ -38,6 +38,11 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def chars(c: Column) -> Column:
     return F.filter(F.split(c, "", -1), lambda x: x != "")
 
@@ -84,20 +89,22 @@ def register_noise(c: Column, key: Column, rate: Column, seed: int | Column = 42
     An error substitutes (75 %, only what the table holds), swaps with the next character (12 %), deletes (8 %) or doubles (5 %).
     """
     table = CONFUSIONS if table is None else table
-    source = chars(c)
-    places = F.filter(F.transform(source, lambda x, i: F.when(x.rlike(f"[{letters}]"), i)), lambda i: i.isNotNull())
-    n = F.size(places)
-    by_draw = lambda tag, where: F.transform(
-        F.array_sort(F.transform(where, lambda i: F.struct(draw(seed, key, i.cast("string"), F.lit(tag)).alias("u"), i.alias("i")))), lambda s: s["i"]
-    )
-    width = (15 + F.floor(draw(seed, key, F.lit("width")) * 11)).cast("int")
-    start = (F.floor(draw(seed, key, F.lit("start")) * (F.greatest(F.lit(0), n - width) + 1)) + 1).cast("int")
-    window = F.slice(places, start, width)
-    bursts = F.greatest(F.lit(2), (F.size(window) * rate * 3).cast("int"))
-    none = F.array().cast("array<int>")
-    burst = F.when((n >= 10) & (draw(seed, key, F.lit("burst")) < 0.30), F.slice(by_draw("burst", window), F.lit(1), bursts)).otherwise(none)
-    plain = F.slice(by_draw("plain", F.array_except(places, burst)), F.lit(1), F.greatest(F.lit(1), (n * rate).cast("int")))
-    hit = F.reverse(F.array_sort(F.array_union(burst, plain)))
+
+    def by_draw(tag: str, where: Column) -> Column:
+        drawn = F.transform(where, lambda i: F.struct(draw(seed, key, i.cast("string"), F.lit(tag)).alias("u"), i.alias("i")))
+        return F.transform(F.array_sort(drawn), lambda s: s["i"])
+
+    def dense(places: Column) -> Column:
+        n = F.size(places)
+        width = (15 + F.floor(draw(seed, key, F.lit("width")) * 11)).cast("int")
+        start = (F.floor(draw(seed, key, F.lit("start")) * (F.greatest(F.lit(0), n - width) + 1)) + 1).cast("int")
+        picked = lambda w: F.slice(by_draw("burst", w), F.lit(1), F.greatest(F.lit(2), (F.size(w) * rate * 3).cast("int")))
+        return F.when((n >= 10) & (draw(seed, key, F.lit("burst")) < 0.30), let(F.slice(places, start, width), picked)).otherwise(F.array().cast("array<int>"))
+
+    def hits(places: Column) -> Column:
+        most = F.greatest(F.lit(1), (F.size(places) * rate).cast("int"))
+        both = lambda burst: F.array_union(burst, F.slice(by_draw("plain", F.array_except(places, burst)), F.lit(1), most))
+        return F.reverse(F.array_sort(let(dense(places), both)))
 
     def edit(acc: Column, i: Column) -> Column:
         at = i.cast("string")
@@ -112,7 +119,11 @@ def register_noise(c: Column, key: Column, rate: Column, seed: int | Column = 42
             .otherwise(F.concat(head, F.array(own, own), tail))
         )
 
-    return F.when(n == 0, c).otherwise(F.array_join(F.aggregate(hit, source, edit), ""))
+    def whole(source: Column) -> Column:
+        places = F.filter(F.transform(source, lambda x, i: F.when(x.rlike(f"[{letters}]"), i)), lambda i: i.isNotNull())
+        return F.array_join(F.aggregate(let(places, hits), source, edit), "")
+
+    return F.when(c.rlike(f"[{letters}]"), let(chars(c), whole)).otherwise(c)
 
 
 def inject_tags(c: Column, key: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}") -> Column:
