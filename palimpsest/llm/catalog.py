@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, vectors, warc
+from . import decontaminate, minhash, vectors, warc
 from .bpe import op4_bpe
 from .decontaminate import op3_decontaminate
 from .langid import op1_langid
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op10_vectors": vectors.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_minhash": minhash.ORACLE, "op10_vectors": vectors.ORACLE}

@@ -282,3 +282,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` against every window of ``benchmark``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return report(find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+ORACLE = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, least(10, len(ws)) AS n, unnest([array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') for i in range(1, len(ws) - least(10, len(ws)) + 2)]) AS win FROM b WHERE len(ws) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+l AS (SELECT DISTINCT n FROM p),
+o AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest([array_to_string(ws[i : i + n - 1], ' ') for i in range(1, len(ws) - n + 2)]) AS win FROM d, l WHERE len(ws) >= n),
+m AS (SELECT DISTINCT o.doc_id, o.i, o.n, p.item_id FROM o JOIN p ON o.n = p.n AND o.win = p.win),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""

@@ -27,7 +27,7 @@ def test_columns(spark, number):
     assert got.columns[: len(COLUMNS[number])] == COLUMNS[number]
     if name in catalog.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.execute(catalog.ORACLE_SQL[name])
         order = [[d[0] for d in want.description].index(c) for c in got.columns]
