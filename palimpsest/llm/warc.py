@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -198,8 +199,11 @@ RECORD = "source_id long, url string, ip string, date string, mime string, head
 BRIEF = "source_id long, digest binary, length long"
 
 
-def read_arc(spark: SparkSession, path: str, brief: bool = False) -> DataFrame:
-    """The URL records of the ARC files in ``path``; brief: without URLs, heads and payloads. head is null unless the body is HTTP."""
+def read_arc(spark: SparkSession, path: str, brief: bool = False, packed: bool = False) -> DataFrame:
+    """The URL records of the ARC files in ``path``; brief: without URLs, heads and payloads; packed: payloads deflated, to be shuffled.
+
+    head is null unless the body is HTTP.
+    """
     names = [f.split()[0] for f in (BRIEF if brief else RECORD).split(", ")]
 
     def run(batches):
@@ -215,7 +219,7 @@ def read_arc(spark: SparkSession, path: str, brief: bool = False) -> DataFrame:
                     digest = hashlib.sha1(payload).digest()
                     rows.append(
                         (source, digest, len(payload)) if brief
-                        else (source, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, payload, digest, len(payload))
+                        else (source, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, zlib.compress(payload, 1) if packed else payload, digest, len(payload))
                     )
                     size += len(payload)
                     if size > FILE_BYTES or len(rows) >= 10_000:
@@ -237,7 +241,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     firsts = (
         brief.groupBy("digest", "length").agg(F.max("source_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
     )
-    records = read_arc(spark, arc_path)
+    records = read_arc(spark, arc_path, packed=True)
     marked = records.join(firsts.select("digest", "length", "first_id"), ["digest", "length"], "left").select(
         *records.columns, F.when(F.coalesce(F.col("source_id") < F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id")).alias("refers_to")
     )
@@ -245,8 +249,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     def run(batches):
         def records():
             for batch in batches:
-                for r in batch.to_pylist():
-                    yield _converted(r) + CRLF + CRLF
+                for lo in range(0, batch.num_rows, 256):
+                    for r in batch.slice(lo, 256).to_pylist():
+                        yield _converted(r | {"payload": zlib.decompress(r["payload"])}) + CRLF + CRLF
 
         for batch in _files(records()):  # the writer itself puts the last record's end
             yield pa.RecordBatch.from_pydict({"content": pa.array([batch.column(0)[0].as_py()[:-4]], pa.binary())})
