@@ -240,6 +240,34 @@ def test_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_changed_words_keep_a_passage():
+    """Along a diagonal, every place of a similar run is found, or lies in one with a shared shingle that is."""
+    rng = random.Random(17)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    cases = [(50, [25]), (60, [30]), (70, [35]), (100, [33, 66]), (70, [30, 35]), (50, [1]), (50, [49]), (49, []), (44, []), (50, [10, 30])]
+    cases += [(rng.randint(50, 100), [rng.randrange(100) for _ in range(rng.randint(1, 4))]) for _ in range(60)]
+    for k, (n, changed) in enumerate(cases):
+        words = rng.sample(vocabulary, n) if k % 3 or k < 10 else [rng.choice(vocabulary[:12]) for _ in range(n)]  # some with repeats
+        other = [("changed" if k % 5 == 0 else f"changed{i}") if i in changed else w for i, w in enumerate(words)]
+        left, right = rng.randrange(60), rng.randrange(60)
+        pad = lambda side, m: [f"{side}{i}" for i in range(m)]
+        a = passages.tokens_of(" ".join(pad("a", left) + words + pad("c", right)))
+        b = passages.tokens_of(" ".join(pad("b", left) + other + pad("d", right)))
+        similar, m = [], len(a)
+        for s in range(m):
+            for e in range(s + passages.SPAN - 1, m):
+                x, y = set(a[s : e + 1].tolist()), set(b[s : e + 1].tolist())
+                if 4 * len(x & y) >= 3 * len(x | y):
+                    similar.append((s, e))
+        found = passages.stretches(a, b, [(0, 0, m - 1)]) if m >= passages.SPAN else []
+        assert all((s, e) in similar and (s, e) == (u, v) for s, e, u, v in found), (n, changed)
+        covered = {i for s, e, _, _ in found for i in range(s, e + 1)}
+        common = set(a.tolist()) & set(b.tolist())
+        assert {i for s, e in similar for i in range(s, e + 1) if {int(a[i]), int(b[i])} & common} <= covered, (n, changed)
+        if k < 4:
+            assert found, (n, changed)
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2100)]
