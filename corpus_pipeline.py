@@ -4,8 +4,9 @@ Each stage takes what its predecessor kept and gives a table; all but the last g
 
 1. quality: documents that the classifier rejects go (learned from ``labels`` whose CRC modulo 5 is not 0).
 2. near_duplicates: of each group one document stays, that with the smallest doc_id; rows without doc_id stay.
-3. repeats: byte strings of 400 bytes that stand twice or more are cut out, characters cut in two go whole; documents
-   stay even if nothing is left, and n_chars follows the text.
+3. repeats: passages of more than 50 words or of 400 bytes whose strings of 101 bytes (51 words have no fewer) all stand
+   twice or more are cut out, characters cut in two go whole; documents stay even if nothing is left, and n_chars
+   follows the text.
 4. decontaminate: documents in which a window of ``benchmark`` occurs go.
 5. tokens: ids, their number and the digests of ids and decoded bytes of each document.
 
@@ -31,7 +32,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffixes.drop_repeats(docs)
+    out = suffixes.drop_repeats(docs, suffixes.PASSAGE_BYTES)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

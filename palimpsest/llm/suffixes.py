@@ -16,6 +16,8 @@ Every byte covered by a string of LENGTH (400) bytes that also starts anywhere e
 4. *Boundaries.* A splitter bounds the LCP of anything below it with anything above. Strings that a bucket's
    splitters cannot tell from the next bucket's are exchanged, one per bucket, as 128-bit digests and counted.
 
+Functions that take a ``length`` do the same with strings of that many bytes; the figures above are those of 400.
+
 Defined cases: a null text is empty; texts under 400 bytes lose nothing; rows of equal doc_id and text are separate
 occurrences and get equal results; a null doc_id is carried through; an empty table gives an empty result. Further
 columns are kept by :func:`drop_repeats`.
@@ -36,9 +38,9 @@ from .arrowtext import column_bytes, mix, powers, slices
 from .shared import materialize
 
 LENGTH = 400
-#: Strings of LENGTH bytes hold WIDTH grams of GRAM bytes; the smallest gram's place is the anchor.
-WIDTH = 200
-GRAM = LENGTH - WIDTH + 1
+#: A repeated passage of more than WORDS words is long, and has PASSAGE_BYTES bytes at least: a letter a word and spaces between.
+WORDS = 50
+PASSAGE_BYTES = 2 * (WORDS + 1) - 1
 #: Bytes of text among which a map task removes repeats first, and bytes of contexts in a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20
 #: Suffixes sampled for the splitters: a fixed bound on what reaches the driver.
@@ -55,6 +57,11 @@ def _identity() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("th")]
 
 
+def width_of(length: int) -> int:
+    """Grams in a string of ``length`` bytes; they have length - width + 1 bytes, and the smallest one's place is the anchor."""
+    return length // 2
+
+
 def pack(at, before, after, state):
     """Anchor position, distances from it to the first and last start it owns, state bits."""
     return (at << 20) | (before << 12) | (after << 4) | state
@@ -75,30 +82,32 @@ def sliding_owner(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(body: np.ndarray, offs: np.ndarray):
+def anchors(body: np.ndarray, offs: np.ndarray, length: int = LENGTH):
     """Document, position within it, distances to the owned starts, gram hash and context hash of each anchor."""
     none = np.empty(0, np.int64)
-    if len(body) < LENGTH:
+    width = width_of(length)
+    gram = length - width + 1
+    if len(body) < length:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     up, down = powers(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(body) - GRAM + 1])
-    owner = sliding_owner(grams, WIDTH)
+    grams = mix((sums[gram:] - sums[:-gram]) * down[: len(body) - gram + 1])
+    owner = sliding_owner(grams, width)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(owner)]
-    starts = np.flatnonzero(np.arange(len(owner)) + LENGTH <= offs[doc + 1])
+    starts = np.flatnonzero(np.arange(len(owner)) + length <= offs[doc + 1])
     if not len(starts):
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     own, d = owner[starts], doc[starts]
     new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (d[1:] != d[:-1]))))
     first, last = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1]
     at, d = own[new], d[new]
-    lo, hi = np.maximum(offs[d], at - WIDTH + 1), np.minimum(offs[d + 1], at + LENGTH)
+    lo, hi = np.maximum(offs[d], at - width + 1), np.minimum(offs[d + 1], at + length)
     context = mix((sums[hi] - sums[lo]) * down[lo] + mix((at - lo).astype(np.uint64) * np.uint64(1021) + (hi - at).astype(np.uint64)))
     return d, at - offs[d], at - first, at - last, grams[at], context
 
 
-def _anchor_rows(batches) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
@@ -128,7 +137,7 @@ def _anchor_rows(batches) -> Iterator[pa.RecordBatch]:
         body, offs = column_bytes(batch.column("text"))
         docs, ths = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
         for lo, hi, part, po in slices(body, offs):
-            d, at, before, after, k, f = anchors(part, po)
+            d, at, before, after, k, f = anchors(part, po, length)
             if len(d):
                 held.append((docs[lo + d], ths[lo + d], at, before, after, k, f))
             size += len(part)
@@ -206,7 +215,7 @@ def _context_filter(batches) -> Iterator[pa.RecordBatch]:
         yield _batch({c: rows[c] for c in ("doc", "th", "place")})
 
 
-def _item_rows(batches) -> Iterator[pa.RecordBatch]:
+def _item_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, offs = column_bytes(batch.column("text"))
         raw = body.tobytes()
@@ -214,7 +223,7 @@ def _item_rows(batches) -> Iterator[pa.RecordBatch]:
         values, po = places.flatten().to_numpy(), np.asarray(places.offsets) - places.offsets[0].as_py()
         row = np.repeat(np.arange(batch.num_rows), np.diff(po))
         at, before, after, kind = unpack(values)
-        lo, hi = np.maximum(0, at - WIDTH + 1), np.minimum(np.diff(offs)[row], at + LENGTH)
+        lo, hi = np.maximum(0, at - width_of(length) + 1), np.minimum(np.diff(offs)[row], at + length)
         base = offs[row]
         contexts = [raw[s:e] for s, e in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
         yield pa.RecordBatch.from_pydict(
@@ -277,7 +286,7 @@ def _common(string: bytes, others: list[bytes]) -> np.ndarray:
     return np.minimum(lcp, np.minimum(len(string), np.fromiter(map(len, others), np.int64, len(others))))
 
 
-def bucket_repeats(contexts: list[bytes], cuts: np.ndarray, near: np.ndarray, far: np.ndarray, low: bytes | None, high: bytes | None):
+def bucket_repeats(contexts: list[bytes], cuts: np.ndarray, near: np.ndarray, far: np.ndarray, low: bytes | None, high: bytes | None, length: int = LENGTH):
     """Repeated strings among the contexts of one bucket.
 
     near, far: the smallest and largest distance from an owned start to the anchor; low, high: the splitters' suffixes.
@@ -298,12 +307,12 @@ def bucket_repeats(contexts: list[bytes], cuts: np.ndarray, near: np.ndarray, fa
         here = np.flatnonzero((near <= d) & (d <= far))
         if not len(here):
             continue
-        class_r[order_r] = np.cumsum(lcp_r < LENGTH - d)
+        class_r[order_r] = np.cumsum(lcp_r < length - d)
         class_l[order_l] = np.cumsum(lcp_l < d) if d else 0
         _, first, which, count = np.unique(class_r[here] * (n + 1) + class_l[here], return_index=True, return_inverse=True, return_counts=True)
         repeated = count[which] > 1
         found.append((here[repeated], np.full(repeated.sum(), d)))
-        shown = first[reach[here[first]] >= LENGTH - d]
+        shown = first[reach[here[first]] >= length - d]
         told.append((here[shown], np.full(len(shown), d), repeated[shown]))
     joined = lambda parts, k: tuple(np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(k))
     return joined(found, 2), joined(told, 3)
@@ -312,7 +321,7 @@ def bucket_repeats(contexts: list[bytes], cuts: np.ndarray, near: np.ndarray, fa
 FOUND = "doc long, th long, first int, last int, digest binary, again boolean"
 
 
-def _bucket_rows(splitters: list[tuple[bytes, bytes]]):
+def _bucket_rows(splitters: list[tuple[bytes, bytes]], length: int):
     def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket = part.column("bucket")[0].as_py()
         contexts = part.column("context").to_pylist()
@@ -320,7 +329,7 @@ def _bucket_rows(splitters: list[tuple[bytes, bytes]]):
         low = splitters[bucket - 1][0] if bucket else None
         high = splitters[bucket][0] if bucket < len(splitters) else None
         cuts = part.column("cut").to_numpy().astype(np.int64)
-        (item, d), (t_item, t_d, t_again) = bucket_repeats(contexts, cuts, after, before, low, high)
+        (item, d), (t_item, t_d, t_again) = bucket_repeats(contexts, cuts, after, before, low, high, length)
         doc, th = part.column("doc").to_numpy(), part.column("th").to_numpy()
         mine = kind[item] == EDGE
         item, start = item[mine], (at[item] - d)[mine]
@@ -331,7 +340,7 @@ def _bucket_rows(splitters: list[tuple[bytes, bytes]]):
         last = start[np.concatenate((head[1:], [len(start)])) - 1] if len(head) else start
         yield _found(doc[item[head]], th[item[head]], start[head], last, [None] * len(head), [True] * len(head))
         s = cuts[t_item] - t_d
-        digests = [hashlib.blake2b(contexts[i][a : a + LENGTH], digest_size=16).digest() for i, a in zip(t_item.tolist(), s.tolist(), strict=True)]
+        digests = [hashlib.blake2b(contexts[i][a : a + length], digest_size=16).digest() for i, a in zip(t_item.tolist(), s.tolist(), strict=True)]
         start = at[t_item] - t_d
         again = t_again.astype(bool) | (kind[t_item] != EDGE)
         yield _found(doc[t_item], th[t_item], start, start, digests, again.tolist())
@@ -373,10 +382,10 @@ def _splitters(items: DataFrame, count: int, size: int) -> list[tuple[bytes, byt
     return sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}) if keys else []
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, th, starts): first and last of the runs of starts of repeated strings, for each identity that has any."""
     texts = docs.select(*_identity(), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_anchor_rows, ANCHOR)
+    rows = texts.mapInArrow(lambda batches: _anchor_rows(batches, length), ANCHOR)
     by_gram = F.when(F.col("place").bitwiseAND(3) == PLAIN, F.col("k")).otherwise(F.col("f"))
     judged = rows.withColumn("by", by_gram).repartition("by").drop("by").sortWithinPartitions("k").mapInArrow(_gram_filter, ANCHOR)
     judged = judged.repartition("k", "f").sortWithinPartitions("k", "f").mapInArrow(_context_filter, "doc long, th long, place long")
@@ -384,7 +393,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     kind = F.col("place").bitwiseAND(15)
     shown = judged.where(kind != REPEATED).groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
     once = texts.join(shown, ["doc", "th"])
-    items = materialize(once.mapInArrow(_item_rows, ITEM), "suffixes")
+    items = materialize(once.mapInArrow(lambda batches: _item_rows(batches, length), ITEM), "suffixes")
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()
     splitters = _splitters(items, count, size)
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
@@ -395,7 +404,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], [*batch.schema.names, "bucket"])
 
     def sort(batches):
-        yield from _bucket_rows(shared.value)(batches)
+        yield from _bucket_rows(shared.value, length)(batches)
 
     dealt = items.mapInArrow(assign, ITEM + ", bucket int").repartition("bucket").sortWithinPartitions("bucket")
     found = materialize(dealt.mapInArrow(sort, FOUND), "repeats")
@@ -412,21 +421,32 @@ def repeats(docs: DataFrame) -> DataFrame:
     return whole.unionByName(here).unionByName(there).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
 
 
-def covered(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def covered(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by the strings that start in the runs."""
     out: list[tuple[int, int]] = []
     for first, last in sorted(starts):
         if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last + LENGTH))
+            out[-1] = (out[-1][0], max(out[-1][1], last + length))
         else:
-            out.append((first, last + LENGTH))
+            out.append((first, last + length))
     return out
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def long_passages(raw: bytes, starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Runs of starts whose strings have more than WORDS words together (those cut at the ends count) or LENGTH bytes."""
+    runs: list[tuple[int, int]] = []
+    for first, last in sorted(starts):
+        if runs and first <= runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], last))
+        else:
+            runs.append((first, last))
+    return [(s, e) for s, e in runs if e + length - s >= LENGTH or len(raw[s : e + length].split()) > WORDS]
+
+
+def _marked(docs: DataFrame, length: int) -> DataFrame:
     doc, th = _identity()
     mine = docs.withColumns({"__doc": doc, "__th": th})
-    return mine.join(repeats(docs).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts")), ["__doc", "__th"], "left")
+    return mine.join(repeats(docs, length).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts")), ["__doc", "__th"], "left")
 
 
 def _pieces(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -461,24 +481,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _marked(narrow).select("doc_id", "text", "__starts").mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+    return _marked(narrow, LENGTH).select("doc_id", "text", "__starts").mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+
 
+def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with its columns, the text without its repeated strings; a character cut in two goes whole.
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, the text without its repeated strings; a character cut in two goes whole."""
+    With ``length`` under LENGTH, those of :func:`long_passages` go.
+    """
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = []
             for text, starts in zip(batch.column("text"), batch.column("__starts"), strict=True):
-                value = text.as_py()
-                cut = covered(_starts(starts.as_py()))
-                texts.append(_pieces(value.encode(), cut).decode("utf-8", "ignore") if cut else value)
+                value, runs = text.as_py(), _starts(starts.as_py())
+                raw = value.encode() if runs else b""
+                cut = covered(long_passages(raw, runs, length) if length < LENGTH else runs, length)
+                texts.append(_pieces(raw, cut).decode("utf-8", "ignore") if cut else value)
             columns = [pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _marked(docs).select(*[F.col(f"`{n}`") for n in names], "__starts").mapInArrow(run, docs.schema)
+    return _marked(docs, length).select(*[F.col(f"`{n}`") for n in names], "__starts").mapInArrow(run, docs.schema)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    words = lambda side, n: " ".join(f"{side}{i}{side}" for i in range(n))
+    long, letters, short = words("p", 51), " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(51)), words("q", 50)
+    texts = [f"{words(a, 30)} {p} {words(b, 30)}" for p, a, b in ((long, "a", "b"), (long, "c", "d"), (letters, "e", "f"), (letters, "g", "h"), (short, "i", "j"), (short, "k", "l"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, df, SF).collect()}
+    assert [got[k] for k in range(4)] == [words(a, 30) + words(b, 30) for a, b in ("ab", "cd", "ef", "gh")]
+    assert got[4] == texts[4] and got[5] == texts[5]
