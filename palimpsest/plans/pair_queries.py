@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scripts import LATIN
-from ..operators import lines, metrics, noise, pairs, sampling
+from ..operators import lines, metrics, noise, pairs, sampling, shaping
 from . import sql as S
 
 QUERIES: dict = {}
@@ -106,8 +106,9 @@ def inject_tags(spark, sf_dir):
 
 
 def made_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, input, target, source)"""
-    short = turns(spark, sf_dir).where(F.char_length("text").between(20, 340))
+    """(key, input, target, source): the turns' pieces of 20 to 340 characters, their numbers at the end of the key."""
+    pieces = turns(spark, sf_dir).select("key", "source", F.posexplode(shaping.pack(c("text"))).alias("n", "text"))
+    short = pieces.withColumn("key", F.concat_ws("-", "key", c("n").cast("string")))
     return short.select("key", noise.training_pairs(c("text"), c("key"), c("source"), 42, LATIN.letters, LATIN_CONFUSIONS).alias("input"), c("text").alias("target"), "source")
 
 

@@ -242,3 +242,15 @@ def test_streams_append_once(spark, tmp_path):
 def test_pairs_resume_and_pack(spark):
     targets = spark.createDataFrame([("a",), ("a",), ("b",)], "t string")
     assert [r.t for r in pairs.unfinished(targets, targets.where("t = 'a'"), "t").collect()] == ["b"]
+
+
+def test_long_turns_give_pairs(spark, tmp_path):
+    from palimpsest.plans import pair_queries
+
+    texts = ["A line of thirty characters ok.", " ".join(f"Sentence number {i} of a long turn." for i in range(40)), "x" * 700, "short", None]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.key: r.target for r in pair_queries.made_pairs(spark, str(tmp_path)).collect()}
+    whole = lambda k: [got[x] for x in sorted((x for x in got if x.startswith(f"1-{k}-")), key=lambda x: int(x.split("-")[2]))]
+    assert whole(0) == [texts[0]] and " ".join(whole(1)) == texts[1] and "".join(whole(2)) == texts[2] and not whole(3) and not whole(4)
+    assert all(20 <= len(t) <= 340 for t in got.values())
