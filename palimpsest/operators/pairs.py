@@ -12,8 +12,8 @@ from .sampling import take, train_val_split
 PAIR = "input string, target string, source string"
 
 
-def stats(pairs: DataFrame, *order: str) -> DataFrame:
-    """One row of lengths of the targets, fits, tagged inputs and mean edits of the first 2000 pairs in the given order."""
+def stats(pairs: DataFrame, *order: str, edits_of_first: int | None = None) -> DataFrame:
+    """One row of lengths of the targets, fits, tagged inputs and mean edits of all pairs, or of the first so many in the given order."""
     chars, size = F.char_length("target"), F.octet_length("target")
     has_tag = F.col("input").rlike("</?(mark|sub|sup)>")
     whole = pairs.agg(
@@ -22,7 +22,8 @@ def stats(pairs: DataFrame, *order: str) -> DataFrame:
         F.count_if(size <= 512).alias("fits_512"), F.count_if(size <= 1024).alias("fits_1024"), F.count_if(has_tag).alias("tagged"),
         F.round(100 * F.count_if(has_tag) / F.count("*"), 1).alias("tagged_pct"),
     )
-    edits = pairs.orderBy(*order).limit(2000).agg(F.round(F.avg(F.levenshtein(T.strip_leak_tags(F.col("input")), F.col("target"))), 1).alias("avg_edits"))
+    edited = pairs if edits_of_first is None else pairs.orderBy(*order).limit(edits_of_first)
+    edits = edited.agg(F.round(F.avg(F.levenshtein(T.strip_leak_tags(F.col("input")), F.col("target"))), 1).alias("avg_edits"))
     return whole.crossJoin(edits)  # one row each
 
 

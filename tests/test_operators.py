@@ -254,3 +254,9 @@ def test_long_turns_give_pairs(spark, tmp_path):
     whole = lambda k: [got[x] for x in sorted((x for x in got if x.startswith(f"1-{k}-")), key=lambda x: int(x.split("-")[2]))]
     assert whole(0) == [texts[0]] and " ".join(whole(1)) == texts[1] and "".join(whole(2)) == texts[2] and not whole(3) and not whole(4)
     assert all(20 <= len(t) <= 340 for t in got.values())
+
+
+def test_mean_edits_of_all_pairs(spark):
+    made = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") < 2000, "same").otherwise("sane").alias("input"), F.lit("same").alias("target"), F.lit("s").alias("source"))
+    assert pairs.stats(made, "key").first().avg_edits == 0.3
+    assert pairs.stats(made, "key", edits_of_first=2000).first().avg_edits == 0.0
