@@ -7,10 +7,10 @@ more are linked; components of links are the duplicate groups.
 128 universal hash minima per document, cut into 32 bands of four, bring similar documents into common buckets: a
 pair at exactly 0.75 shares none with probability (1 - 0.75**4)**32, about 5e-6. A bucket's members are not all
 paired with each other: each is paired with the bucket's smallest and with its neighbour. Signatures verify those
-pairs, and full sets confirm them. Buckets whose members then still lie in several components are searched again, in
-blocks of bounded size, for pairs across components whose signatures agree: first the best pair of each component, which
-joins nearly all that belong together, then every pair that is left. Full sets confirm those too; so no link between
-groups is lost to the choice of leaders.
+pairs, and full sets confirm them. Buckets whose members then still lie in several components are searched again: what
+lies outside a bucket's largest component is compared, in blocks of bounded size, with all that lies in other components: first the
+best pair of each component, which joins nearly all that belong together, then every pair that is left. Full sets
+confirm those too; so no link between groups is lost to the choice of leaders.
 
 Defined cases: documents without text or words have empty sets, are linked with nothing and are kept. Rows
 without a doc_id have no component and are kept. Rows that share a doc_id are one document that has the links of
@@ -197,7 +197,7 @@ def candidates(sigs: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) of which at least AGREE minima are equal."""
-    table = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("signature").alias("signature"))
+    table = sigs.where("n_shingles > 0 and doc_id is not null").dropDuplicates(["doc_id", "set_id"])  # a doc_id may have several texts
     a, b = (table.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
 
     def run(batches):
@@ -205,7 +205,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             equal = (_stack(batch.column("sa")) == _stack(batch.column("sb"))).sum(axis=1)
             yield batch.select(["a", "b"]).filter(pa.array(equal >= AGREE))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
@@ -237,9 +237,9 @@ def _set(text: str) -> np.ndarray:
     return next(shingle_sets(body, np.array([0, len(body)])))
 
 
-#: Members of a bucket, and shingles of their sets, in a block: what is compared at once when a bucket lies in several components.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-CELL = ["key", "i", "j"]
+#: Documents, and shingles of their sets, in a block: what is compared at once when a bucket lies in several components.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+CELL = ["main", "i", "j"]
 
 
 def _members(sigs: DataFrame, candidates_: DataFrame) -> DataFrame:
@@ -283,8 +283,8 @@ def _by_cell(compare):
     return run
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """Members of the buckets that lie in several components, in cells: a bucket is cut into blocks, and two blocks make a cell."""
+def _open(members: DataFrame) -> DataFrame:
+    """(key, doc_id, component, n_shingles, main): places in buckets of several components; main: that of most of a bucket's members."""
 
     def keyed(batches):
         for batch in batches:
@@ -295,43 +295,68 @@ def _cells(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(owner) for c in names)], ["key", *names])
 
     placed = members.select("doc_id", "component", "n_shingles", "signature").mapInArrow(keyed, "key long, doc_id long, component long, n_shingles long")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    open_keys = (
-        placed.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo < hi and n > 2")
-        .select("key", blocks.alias("blocks"))
-    )
-    return (
-        placed.join(open_keys, "key")
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
-        .join(members.select("doc_id", "signature"), "doc_id")
-        .repartition(*CELL)
-        .sortWithinPartitions(*CELL)
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = (
+        shares.groupBy("key")
+        .agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+        .where("parts > 1 and n > 2")
+        .select("key", "main")
     )
+    return placed.join(mains, "key")
+
+
+def _blocks(n: str, shingles: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
-def _apart(part: pa.Table):
-    """For each row of the cell's first block: its place and the places in the second block it is to be compared with."""
-    comp, ids, mine = (part.column(c).to_numpy() for c in ("component", "doc_id", "mine"))
-    i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-    cols = np.flatnonzero(mine == j)
-    for r in np.flatnonzero(mine == i).tolist():
-        far = cols[comp[cols] != comp[r]]
-        far = far[ids[far] > ids[r]] if i == j else far
+def _cells(members: DataFrame) -> DataFrame:
+    """What must be compared once more, in cells (main, i, j) of bounded size.
+
+    In each open bucket the members outside its main component ask all members of other components. Those that ask
+    the same main component are cut into blocks i, such that those of one bucket are together; a member that
+    is asked goes to each block it shares a bucket with, once, and the members asked by a block are cut into blocks j. So the
+    rows follow the documents that are asked and the square of those outside the main component alone.
+    """
+    places = materialize(_open(members), "places")
+    asking = places.where("component <> main").groupBy("main", "doc_id").agg(F.min("key").alias("home"), F.first("n_shingles").alias("n_shingles"))
+    homes = asking.groupBy("main", "home").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    whole = homes.groupBy("main").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).select("main", _blocks("n", "shingles").alias("blocks"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    asking = materialize(
+        asking.join(homes.select("main", "home", _blocks("n", "shingles").alias("parts")), ["main", "home"])
+        .join(whole, "main")
+        .select("main", "doc_id", "n_shingles", F.pmod(F.xxhash64("home", part), F.col("blocks")).cast("int").alias("own")),
+        "asking",
+    )
+    # A document that asks is asked by the blocks up to its own.
+    owned = places.join(asking.select("main", "doc_id", "own"), ["main", "doc_id"], "left")
+    asked_by = owned.where("own is not null").select("key", F.col("own").alias("i")).distinct()
+    asked = owned.join(asked_by, "key").where("own is null or own >= i").select("main", "i", "doc_id", "component", "n_shingles", "own").distinct()
+    parts = asked.groupBy("main", "i").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).select("main", "i", _blocks("n", "shingles").alias("parts"))
+    asked = asked.join(parts, ["main", "i"]).select("main", "i", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("j"), "doc_id", F.coalesce("own", F.lit(-1)).alias("own"), F.lit(False).alias("asks"))
+    asks = asking.withColumnRenamed("own", "i").join(parts, ["main", "i"]).select("main", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "doc_id", F.col("i").alias("own"), F.lit(True).alias("asks"))
+    return asked.unionByName(asks).join(members, "doc_id").repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _apart(part: pa.Table, size: np.ndarray, percent: int = SIMILAR):
+    """For each row of the cell that asks: its place and the places of those of other components that it asks, as far as their sizes allow a link."""
+    comp, ids, own = (part.column(c).to_numpy() for c in ("component", "doc_id", "own"))
+    asks = part.column("asks").to_numpy()
+    cols = np.flatnonzero(~asks)
+    for r in np.flatnonzero(asks).tolist():
+        fits = 100 * np.minimum(size[cols], size[r]) >= percent * np.maximum(size[cols], size[r])
+        far = cols[(comp[cols] != comp[r]) & fits & ((own[cols] != own[r]) | (ids[cols] > ids[r]))]
         if len(far):
             yield r, far
 
 
-def best_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): of each component, its best agreeing pair with another component in each cell."""
+def best_pairs(cells: DataFrame) -> DataFrame:
+    """(a, b): of each component its best agreeing pair with another component."""
 
     def compare(part: pa.Table):
         sig, comp, ids = _stack(part.column("signature")), part.column("component").to_numpy(), part.column("doc_id").to_numpy()
         top: dict[int, tuple[int, int, int]] = {}
-        for r, far in _apart(part):
+        for r, far in _apart(part, part.column("n_shingles").to_numpy()):
             agree = (sig[far] == sig[r]).sum(axis=1)
             for k in np.flatnonzero(agree >= AGREE).tolist():
                 for c in (comp[r], comp[far[k]]):
@@ -339,27 +364,32 @@ def best_pairs(members: DataFrame) -> DataFrame:
                         top[c] = (agree[k], ids[r], ids[far[k]])
         if top:
             pairs = np.array([t[1:] for t in top.values()], np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+            yield pa.RecordBatch.from_pydict(
+                {"component": pa.array(list(top), pa.int64()), "agree": pa.array([t[0] for t in top.values()], pa.int64()), "a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))}
+            )
 
-    return _cells(members).mapInArrow(_by_cell(compare), "a long, b long").distinct()
+    found = cells.mapInArrow(_by_cell(compare), "component long, agree long, a long, b long")
+    best = found.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair"))
+    return best.select("pair.a", "pair.b").distinct()
 
 
-def links_across(members: DataFrame, docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
+def links_across(cells: DataFrame, docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """(a, b): links between components, one at least for each two components of a cell that have any.
 
     A first pass finds the members of each cell whose signatures agree with one of another component; their texts are
     fetched, and the cell compares full sets. Pairs never leave it, links do.
     """
+    names = [*CELL, "own", "asks", "doc_id", "component", "n_shingles"]
 
     def agreeing_members(part: pa.Table):
         sig = _stack(part.column("signature"))
         seen = np.zeros(part.num_rows, bool)
-        for r, far in _apart(part):
+        for r, far in _apart(part, part.column("n_shingles").to_numpy(), percent):
             far = far[(sig[far] == sig[r]).sum(axis=1) >= AGREE]
             seen[far] = True
             seen[r] |= len(far) > 0
         if seen.any():
-            yield from part.select([*CELL, "mine", "doc_id", "component"]).filter(pa.array(seen)).to_batches()
+            yield from part.select(names).filter(pa.array(seen)).to_batches()
 
     def compare(part: pa.Table):
         sets = [_set(t.as_py()) for t in part.column("text")]
@@ -369,9 +399,9 @@ def links_across(members: DataFrame, docs: DataFrame, percent: int = SIMILAR) ->
         words, number = np.unique(np.concatenate(sets), return_inverse=True)
         flag = np.zeros(len(words), np.int64)
         found = []
-        for r, far in _apart(part):
+        for r, far in _apart(part, size, percent):
             flag[number[offs[r] : offs[r + 1]]] = 1
-            shared = np.add.reduceat(flag[number], offs[:-1])[far]
+            shared = np.fromiter((flag[number[offs[f] : offs[f + 1]]].sum() for f in far.tolist()), np.int64, len(far))
             flag[number[offs[r] : offs[r + 1]]] = 0
             far = far[100 * shared >= percent * (size[r] + size[far] - shared)]
             _, first = np.unique(comp[far], return_index=True)
@@ -380,11 +410,11 @@ def links_across(members: DataFrame, docs: DataFrame, percent: int = SIMILAR) ->
             pairs = np.array(found, np.int64)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
 
-    fields = "key long, i int, j int, mine int, doc_id long, component long"
-    rows = _cells(members).mapInArrow(_by_cell(agreeing_members), fields)
+    fields = "main long, i int, j int, own int, asks boolean, doc_id long, component long, n_shingles long"
+    rows = cells.mapInArrow(_by_cell(agreeing_members), fields)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     # Rows that share a doc_id may hold different texts; each is a row of the cell.
-    whole = rows.join(texts, "doc_id").select(*CELL, "mine", "doc_id", "component", "text").repartition(*CELL).sortWithinPartitions(*CELL)
+    whole = rows.join(texts, "doc_id").select(*names, "text").repartition(*CELL).sortWithinPartitions(*CELL)
     return whole.mapInArrow(_by_cell(compare), "a long, b long").distinct()
 
 
@@ -406,9 +436,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labels = components(links)
     alone = materialize(_members(sigs, found), "members")
-    best = best_pairs(_labelled(alone, labels)).join(unequal, ["a", "b"], "left_anti")
+    best = best_pairs(_cells(_labelled(alone, labels))).join(unequal, ["a", "b"], "left_anti")
     labels = _joined(labels, materialize(similar(best, docs).select("a", "b"), "links"))
-    labels = _joined(labels, materialize(links_across(_labelled(alone, labels), docs), "links"))
+    labels = _joined(labels, materialize(links_across(_cells(_labelled(alone, labels)), docs), "links"))
     return (
         sigs.select("doc_id", "n_shingles")
         .join(labels, F.col("doc_id") == F.col("node"), "left")
