@@ -330,8 +330,9 @@ def _cells(members: DataFrame) -> DataFrame:
     )
     # A document that asks is asked by the blocks up to its own.
     owned = places.join(asking.select("main", "doc_id", "own"), ["main", "doc_id"], "left")
-    asked_by = owned.where("own is not null").select("key", F.col("own").alias("i")).distinct()
-    asked = owned.join(asked_by, "key").where("own is null or own >= i").select("main", "i", "doc_id", "component", "n_shingles", "own").distinct()
+    asked_by = owned.where("own is not null").groupBy("key").agg(F.collect_set("own").alias("blocks"))
+    once = owned.join(asked_by, "key").groupBy("main", "doc_id", "component", "n_shingles", "own").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    asked = once.select("main", F.explode("blocks").alias("i"), "doc_id", "component", "n_shingles", "own").where("own is null or own >= i")
     parts = asked.groupBy("main", "i").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).select("main", "i", _blocks("n", "shingles").alias("parts"))
     asked = asked.join(parts, ["main", "i"]).select("main", "i", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("j"), "doc_id", F.coalesce("own", F.lit(-1)).alias("own"), F.lit(False).alias("asks"))
     asks = asking.withColumnRenamed("own", "i").join(parts, ["main", "i"]).select("main", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "doc_id", F.col("i").alias("own"), F.lit(True).alias("asks"))
