@@ -268,6 +268,61 @@ def test_changed_words_keep_a_passage():
             assert found, (n, changed)
 
 
+def _edited(rng, words, edits):
+    """Words changed, put in or left out one by one, as long as the shingles' similarity stays at 0.75 or more; and the similarity."""
+    pick = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    whole, best, alike = pick(words), list(words), 1.0
+    for k in range(edits):
+        now, at = list(best), rng.randrange(len(best))
+        kind = rng.random()
+        now[at : at + (kind < 0.8)] = [] if 0.6 <= kind < 0.8 else [f"edit{k}x{rng.randrange(10**9)}"]
+        both = len(whole & pick(now))
+        value = both / (len(whole) + len(pick(now)) - both)
+        if value >= 0.75 and len(now) >= 50:
+            best, alike = now, value
+    return best, alike
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages planted in two documents each, with edits down to a similarity of 0.75, some with a frequent line of 30 words inside: nearly all are found."""
+    rng = random.Random(23)
+    fresh = iter(range(10**9))
+    prose_of = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    line, rows, planted = prose_of(30), [], []
+    for k in range(240):
+        words = prose_of(rng.choice([50, 55, 60, 80, 120, 300]))
+        if k % 3 == 0:
+            words[5:5] = line  # its first places belong to documents that share nothing else
+        other, alike = _edited(rng, words, rng.choice([0, 1, 2, 4, 12]))
+        for version in (words, other):
+            head = prose_of(rng.randrange(80))
+            planted.append((k, len(rows), len(head), len(head) + len(version), alike))
+            rows.append((len(rows), " ".join(head + version + prose_of(rng.randrange(80)))))
+    clean = range(len(rows), len(rows) + 60)
+    rows += [(d, " ".join(prose_of(150)[:100] + line + prose_of(20))) for d in clean]
+    got = by_id(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert not [d for d in clean if d in got]  # a common line of 30 words is no passage
+    hit = {}
+    for k, d, first, end, alike in planted:
+        found = {i for p in (got[d].passages if d in got else []) for i in range(p.first, p.end)}
+        hit[k, alike] = hit.get((k, alike), True) and len(found & set(range(first, end))) >= 0.8 * (end - first)
+    low = [v for (_, alike), v in hit.items() if alike < 0.85]
+    assert len(low) > 40 and sum(low) >= 0.9 * len(low), sum(low) / len(low)
+    assert sum(hit.values()) >= 0.97 * len(hit), sum(hit.values()) / len(hit)
+    print("recall", sum(hit.values()) / len(hit), "below 0.85", sum(low) / len(low))
+
+
+def test_passages_of_shared_ids_and_far_places(spark):
+    """Rows that share a doc_id are one document; a passage stands where it stands in a very long text."""
+    rng = random.Random(5)
+    words = lambda side, n: " ".join(f"{side}{i}" for i in range(n))
+    passage = words("p", 60)
+    rows = [(1, words("a", 70) + " " + passage), (1, words("b", 90)), (2, words("c", 40_000) + " " + passage), (2, words("c", 40_000) + " " + passage), (3, words("d", 100)), (None, passage)]
+    rng.shuffle(rows)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, p.first, p.end) for r in got for p in r.passages} == {(1, 70, 130), (2, 40_000, 40_060)}
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2100)]
