@@ -253,13 +253,14 @@ def test_changed_words_keep_a_passage():
         pad = lambda side, m: [f"{side}{i}" for i in range(m)]
         a = passages.tokens_of(" ".join(pad("a", left) + words + pad("c", right)))
         b = passages.tokens_of(" ".join(pad("b", left) + other + pad("d", right)))
+        one, two = passages.Tokens(a), passages.Tokens(b)
         similar, m = [], len(a)
         for s in range(m):
             for e in range(s + passages.SPAN - 1, m):
                 x, y = set(a[s : e + 1].tolist()), set(b[s : e + 1].tolist())
                 if 4 * len(x & y) >= 3 * len(x | y):
                     similar.append((s, e))
-        found = passages.stretches(a, b, [(0, 0, m - 1)]) if m >= passages.SPAN else []
+        found = passages.stretches(one, two, [(0, 0, m - 1)]) if m >= passages.SPAN else []
         assert all((s, e) in similar and (s, e) == (u, v) for s, e, u, v in found), (n, changed)
         covered = {i for s, e, _, _ in found for i in range(s, e + 1)}
         common = set(a.tolist()) & set(b.tolist())
