@@ -21,11 +21,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/palimpsest/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written: rows with whole texts on both sides of a pair stay within a task's memory.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
