@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,12 +37,31 @@ NOISE = r"<br>|\||\[\s*\]|\{.*\}|_{2,}|\.{3,}"
 METRIC_NOISE = r"^(Indic OCR Output|Languages:|Pages processed:|Tamil OCR Output)|^=+$|^PAGE\s+\d+|^\d{1,4}$|^#+\s"
 MODEL_TAGS = r"<2[a-z]{2}>|</?s>"
 XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+#: A character reference as HTML 5 reads it, at the start of what begins with its ampersand.
+REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chain(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """The steps one after another, each on the value of the one before, computed once."""
+    for step in steps:
+        c = let(c, step)
+    return c
+
+
+def replace_if(c: Column, sign: str, pattern: str, by: str = "") -> Column:
+    """A replacement of what holds ``sign`` only; c should be bound, as it is named three times."""
+    return F.when(c.contains(sign), replace(c, pattern, by)).otherwise(c)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
@@ -68,6 +91,11 @@ def count_latin(c: Column) -> Column:
     return F.char_length(replace(c, "[^A-Za-z]")).cast("long")
 
 
+def has_text(c: Column, p: ScriptProfile = TAMIL) -> Column:
+    """Letters of the profile or ASCII letters."""
+    return c.rlike(f"[{p.letters}A-Za-z]")
+
+
 def ratio(part: Column, c: Column) -> Column:
     return F.when(F.char_length(c) > 0, part / F.char_length(c)).otherwise(F.lit(0.0))
 
@@ -86,19 +114,33 @@ def strip_stray_scripts(c: Column, p: ScriptProfile = TAMIL) -> Column:
 
 def strip_leading_number(c: Column, p: ScriptProfile = TAMIL) -> Column:
     """A number of up to three digits before text goes; alone it stays."""
-    rest = replace(c, LEADING_NUMBER)
-    return F.when(c.rlike(LEADING_NUMBER) & (has_script(rest, p) | has_english(rest)), strip(rest)).otherwise(c)
+    bare = lambda x: let(replace(x, LEADING_NUMBER), lambda rest: F.when(has_text(rest, p), strip(rest)).otherwise(x))
+    return let(c, lambda x: F.when(x.rlike(LEADING_NUMBER), bare(x)).otherwise(x))
 
 
 def is_garbage(c: Column, p: ScriptProfile = TAMIL) -> Column:
-    s = strip(c)
-    return (F.char_length(s) > 2) & ~has_script(s, p) & ~has_english(s)
+    return let(strip(c), lambda s: (F.char_length(s) > 2) & ~has_text(s, p))
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def line_steps(p: ScriptProfile = TAMIL) -> list[Callable[[Column], Column]]:
+    """The cleaning of a line, step by step: each is given a bound value; the last leaves null for garbage and blanks."""
+    return [
+        lambda x: replace_if(x, "<", INLINE_TAGS),
+        lambda x: F.when(_ascii(x), x).otherwise(replace(x, f"[{p.stray}]")),  # no stray script is ASCII
+        lambda x: strip(replace_if(x, "  ", " {2,}", " ")),
+        lambda x: strip_leading_number(x, p),
+        strip,
+        lambda s: F.when((s != "") & ((F.char_length(s) <= 2) | has_text(s, p)), s),
+    ]
 
 
 def clean_line(c: Column, p: ScriptProfile = TAMIL) -> Column:
     """Tags, stray scripts and leading numbers go; null for what is garbage or blank."""
-    s = strip_leading_number(strip_stray_scripts(strip_inline_tags(c), p), p)
-    return F.when(~is_garbage(s, p) & (strip(s) != ""), strip(s))
+    return chain(c, *line_steps(p))
 
 
 def split_lines(c: Column) -> Column:
@@ -107,27 +149,38 @@ def split_lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def split_numbered(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of the lines between newlines: array of (line_no, line)."""
+    return F.transform(F.split(c, "\n", -1), lambda x, i: F.struct(i.alias("line_no"), use(x).alias("line")))
+
+
 def clean_text(c: Column, p: ScriptProfile = TAMIL) -> Column:
     """Cleaned lines; blank lines go too."""
-    return strip(F.array_join(F.filter(F.transform(split_lines(c), lambda x: clean_line(x, p)), lambda x: x.isNotNull()), "\n"))
+    parts = let(c, split_lines)
+    for step in line_steps(p):
+        parts = F.transform(parts, step)
+    return strip(F.array_join(parts, "\n"))
 
 
 def change_log(c: Column, p: ScriptProfile = TAMIL) -> Column:
     """What cleaning a line changed, in order: array of (kind, original, cleaned)."""
-    tags = strip_inline_tags(c)
-    stray = strip_stray_scripts(tags, p)
-    number = strip_leading_number(stray, p)
 
     def entry(kind: str, when: Column, before: Column, after: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("kind"), before.alias("original"), after.alias("cleaned")))
 
-    entries = F.array(
-        entry("HTML_TAG", tags != c, c, tags),
-        entry("FOREIGN_CHAR", stray != tags, tags, stray),
-        entry("PAGE_NUM", stray.rlike(LEADING_NUMBER) & (number != stray), stray, number),
-        entry("DROP", is_garbage(number, p), number, F.lit(None).cast("string")),
-    )
-    return F.array_compact(entries)
+    def entries(line: Column, tags: Column, stray: Column, number: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                entry("HTML_TAG", tags != line, line, tags),
+                entry("FOREIGN_CHAR", stray != tags, tags, stray),
+                entry("PAGE_NUM", stray.rlike(LEADING_NUMBER) & (number != stray), stray, number),
+                entry("DROP", is_garbage(number, p), number, F.lit(None).cast("string")),
+            )
+        )
+
+    return let(
+        c, lambda line: let(strip_inline_tags(line), lambda tags: let(strip_stray_scripts(tags, p), lambda stray: let(strip_leading_number(stray, p), lambda number: entries(line, tags, stray, number))))
+    )
 
 
 def tidy(c: Column) -> Column:
@@ -135,12 +188,63 @@ def tidy(c: Column) -> Column:
     return strip(replace(replace(c, "[ \t]+", " "), r" ([.,!?])", "$1"))
 
 
+def post_clean(c: Column, p: ScriptProfile = TAMIL) -> Column:
+    """The cleaning of recognised pages: lines are cleaned, then blanks tidied."""
+    return tidy(clean_text(c, p))
+
+
 def decode_xml_entities(c: Column) -> Column:
     for entity, char in XML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
+def _map(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference, by the rules of HTML 5."""
+    windows = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
+    digits = replace(ref, "[&#xX;]")
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    # More digits than any code point has are beyond the last one.
+    bound = let(replace(number, "^0+"), lambda d: F.when(F.char_length(d) > 9, F.lit(0x7FFFFFFF)).otherwise(F.coalesce(d.try_cast("int"), F.lit(0))))
+    control = lambda n: n.between(0x1, 0x8) | n.between(0xB, 0xB) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return let(
+        bound,
+        lambda n: F.when(n == 0x0D, F.lit("\r")).when(n.between(0x80, 0x9F), F.try_element_at(_map(windows), n.cast("string")))
+        .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(control(n), F.lit("")).otherwise(char(n)),
+    )
+
+
+def _named(ref: Column) -> Column:
+    """The characters of a named reference: the whole name, or its longest beginning that needs no semicolon; else it stays."""
+    short = {k: v for k, v in html5.items() if not k.endswith(";")}
+    name = F.substring(ref, F.lit(2), F.char_length(ref))
+    begins = F.transform(F.sequence(F.char_length(ref) - 2, F.lit(2), F.lit(-1)), lambda k: F.substring(ref, F.lit(2), k))
+    known = lambda n: F.get(F.filter(n, lambda b: F.map_contains_key(_map(short), b)), 0)
+    cut = F.when(F.char_length(ref) >= 4, let(known(begins), lambda b: F.concat(F.try_element_at(_map(short), b), F.substring(ref, F.char_length(b) + 2, F.char_length(ref)))))
+    return F.coalesce(F.try_element_at(_map(html5), name), cut, ref)
+
+
+def decode_entities(c: Column) -> Column:
+    """All character references of HTML 5, as html.unescape; texts without an ampersand cost a search for one."""
+
+    def reference(ref: Column) -> Column:
+        out = F.when(ref.startswith("&#"), _numbered(ref)).otherwise(_named(ref))
+        for entity, char in [*XML_ENTITIES, ("&nbsp;", "\u00a0")]:
+            out = F.when(ref == entity, F.lit(char)).otherwise(out)
+        return out
+
+    def part(x: Column) -> Column:
+        whole = lambda ref: F.when(ref == "", x).otherwise(F.concat(reference(ref), F.substring(x, F.char_length(ref) + 1, F.char_length(x))))
+        return let(F.regexp_extract(x, REFERENCE, 0), whole)
+
+    return let(c, lambda x: F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "(?=&)", -1), part), "")).otherwise(x))
+
+
 def strip_bracketed_english(c: Column) -> Column:
     return replace(c, BRACKETED_ENGLISH)
 
@@ -191,13 +295,17 @@ def split_sentences(c: Column) -> Column:
 
 
 def clean_sentence(c: Column, p: ScriptProfile = TAMIL) -> Column:
-    c = replace(replace(replace(c, r"\[\d+\]"), r"\[.*?\]"), r"http\S+")
-    return strip(replace(replace(c, rf"[^{p.letters}\x00-\x7F\s.!?,;:\-\"'()]"), r"\s+", " "))
+    return chain(
+        c,
+        lambda x: replace_if(x, "[", r"\[.*?\]"),  # numbers in brackets too
+        lambda x: replace_if(x, "http", r"http\S+"),
+        lambda x: F.when(_ascii(x), x).otherwise(replace(x, rf"[^{p.letters}\x00-\x7F\s.!?,;:\-\"'()]")),
+        lambda x: strip(replace(x, r"\s+", " ")),
+    )
 
 
 def is_valid_sentence(c: Column, p: ScriptProfile = TAMIL) -> Column:
-    s = strip(c)
-    return F.char_length(s).between(20, 500) & (ratio(count_script(s, p), s) >= 0.40)
+    return let(strip(c), lambda s: F.char_length(s).between(20, 500) & (ratio(count_script(s, p), s) >= 0.40))
 
 
 #: Pattern and replacement of each step that turns wikitext to plain text, after the templates are gone.
@@ -227,14 +335,14 @@ def is_numeral_line(c: Column) -> Column:
 
 
 def ends_sentence(c: Column) -> Column:
-    s = F.rtrim(c)
+    s = F.rtrim(c)  # cheap enough to be named twice
     return (s != "") & F.lit(ENDERS).contains(F.right(s, F.lit(1)))
 
 
 def strip_artifacts(c: Column) -> Column:
     """Math blocks and URLs go, then lines that are watermarks, garbage or blank."""
-    lines = F.split(replace(replace(c, MATH), URL), "\n", -1)
-    kept = F.filter(lines, lambda x: ~strip(x).rlike(WATERMARK) & ~strip(x).rlike(GARBAGE) & ~strip(x).rlike(ONLY_BREAKS))
+    lines = F.split(replace(let(c, lambda x: replace_if(x, "<math", MATH)), URL), "\n", -1)
+    kept = F.filter(lines, lambda x: let(strip(x), lambda s: ~s.rlike(f"{WATERMARK}|(?-i:{GARBAGE})|{ONLY_BREAKS.removeprefix('(?i)')}")))
     return F.array_join(kept, "\n")
 
 
@@ -276,8 +384,7 @@ def safe_stem(c: Column) -> Column:
 
 
 def clean_crawled_line(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s.rlike(PAGE_NUMBER) | s.rlike(ONLY_POINTS), F.lit("")).otherwise(collapse(strip_footnote(s)))
+    return let(strip(c), lambda s: F.when(s.rlike(PAGE_NUMBER) | s.rlike(ONLY_POINTS), F.lit("")).otherwise(collapse(strip_footnote(s))))
 
 
 #: Menu labels and codes of the languages.

@@ -5,7 +5,6 @@ The functions are wrapped when they are called, so that workers can import this
 
 from __future__ import annotations
 
-import html
 import unicodedata
 
 import pandas as pd
@@ -13,10 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -53,11 +48,6 @@ def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else distance(p.split(), q.split()) for p, q in zip(a, b, strict=True)], dtype="Int32")
 
 
-def decode_entities(c: Column | str) -> Column:
-    """All HTML entities."""
-    return F.pandas_udf(_decode_entities, "string")(c)
-
-
 def nfc(c: Column | str) -> Column:
     """Unicode normal form C."""
     return F.pandas_udf(_nfc, "string")(c)

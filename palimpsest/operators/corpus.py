@@ -1,11 +1,17 @@
 """Source-aware corpus cleaners and their counters, combining and sentence extraction.
 
-Each cleaner is one pass over a line table (keys, line_no, line) that adds the cleaned line, null if dropped, and a flag
-per rule; counters are sums of the flags, so cleaning and reporting share one scan.
+Each cleaner is one pass over a line table (keys, line_no, line) that adds the cleaned line, null if dropped, the rule
+that dropped it and notes of what was changed; counters are sums over those, so cleaning and reporting share one scan.
+Lines come stripped and without blanks, as :func:`..operators.lines.load_lines` gives them.
+
+A line's steps are bound one inside another and unpacked from a row of their own: each is computed once, whatever is
+filtered later.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,75 +21,141 @@ from .lines import keep_first
 from .sampling import order_key
 
 
-def _finish(lines: DataFrame, line: Column, drops: list[tuple[str, Column]], notes: list[tuple[str, Column]]) -> DataFrame:
+def _judged(lines: DataFrame, verdict: Column) -> DataFrame:
+    """Adds what a verdict holds."""
+    return lines.select(*lines.columns, F.inline(F.array(verdict)))
+
+
+def _verdict(line: Column, drops: list[tuple[str, Column]], notes: list[tuple[str, Column]]) -> Column:
     """drops: rules in order, of which the first that holds drops the line; notes: what was changed before any drop."""
     reason = F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in drops])
-    noted = F.array_compact(F.array(*[F.when(changed, F.lit(name)) for name, changed in notes])) if notes else F.array().cast("array<string>")
-    return lines.withColumns({"reason": reason, "notes": noted}).withColumn("cleaned", F.when(F.col("reason").isNull(), line))
+    noted = F.array_compact(F.array(*[F.when(changed, F.lit(name)) for name, changed in notes]))
+    return T.let(reason, lambda r: F.struct(r.alias("reason"), noted.alias("notes"), F.when(r.isNull(), line).alias("cleaned")))
 
 
 def _foreign_letters(c: Column, p: ScriptProfile) -> Column:
     """Letters outside the profile: ASCII letters for a profile without them, else letters that are not the profile's."""
-    return T.count_latin(c) if "A-Z" not in p.letters else F.char_length(T.replace(c, rf"[^\p{{L}}]|[{p.letters}]")).cast("long")
+    if "A-Z" not in p.letters:
+        return T.count_latin(c)
+    others = F.char_length(T.replace(c, rf"[^\p{{L}}]|[{p.letters}]")).cast("long")
+    return F.when(F.octet_length(c) == F.char_length(c), F.lit(0).cast("long")).otherwise(others)  # ASCII letters are all the profile's
 
 
 def clean_web(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
     """Web text: entities, tags, bracketed English and list markers go; foreign, junk and short lines are dropped."""
-    raw = T.decode_xml_entities(F.col("line"))
-    tags = T.strip_tags(raw)
-    brackets = T.strip_bracketed_english(tags) if profile is TAMIL else tags
-    marker = T.strip_list_marker(brackets)
-    line = T.collapse(marker)
-    drops = [
-        ("foreign_heavy", T.ratio(_foreign_letters(marker, profile), marker) > 0.30), ("web_junk", T.is_web_junk(marker)), ("too_short", T.count_script(line, profile) < 15),
-    ]
-    return _finish(lines, line, drops, [("html_tags", tags != raw), ("bracket_english", brackets != tags), ("list_marker", marker != brackets)])
+    brackets = (lambda c: T.replace_if(c, "(", T.BRACKETED_ENGLISH)) if profile is TAMIL else (lambda c: c)
+
+    def verdict(raw, tags, bare, marker, line):
+        drops = [
+            ("foreign_heavy", T.ratio(_foreign_letters(marker, profile), marker) > 0.30), ("web_junk", T.is_web_junk(marker)), ("too_short", T.count_script(line, profile) < 15),
+        ]
+        return _verdict(line, drops, [("html_tags", tags != raw), ("bracket_english", bare != tags), ("list_marker", marker != bare)])
+
+    return _judged(lines, _bound(F.col("line"), [T.decode_entities, lambda c: T.replace_if(c, "<", T.ANY_TAG), brackets, T.strip_list_marker, _collapsed], verdict))
+
+
+def _collapsed(c: Column) -> Column:
+    return T.strip(T.replace_if(c, "  ", " {2,}", " "))
+
+
+def _bound(first: Column, steps: list, use) -> Column:
+    """``use`` of the values of all steps, each made of the one before and computed once."""
+
+    def grow(values: list[Column], left: list) -> Column:
+        return use(*values) if not left else T.let(left[0](values[-1]), lambda v: grow([*values, v], left[1:]))
+
+    return T.let(steps[0](first), lambda v: grow([v], steps[1:]))
 
 
 def clean_verse(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
-    """Verse collections: run-together stanzas are split; numbers, headings, chapter ends and commentary go. Adds ``part``."""
-    raw = T.strip_tags(T.decode_xml_entities(F.col("line")))
-    whole = F.size(F.split(raw, T.STANZA_GAP, -1)) < 2
-    parts = F.when(whole, F.array(raw)).otherwise(T.split_stanzas(raw))
-    exploded = lines.withColumn("__raw", raw).select(*lines.columns, F.posexplode(parts).alias("part", "stanza"))
-    lead = T.replace(F.col("stanza"), T.LEADING_STANZA)
-    bare = T.replace(lead, T.TRAILING_STANZA)
-    line = T.collapse(bare)
-    drops = [
-        ("section_header", T.is_section_header(bare, profile)), ("chapter_end", T.is_chapter_end(bare, profile)), ("editorial", T.is_editorial(bare, profile)),
-        ("too_short", T.count_script(line, profile) < 10),
-    ]
-    return _finish(exploded, line, drops, [("leading_number", lead != F.col("stanza")), ("trailing_number", bare != lead)])
+    """Verse collections: run-together stanzas are split; numbers, headings, chapter ends and commentary go.
+
+    Adds ``part``, the stanza's place in its line. What is noted of a whole line stands at part 0; a line without any
+    stanza is one row, dropped as ``no_stanza``.
+    """
+
+    def split(raw, tags, pieces):
+        many = F.size(pieces) > 1
+        stanzas = F.when(many, F.filter(F.transform(pieces, T.strip), lambda x: x != "")).otherwise(F.array(tags))
+        notes = F.array_compact(F.array(
+            F.when(raw.contains("&nbsp;") | raw.contains("&amp;"), F.lit("html_decoded")), F.when(tags != raw, F.lit("html_tags")), F.when(many, F.lit("stanzas_split")),
+        ))
+        return T.let(
+            F.when(F.size(stanzas) > 0, stanzas).otherwise(F.array(F.lit(None).cast("string"))),
+            lambda all_: F.transform(all_, lambda x, i: F.struct(i.alias("part"), x.alias("__stanza"), F.when(i == 0, notes).otherwise(F.array().cast("array<string>")).alias("__noted"))),
+        )
+
+    def verdict(stanza, lead, bare, line):
+        drops = [
+            ("no_stanza", stanza.isNull()), ("section_header", T.is_section_header(bare, profile)), ("chapter_end", T.is_chapter_end(bare, profile)), ("editorial", T.is_editorial(bare, profile)),
+            ("too_short", T.count_script(line, profile) < 10),
+        ]
+        return _verdict(line, drops, [("leading_number", lead != stanza), ("trailing_number", bare != lead)])
+
+    parts = _bound(F.col("line"), [T.decode_entities, lambda c: T.replace_if(c, "<", T.ANY_TAG), lambda c: F.split(c, T.STANZA_GAP, -1)], split)
+    exploded = lines.select(*lines.columns, F.inline(parts))
+    steps = [lambda c: c, lambda c: T.replace(c, T.LEADING_STANZA), lambda c: T.replace(c, T.TRAILING_STANZA), _collapsed]
+    out = _judged(exploded, _bound(F.col("__stanza"), steps, verdict))
+    return out.withColumn("notes", F.concat("__noted", "notes")).withColumnRenamed("__stanza", "stanza").drop("__noted")
 
 
 def clean_print(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
     """Old prints: page numbers and short headings are dropped, footnote marks go."""
-    raw = F.col("line")
-    mark = T.strip_footnote(raw)
-    line = T.collapse(mark)
-    drops = [("page_number", T.is_page_number(raw)), ("header", T.is_short_header(raw)), ("too_short", T.count_script(line, profile) < 15)]
-    return _finish(lines, line, drops, [("footnote", mark != raw)])
+
+    def verdict(raw, mark, line):
+        heading = T.is_page_number(raw) | T.is_short_header(raw)
+        drops = [("page_number", T.is_page_number(raw)), ("header", heading), ("too_short", T.count_script(line, profile) < 15)]
+        return _verdict(line, drops, [("footnote", (mark != raw) & ~heading)])
+
+    return _judged(lines, _bound(F.col("line"), [lambda c: c, T.strip_footnote, _collapsed], verdict))
 
 
 def clean_report(cleaned: DataFrame, *keys: str) -> DataFrame:
-    """Per key: lines in and out, and lines per reason, in long form: (keys, counter, lines)."""
-    names = F.concat(F.array(F.lit("input"), F.coalesce(F.concat(F.lit("drop:"), F.col("reason")), F.lit("output"))), F.transform("notes", lambda n: F.concat(F.lit("note:"), n)))
+    """Per key: lines in and out, and lines per reason, in long form: (keys, counter, lines). A line's stanzas are one line in."""
+    first = F.col("part") == 0 if "part" in cleaned.columns else F.lit(True)
+    came = F.array(F.when(first, F.lit("input")), F.coalesce(F.concat(F.lit("drop:"), F.col("reason")), F.lit("output")))
+    names = F.concat(F.array_compact(came), F.transform("notes", lambda n: F.concat(F.lit("note:"), n)))
     return cleaned.select(*keys, F.explode(names).alias("counter")).groupBy(*keys, "counter").agg(F.count("*").alias("lines"))
 
 
+def drop_rates(cleaned: DataFrame, *keys: str) -> DataFrame:
+    """Per key: lines in, lines out, the difference and its share of the lines in, in percent."""
+    first = F.col("part") == 0 if "part" in cleaned.columns else F.lit(True)
+    counts = cleaned.groupBy(*keys).agg(F.count_if(first).alias("input"), F.count_if(F.col("reason").isNull()).alias("output"))
+    dropped = F.col("input") - F.col("output")
+    return counts.withColumn("dropped", dropped).withColumn("dropped_pct", F.round(100 * dropped / F.greatest(F.col("input"), F.lit(1)), 1))
+
+
 def combine(sources: list[tuple[str, DataFrame]], *order: str) -> DataFrame:
     """The cleaned lines of all sources, each once (its first place stays), in seeded order: source, order, line, shuffle_key."""
-    union = None
-    for rank, (name, df) in enumerate(sources):
-        part = df.where("cleaned is not null").select(F.lit(rank).alias("rank"), F.lit(name).alias("source"), *order, F.col("cleaned").alias("line"))
-        union = part if union is None else union.unionByName(part)
-    return keep_first(union, "line", "rank", *order).drop("rank").withColumn("shuffle_key", order_key(42, "line"))
+    parts = [
+        df.where("cleaned is not null").select(F.lit(rank).alias("rank"), F.lit(name).alias("source"), *order, F.col("cleaned").alias("line")) for rank, (name, df) in enumerate(sources)
+    ]
+    return keep_first(reduce(DataFrame.unionByName, parts), "line", "rank", *order).drop("rank").withColumn("shuffle_key", order_key(42, "line"))
+
+
+def combine_stats(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """One row per source, and one of all (``combined``): lines before and after each distinct line is kept once."""
+    parts = [df.where("cleaned is not null").select(F.lit(name).alias("source"), F.col("cleaned").alias("line")) for name, df in sources]
+    of_line = reduce(DataFrame.unionByName, parts).groupBy("line").agg(*[F.count_if(F.col("source") == name).alias(name) for name, _ in sources])
+    # A line is kept by the first source that has it.
+    kept, earlier, columns = [], F.lit(False), []
+    for name, _ in sources:
+        kept.append(F.count_if((F.col(name) > 0) & ~earlier))
+        earlier = earlier | (F.col(name) > 0)
+    for (name, _), own in zip(sources, kept, strict=True):
+        columns.append(F.struct(F.lit(name).alias("source"), F.coalesce(F.sum(name), F.lit(0)).alias("lines"), own.alias("kept")))
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(name), F.lit(0)) for name, _ in sources])
+    columns.append(F.struct(F.lit("combined").alias("source"), total.alias("lines"), F.count("*").alias("kept")))
+    return of_line.agg(F.array(*columns).alias("rows")).select(F.inline("rows")).withColumn("removed", F.col("lines") - F.col("kept"))
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", profile: ScriptProfile = TAMIL) -> DataFrame:
-    """Valid cleaned sentences: key, sentence_no, sentence."""
-    split = docs.select(key, F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_no", "raw"))
-    return split.withColumn("sentence", T.clean_sentence(F.col("raw"), profile)).where(T.is_valid_sentence(F.col("sentence"), profile)).drop("raw")
+def sentences(docs: DataFrame, key: str = "doc_id", profile: ScriptProfile = TAMIL, most: int | None = None) -> DataFrame:
+    """Valid cleaned sentences: key, sentence_no, sentence; with ``most`` the first so many of all by key and number."""
+    found = F.transform(T.split_sentences(F.col("text")), lambda x, i: F.struct(i.alias("sentence_no"), T.clean_sentence(x, profile).alias("sentence")))
+    valid = F.filter(found, lambda s: T.is_valid_sentence(s["sentence"], profile))
+    out = docs.select(key, F.inline(valid))
+    return out if most is None else out.orderBy(key, "sentence_no").limit(most)
 
 
 def page_text(extract: Column, wikitext: Column, profile: ScriptProfile = TAMIL) -> Column:
@@ -95,8 +167,9 @@ def crawl_lines(pages: DataFrame, key: str, text: str, profile: ScriptProfile =
     """Lines of pages with 100 script characters, cleaned, with 10 of their own, each once; pages in ``seen`` are left out."""
     fresh = pages if seen is None else pages.join(seen.select(key), key, "left_anti")
     kept = fresh.where(T.count_script(F.col(text), profile) >= 100)
-    lines = kept.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "raw")).withColumn("line", T.clean_crawled_line(F.col("raw")))
-    return keep_first(lines.where(T.count_script(F.col("line"), profile) >= 10).drop("raw"), "line", key, "line_no")
+    cleaned = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), T.clean_crawled_line(x).alias("line")))
+    lines = kept.select(key, F.inline(F.filter(cleaned, lambda s: T.count_script(s["line"], profile) >= 10)))
+    return keep_first(lines, "line", key, "line_no")
 
 
 def append_distinct(existing: DataFrame, new: DataFrame, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scripts import TAMIL, ScriptProfile
 
 #: Label groups; fixed values.
 TEXT_LABELS = ["Text", "SectionHeader", "Caption", "ListItem", "Footnote", "TableOfContents", "Form", "Code"]
@@ -215,3 +216,23 @@ def document_kind(images: Column, text_length: Column) -> Column:
     return (
         F.when((images > 0) & (text_length < 50), "scan").when((images == 0) & (text_length > 50), "digital").when((images > 0) & (text_length > 50), "hybrid").otherwise("unknown")
     )
+
+
+def region_extents(blocks: DataFrame) -> DataFrame:
+    """(doc, page, x0, y0, x1, y1): the rectangle around all blocks of a page."""
+    b = F.col("box")
+    return blocks.groupBy("doc", "page").agg(F.min(b["x0"]).alias("x0"), F.min(b["y0"]).alias("y0"), F.max(b["x1"]).alias("x1"), F.max(b["y1"]).alias("y1"))
+
+
+def wants_preprocessing(doc_type: Column) -> Column:
+    """Only historical scans go through the preprocessing chain."""
+    return F.coalesce(doc_type == "historical_scan", F.lit(False))
+
+
+def quality_rates(pages: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
+    """One row over page texts: shares of blank pages, of pages with characters of stray scripts, and the mean share of script characters."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    rate = lambda c: F.avg(c.cast("int"))
+    return pages.agg(
+        rate(T.strip(t) == "").alias("blank_rate"), rate(t.rlike(f"[{profile.stray}]")).alias("stray_rate"), F.avg(T.let(t, lambda x: T.ratio(T.count_script(x, profile), x))).alias("script_ratio"),
+    )

@@ -14,23 +14,26 @@ def explode_lines(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
-def load_lines(docs: DataFrame, *keys: str) -> DataFrame:
+def load_lines(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """Lines stripped, blank ones dropped; the numbers of the others stay."""
-    return explode_lines(docs, *keys).withColumn("line", T.strip(F.col("line"))).where("line <> ''")
+    numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), T.strip(x).alias("line")))
+    return docs.select(*keys, F.inline(F.filter(numbered, lambda s: s["line"] != "")))
 
 
 def keep_first(lines: DataFrame, value: str, *order: str) -> DataFrame:
     """The first row of each value in the given order.
 
-    The first place is pre-aggregated and joined back, so a value that a third of all rows hold is no task of its own.
+    All columns are pre-aggregated with the place, so rows are made once and a value that a third of all rows hold is no task of its own.
     """
-    place = F.struct(*order)
-    first = lines.groupBy(value).agg(F.min(place).alias("__first"))
-    return lines.withColumn("__place", place).join(first, value).where("__place = __first").drop("__place", "__first").dropDuplicates([value])
+    rest = [c for c in lines.columns if c != value]
+    first = lines.groupBy(value).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(value, "__first.*").select(*lines.columns)
 
 
 def clean_lines(docs: DataFrame, *keys: str, profile: ScriptProfile = TAMIL) -> DataFrame:
-    return explode_lines(docs, *keys).withColumn("line", T.clean_line(F.col("line"), profile)).where("line is not null")
+    """The cleaned lines with their numbers; each step is computed once a line, in arrays."""
+    found = T.split_numbered(F.col("text"), lambda x: T.clean_line(x, profile))
+    return docs.select(*keys, F.inline(F.filter(found, lambda s: s["line"].isNotNull())))
 
 
 def reflow(c: F.Column, threshold: int = 18) -> F.Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .sampling import draw
+from ..functions.text import let
+from ..functions.scripts import TAMIL, ScriptProfile
+from .sampling import draw, resampled
 
 #: Effective consonant confusions; fixed values.
 CONSONANTS = {
@@ -23,7 +25,7 @@ VOWEL_SIGNS = "[ா-ௌ]"
 WEIGHTS = [
     ("consonant", 25), ("short_long", 20), ("pulli_drop", 15), ("matra_drop", 10), ("space_insert", 5), ("space_delete", 5), ("spurious_prefix", 10), ("solitary_mark", 10),
 ]
-#: Substitutions of the register noise; fixed values.
+#: Substitutions of the register noise; fixed values. A string holds a letter's alternatives in order, as the lookup picks one by its place.
 CONFUSIONS = {
     "க": "சவ", "ச": "கஜ", "ட": "ண", "ண": "ட", "த": "ந", "ந": "தர", "ப": "வ", "ம": "ன", "ன": "மண", "ர": "ற", "ற": "ர", "ல": "வன", "வ": "பல", "ழ": "ள", "ள": "ழன",
     "ா": "ி", "ி": "ாீ", "ீ": "ி", "ு": "ூ", "ூ": "ு", "ே": "ைொ", "ை": "ே", "ொ": "ோ", "ோ": "ொ",
@@ -38,11 +40,6 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once however often it occurs there."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def chars(c: Column) -> Column:
     return F.filter(F.split(c, "", -1), lambda x: x != "")
 
@@ -52,16 +49,16 @@ def _pick(options: list[str], u: Column) -> Column:
 
 
 def corrupt(c: Column, key: Column, rate: float = 0.15, seed: int = 42) -> Column:
-    """Each character errs by itself with probability ``rate``; a kind of error that does not apply changes nothing."""
-    source = chars(c)
-    n = F.size(source)
+    """Each character errs by itself with probability ``rate``; a kind of error that does not apply changes nothing.
+
+    The kind and the sign are drawn where an error falls only.
+    """
     bounds, low = [], 0
     for kind, weight in WEIGHTS:
-        bounds.append((kind, low / 100, (low + weight) / 100))
         low += weight
+        bounds.append((kind, low / 100))
 
-    def one(x: Column, i: Column) -> Column:
-        at = i.cast("string")
+    def changed(kind: Column, x: Column, i: Column, at: Column, source: Column) -> Column:
         before = F.when(i > 0, F.get(source, i - 1))
         mark = _pick(SPURIOUS, draw(seed, key, at, F.lit("mark")))
         after = {
@@ -70,17 +67,28 @@ def corrupt(c: Column, key: Column, rate: float = 0.15, seed: int = 42) -> Colum
             "pulli_drop": F.when(x == PULLI, "").otherwise(x),
             "matra_drop": F.when(x.rlike(VOWEL_SIGNS), "").otherwise(x),
             "space_insert": F.when(T.has_script(x), F.concat(x, F.lit(" "))).otherwise(x),
-            "space_delete": F.when((x == " ") & (i > 0) & (i < n - 1), "").otherwise(x),
+            "space_delete": F.when((x == " ") & (i > 0) & (i < F.size(source) - 1), "").otherwise(x),
             "spurious_prefix": F.when((i == 0) | (before == " "), F.concat(mark, x)).otherwise(x),
             "solitary_mark": F.when(x == " ", F.concat(F.lit(" "), mark, F.lit(" "))).otherwise(x),
         }
-        kind = draw(seed, key, at, F.lit("kind"))
-        changed = F.when(F.lit(False), x)
-        for name, lo, hi in bounds:
-            changed = changed.when((kind >= lo) & (kind < hi), after[name])
-        return F.when(draw(seed, key, at, F.lit("err")) > rate, x).otherwise(changed)
+        out = F.when(F.lit(False), x)
+        for name, high in bounds:
+            out = out.when(kind < high, after[name])
+        return out
+
+    def one(x: Column, i: Column, source: Column) -> Column:
+        at = i.cast("string")
+        return F.when(draw(seed, key, at, F.lit("err")) > rate, x).otherwise(let(draw(seed, key, at, F.lit("kind")), lambda kind: changed(kind, x, i, at, source)))
+
+    return F.when(T.strip(c) == "", c).otherwise(let(chars(c), lambda source: F.array_join(F.transform(source, lambda x, i: one(x, i, source)), "")))
 
-    return F.when(T.strip(c) == "", c).otherwise(F.array_join(F.transform(source, one), ""))
+
+def changed_pairs(texts: DataFrame, n: int, rate: float = 0.15, seed: int = 42, least_edits: int = 1, profile: ScriptProfile = TAMIL) -> DataFrame:
+    """n pairs (key, input, target) of corrupted and clean texts, drawn with replacement if there are fewer texts; blank ones, those without script and pairs that did not change enough are left out."""
+    usable = texts.where((T.strip(F.col("text")) != "") & T.has_script(F.col("text"), profile))
+    drawn = resampled(usable, n, seed, "key").withColumn("key", F.concat_ws("#", "key", F.col("copy").cast("string"))).drop("copy")
+    made = drawn.select("key", corrupt(F.col("text"), F.col("key"), rate, seed).alias("input"), F.col("text").alias("target"))
+    return made.where((F.col("input") != F.col("target")) & T.edits_at_least(F.col("input"), F.col("target"), least_edits))
 
 
 def register_noise(c: Column, key: Column, rate: Column, seed: int | Column = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:
@@ -128,13 +136,12 @@ def register_noise(c: Column, key: Column, rate: Column, seed: int | Column = 42
 
 def inject_tags(c: Column, key: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}") -> Column:
     """One to three leak tags around script characters; 3 in 10 take in the next one too."""
-    source = chars(c)
-    places = F.filter(F.transform(source, lambda x, i: F.when(x.rlike(f"[{letters}]"), i)), lambda i: i.isNotNull())
-    n = F.size(places)
-    most = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 50).cast("int")))
-    count = (1 + F.floor(draw(seed, key, F.lit("tags")) * most)).cast("int")
-    order = F.array_sort(F.transform(places, lambda i: F.struct(draw(seed, key, i.cast("string"), F.lit("tag")).alias("u"), i.alias("i"))))
-    hit = F.reverse(F.array_sort(F.transform(F.slice(order, F.lit(1), count), lambda s: s["i"])))
+
+    def hits(places: Column) -> Column:
+        most = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.size(places) / 50).cast("int")))
+        count = (1 + F.floor(draw(seed, key, F.lit("tags")) * most)).cast("int")
+        order = F.array_sort(F.transform(places, lambda i: F.struct(draw(seed, key, i.cast("string"), F.lit("tag")).alias("u"), i.alias("i"))))
+        return F.reverse(F.array_sort(F.transform(F.slice(order, F.lit(1), count), lambda s: s["i"])))
 
     def wrap(acc: Column, i: Column) -> Column:
         at = i.cast("string")
@@ -145,7 +152,11 @@ def inject_tags(c: Column, key: Column, seed: int = 42, letters: str = r"\x{0B80
         whole = F.concat(F.lit("<"), tag, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
         return F.concat(F.slice(acc, F.lit(1), i), F.array(whole), F.slice(acc, F.when(two, i + 3).otherwise(i + 2), F.size(acc)))
 
-    return F.when(n == 0, c).otherwise(F.array_join(F.aggregate(hit, source, wrap), ""))
+    def whole(source: Column) -> Column:
+        places = F.filter(F.transform(source, lambda x, i: F.when(x.rlike(f"[{letters}]"), i)), lambda i: i.isNotNull())
+        return F.array_join(let(places, lambda p: F.aggregate(hits(p), source, wrap)), "")
+
+    return F.when(c.rlike(f"[{letters}]"), let(chars(c), whole)).otherwise(c)
 
 
 def training_pairs(lines: Column, key: Column, register: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .layout import needs_correction
+from .sampling import take
 
 LINES = "doc string, page int, line_no int, text string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, error string"
 
@@ -59,3 +62,28 @@ def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.
     need = F.coalesce(needs_correction(F.col("confidence"), F.col("text"), threshold), F.lit(False))
     fixed = lines.where(need).withColumn("text", apply("text")).withColumn("is_corrected", F.lit(True))
     return fixed.unionByName(lines.where(~need).withColumn("is_corrected", F.lit(False)))
+
+
+def corrected_pages(lines: DataFrame) -> DataFrame:
+    """(doc, page, lm_corrected): whether any line of the page was corrected."""
+    return lines.groupBy("doc", "page").agg(F.coalesce(F.bool_or("is_corrected"), F.lit(False)).alias("lm_corrected"))
+
+
+def round_trip(texts: DataFrame, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes], engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
+    """(key, input, target, source) of texts (key, text) drawn as images, degraded, and read by an engine.
+
+    Pairs that differ too little, fail or are ``done`` already are left out; with fewer than ``n`` left it is an error,
+    with more the first n in seeded order stay. render, degrade (image, seed) and the engine are models.
+    """
+    todo = texts if done is None else texts.join(done.select("key").distinct(), "key", "left_anti")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            images = [degrade(render(t), zlib.crc32(f"{seed}|{k}".encode())) for k, t in zip(batch.key, batch.text, strict=True)]
+            yield pd.DataFrame({"doc": batch.key.astype(str), "page": 1, "content": images})
+
+    pages = todo.select(F.col("key").cast("string").alias("key"), "text").mapInPandas(draw, "doc string, page int, content binary")
+    read = recognise(pages, engine).where("error is null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
+    found = read.select(F.col("doc").alias("key"), T.strip(F.array_join(F.transform("rows", lambda r: r["text"]), " ")).alias("input"))
+    made = found.join(todo.select(F.col("key").cast("string").alias("key"), F.col("text").alias("target")), "key").withColumn("source", F.lit(f"roundtrip_{engine}"))
+    return take(made.where(T.edits_at_least(F.col("input"), F.col("target"), least_edits)), n, seed, "key", strict=True).drop("shuffle_key")

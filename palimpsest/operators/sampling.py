@@ -20,11 +20,34 @@ def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.withColumn("shuffle_key", order_key(seed, *key)).orderBy("shuffle_key", *key)
 
 
-def take(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """n rows without replacement; all if there are fewer."""
+def take(df: DataFrame, n: int, seed: int, *key: str, strict: bool = False) -> DataFrame:
+    """n rows without replacement; if there are fewer, all, or with ``strict`` an error before anything runs."""
+    if strict and (have := df.count()) < n:
+        raise ValueError(f"{n} rows are wanted, there are {have}")
     return df.withColumn("shuffle_key", order_key(seed, *key)).orderBy("shuffle_key", *key).limit(n)
 
 
+def with_replacement(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """n rows drawn with replacement, each draw a row with its number ``copy``: draw k takes the row whose rank it hashes to."""
+    rows = ranked(df, seed, *key)
+    total = df.agg(F.count("*").alias("total"))
+    draws = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "copy").crossJoin(F.broadcast(total))  # one row
+    drawn = draws.where("total > 0").select("copy", (F.floor(draw(seed, F.col("copy").cast("string"), F.lit("draw")) * F.col("total")) + 1).cast("long").alias("rank"))
+    return rows.join(drawn, "rank").drop("rank")
+
+
+def resampled(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """n rows with ``copy``: a sample if there are enough, else drawn with replacement."""
+    if df.count() >= n:
+        return take(df, n, seed, *key).drop("shuffle_key").withColumn("copy", F.lit(1).cast("long"))
+    return with_replacement(df, n, seed, *key)
+
+
+def remaining(df: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key was not chosen."""
+    return df.join(chosen.select(*key).distinct(), list(key), "left_anti")
+
+
 def ranked(df: DataFrame, seed: int, *key: str) -> DataFrame:
     """``rank``: the place of each row in the seeded order, without gathering the rows in one task.
 
@@ -65,14 +88,23 @@ def register_targets(total: int) -> tuple[int, int, int]:
 
 
 def balance(modern: DataFrame, classical: DataFrame, premodern: DataFrame, total: int, seed: int, *key: str) -> DataFrame:
-    """The three registers brought to their shares; without pre-modern rows their share goes half to each of the others."""
+    """The three registers brought to their shares, with ``copy`` and ``register``.
+
+    Without pre-modern rows their share is given away: half to modern rows not yet chosen, if there are more than
+    that, and half to classical rows drawn with replacement (numbered on after the copies there are).
+    """
     want_m, want_c, want_p = register_targets(total)
-    parts = [("premodern", repeat_to(premodern, want_p, seed, *key))] if not premodern.isEmpty() else []
-    if not parts:
-        want_m, want_c = want_m + want_p // 2, want_c + want_p - want_p // 2
-    parts += [("modern", take(modern, want_m, seed, *key).drop("shuffle_key").withColumn("copy", F.lit(1)))]
-    if not classical.isEmpty():
-        parts.append(("classical", repeat_to(classical, want_c, seed, *key)))
+    modern_rows, classical_rows = take(modern, want_m, seed, *key).drop("shuffle_key").withColumn("copy", F.lit(1)), repeat_to(classical, want_c, seed, *key)
+    parts = [("modern", modern_rows), ("classical", classical_rows)]
+    if not premodern.isEmpty():
+        parts.append(("premodern", repeat_to(premodern, want_p, seed, *key)))
+    else:
+        more = want_p // 2
+        if modern.count() > want_m + more:
+            left = ranked(modern, seed, *key).where(F.col("rank").between(want_m + 1, want_m + more)).drop("rank")  # the order that was taken from
+            parts.append(("modern", left.withColumn("copy", F.lit(1))))
+        drawn = with_replacement(classical, want_p - more, seed + 1, *key)
+        parts.append(("classical", drawn.withColumn("copy", (F.col("copy") + want_c).cast("int"))))
     out = None
     for name, df in parts:
         df = df.withColumn("register", F.lit(name))

@@ -117,16 +117,24 @@ def training_pairs(spark, sf_dir):
     return pairs.usable(made_pairs(spark, sf_dir))
 
 
+_ASCII = r"[^\x00-\x7F]"
+#: Characters of a line in a pair.
+PIECE = 200
+
+
 def simple_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, input, target, source): documents' first lines, every seventh input with a tag."""
-    first = F.element_at(F.split("text", "\n", -1), 1)
-    tagged = F.when(c("doc_id") % 7 == 0, F.concat(F.lit("<mark>"), first, F.lit("</mark>"))).otherwise(F.regexp_replace(first, "[ae]", "o"))
-    return table(spark, sf_dir, "documents").select(c("doc_id").alias("key"), tagged.alias("input"), first.alias("target"), "source")
+    """(key, input, target, source): all lines of all documents in pieces of PIECE characters; inputs of every seventh document have a tag."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id", "source").where("line <> ''")
+    starts = F.sequence(F.lit(0), F.floor((F.char_length("line") - 1) / PIECE).cast("int"))
+    pieces = rows.select("doc_id", "source", "line_no", F.posexplode(F.transform(starts, lambda k: F.substring("line", k * PIECE + 1, F.lit(PIECE)))).alias("piece", "target"))
+    tagged = F.when(c("doc_id") % 7 == 0, F.concat(F.lit("<mark>"), "target", F.lit("</mark>"))).otherwise(F.regexp_replace("target", "[ae]", "o"))
+    return pieces.select(F.concat_ws("-", *[c(x).cast("string") for x in ("doc_id", "line_no", "piece")]).alias("key"), tagged.alias("input"), "target", "source")
 
 
 _PAIRS = (
-    "p AS (SELECT doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN '<mark>' || f || '</mark>' ELSE regexp_replace(f, '[ae]', 'o', 'g') END AS input, f AS target, source "
-    "FROM (SELECT *, string_split(text, chr(10))[1] AS f FROM documents))"
+    f"{S.lines(key='doc_id, source')}, q AS (SELECT doc_id, source, line_no, line, unnest(range(CAST(ceil(length(line) / {PIECE}) AS BIGINT))) AS piece FROM lines WHERE line <> ''), "
+    f"r AS (SELECT doc_id, concat_ws('-', doc_id, line_no, piece) AS key, source, substring(line, piece * {PIECE} + 1, {PIECE}) AS target FROM q), "
+    "p AS (SELECT key, CASE WHEN doc_id % 7 = 0 THEN '<mark>' || target || '</mark>' ELSE regexp_replace(target, '[ae]', 'o', 'g') END AS input, target, source FROM r)"
 )
 
 
@@ -145,9 +153,13 @@ def pair_stats(spark, sf_dir):
     return pairs.stats(simple_pairs(spark, sf_dir), "key").drop("avg_edits")
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, a AS (SELECT {S.rep('input', _ASCII)} AS x, {S.rep('target', _ASCII)} AS y FROM p) "
+    "SELECT count(*) AS total_pairs, round(avg(levenshtein(regexp_replace(x, '</?mark>', '', 'g'), y)), 1) AS avg_edits FROM a"
+)
 def pair_edits(spark, sf_dir):
-    return pairs.stats(simple_pairs(spark, sf_dir), "key").select("total_pairs", "avg_edits")
+    ascii_ = simple_pairs(spark, sf_dir).withColumns({n: T.replace(c(n), _ASCII) for n in ("input", "target")})  # the SQL counts bytes
+    return pairs.stats(ascii_, "key").select("total_pairs", "avg_edits")
 
 
 @query(
@@ -165,9 +177,6 @@ def resume_anti(spark, sf_dir):
     return pairs.unfinished(docs.select("text"), done, "text")
 
 
-_ASCII = r"[^\x00-\x7F]"
-
-
 @query(
     f"WITH {_PAIRS}, a AS (SELECT key, {S.rep('input', _ASCII)} AS x, {S.rep('target', _ASCII)} AS y FROM p) SELECT key, CAST(levenshtein(x, y) AS INTEGER) AS edits, levenshtein(x, y) >= 2 AS enough FROM a"
 )
@@ -182,11 +191,42 @@ def cer_wer(spark, sf_dir):
     return metrics.score(clean.select("key", noise.corrupt(c("text"), c("key")).alias("text")), clean, "key")
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, t AS (SELECT key, row_number() OVER (ORDER BY md5('42|' || key), key) AS k FROM p), v AS (SELECT key, row_number() OVER (ORDER BY md5('43|' || key), key) AS k FROM t WHERE k <= 500) "
+    "SELECT key, CASE WHEN k <= 50 THEN 'validation' ELSE 'train' END AS split FROM v"
+)
 def pack_pairs(spark, sf_dir):
     return pairs.pack(simple_pairs(spark, sf_dir), 500, 0.1, 42, "key").select("key", "split")
 
 
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE k > floor(n * 0.4)")
+def remaining_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.remaining(docs, sampling.take(docs, int(docs.count() * 0.4), 42, "doc_id"), "doc_id")
+
+
+@query(
+    "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('9|' || doc_id), doc_id) AS k FROM documents), "
+    f"d AS (SELECT copy, CAST(floor({S.draw(9, 'copy', chr(39) + 'draw' + chr(39))} * (SELECT count(*) FROM documents)) AS BIGINT) + 1 AS k FROM range(1, 501) t(copy)) SELECT r.doc_id, d.copy FROM d JOIN r ON d.k = r.k"
+)
+def draws_with_replacement(spark, sf_dir):
+    return sampling.with_replacement(table(spark, sf_dir, "documents").select("doc_id"), 500, 9, "doc_id").select("doc_id", "copy")
+
+
+@query(
+    "WITH m AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS k FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n, floor(count(*) * 0.27) AS p FROM documents), "
+    "e AS (SELECT CAST(floor(n * 0.40) AS BIGINT) AS m, CAST(floor(p / 2) AS BIGINT) AS half, CAST(p - floor(p / 2) AS BIGINT) AS rest, CAST(floor(n * 0.33) AS BIGINT) AS c FROM n), "
+    "k AS (SELECT doc_id, row_number() OVER (ORDER BY md5('43|' || doc_id), doc_id) AS k FROM documents WHERE lang = 'de'), "
+    f"d AS (SELECT CAST(copy AS BIGINT) AS copy, CAST(floor({S.draw(43, 'copy', chr(39) + 'draw' + chr(39))} * (SELECT count(*) FROM k)) AS BIGINT) + 1 AS k FROM e, unnest(range(1, e.rest + 1)) t(copy)) "
+    "SELECT doc_id, 1 AS copy, 'modern' AS register FROM m, e WHERE m.k <= e.m + CASE WHEN (SELECT count(*) FROM m) > e.m + e.half THEN e.half ELSE 0 END "
+    f"UNION ALL {_oversampled('lang = ' + chr(39) + 'de' + chr(39), 0.33, 'classical')} UNION ALL SELECT k.doc_id, CAST(d.copy + e.c AS INTEGER), 'classical' FROM d JOIN k ON d.k = k.k, e"
+)
+def redistribute(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    modern, classical = (docs.where(f"lang = '{x}'").select("doc_id") for x in ("en", "de"))
+    return sampling.balance(modern, classical, classical.limit(0), docs.count(), 42, "doc_id").select("doc_id", "copy", "register")
+
+
 @query(
     f"WITH {_PAIRS} SELECT key FROM p WHERE input <> target AND strlen(input) <= 1024 AND strlen(target) <= 1024"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from ..functions.scripts import TAMIL, ScriptProfile
-from ..operators import corpus, formatting, layout, lines, noise, pairs, recognition, sampling, shaping
-from ..sources import writers
+from ..operators import corpus, formatting, layout, lines, metrics, noise, pairs, recognition, sampling, shaping
+from ..sources import readers, writers
 
 Model = Callable[[str], str]
 
@@ -32,11 +33,11 @@ def _call(model: Model, default: str):
     return lambda c: F.pandas_udf(apply, "string")(c)
 
 
-def page_results(recognised: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc, page, confidence, n_lines, fallback, text) from recognised lines and layout blocks."""
+def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
+    """(doc, page, confidence, n_lines, fallback, text) from recognised lines and layout blocks; texts are cleaned line by line."""
     usable = layout.usable_blocks(blocks)
     kept = layout.suppress_duplicates(usable)
-    text = layout.reconstruct(recognised, kept).withColumn("text", T.tidy(F.col("text")))
+    text = layout.reconstruct(recognised, kept).withColumn("text", T.post_clean(F.col("text"), profile))
     fallback = usable.groupBy("doc", "page").agg(F.bool_or("fallback").alias("fallback"))
     scored = layout.page_confidence(recognised).withColumn("confidence", F.bround("confidence", 4))
     return scored.join(fallback, ["doc", "page"], "left").join(text, ["doc", "page"], "left").select(
@@ -44,20 +45,57 @@ def page_results(recognised: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def batch_run(pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None) -> tuple[DataFrame, DataFrame]:
-    """Page results and formatted documents of (doc, page, content) pages."""
+def batch_run(pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL) -> tuple[DataFrame, DataFrame]:
+    """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages."""
     found = recognition.recognise(pages, engine).where("error is null")
-    if corrector:
-        found = recognition.correct(found, corrector)
-    results = page_results(found, blocks)
+    found = recognition.correct(found, corrector) if corrector else found.withColumn("is_corrected", F.lit(False))
+    results = page_results(found, blocks, profile).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
     return results, formatting.format_document(results.select("doc", "page", "text"))
 
 
+def compared_run(pages: DataFrame, engines: tuple[str, str], blocks: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
+    """The pages of two engines side by side, as :func:`..operators.metrics.compare_engines` gives them."""
+    return metrics.compare_engines(*(page_results(recognition.recognise(pages, name).where("error is null"), blocks, profile) for name in engines))
+
+
+def web_run(pages: DataFrame, engine: str, blocks: DataFrame, references: DataFrame | None = None, languages: str = "ta, en", profile: ScriptProfile = TAMIL) -> DataFrame:
+    """(doc, text, cer, wer, report) of (path, page, content) pages of up to 100 each: recognised, cleaned, reflowed, scored and reported.
+
+    A page that fails shows its error in the text. references: (doc, reference, origin).
+    """
+    named = readers.at_most(pages).select(F.element_at(F.split("path", "/"), -1).alias("doc"), "page", "content")
+    found = recognition.recognise(named, engine)
+    good = page_results(found.where("error is null"), blocks, profile).select("doc", "page", lines.reflow(F.col("text")).alias("text"))
+    failed = found.where("error is not null").select("doc", "page", "error")
+    each = named.select("doc", "page").join(good, ["doc", "page"], "left").join(failed, ["doc", "page"], "left")
+    blocks_ = each.select("doc", "page", writers.page_blocks(F.col("page"), F.col("text"), F.col("error")).alias("block"), "text")
+    rows = F.array_sort(F.collect_list(F.struct("page", "block", "text")))
+    whole = blocks_.groupBy("doc").agg(rows.alias("rows"), F.count("*").alias("n_pages"))
+    title = writers.run_header("Tamil OCR Output", ("Languages", F.lit(languages)), ("Pages processed", F.col("n_pages")))
+    texts = whole.select("doc", "n_pages", F.concat(title, F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n")).alias("text"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), " ").alias("body"))
+    empty = texts.select("doc", F.lit(None).cast("string").alias("reference"), F.lit("no reference available").alias("origin"))
+    both = texts.join(empty if references is None else references, "doc", "left").withColumns({"p": T.metric_text(udfs.nfc("body")), "r": T.metric_text(udfs.nfc("reference"))})
+    has = F.coalesce(F.col("r") != "", F.lit(False))
+    scored = both.withColumns({"cer": F.when(has, metrics.char_error_rate(F.col("p"), F.col("r"))), "wer": F.when(has, metrics.word_error_rate(F.col("p"), F.col("r")))})
+    report = metrics.run_report(F.col("doc"), F.col("n_pages"), T.safe_stem(F.col("doc")), F.col("cer"), F.col("wer"), F.coalesce("origin", F.lit("no reference available")), F.lit(languages))
+    return scored.select("doc", "text", "cer", "wer", report.alias("report"))
+
+
+def evaluate(outputs: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc, cer, wer, reference_chars, predicted_chars) of formatted outputs (doc, text) against joined reference pages (doc, text)."""
+    p = outputs.select("doc", T.prediction_text(F.col("text")).alias("p"))
+    r = references.select("doc", T.strip(T.replace(F.col("text"), r"\s+", " ")).alias("r"))
+    rates = [metrics.char_error_rate(F.col("p"), F.col("r")).alias("cer"), metrics.word_error_rate(F.col("p"), F.col("r")).alias("wer")]
+    return p.join(r, "doc").select("doc", *rates, F.char_length("r").alias("reference_chars"), F.char_length("p").alias("predicted_chars"))
+
+
 def reviewed_run(results: DataFrame, lines_: DataFrame, router: Model, reviewer: Model, finisher: Model) -> DataFrame:
-    """(doc, text): page results routed, reviewed where the gate asks for it, assembled and finished chunk by chunk.
+    """Page results routed, reviewed where the gate asks for it, assembled and finished chunk by chunk, twice.
 
-    The router sees each document's first page; a page the gate lets through never reaches the reviewer. A reviewer's
-    answer is recorded and changes no text.
+    A row per document: doc, final_markdown, total_pages, llm_call_count, detected_language, doc_type, qa_decisions (page,
+    answer), routing_reason, and ``text``, the same under the output file's head. The router sees each document's
+    first page; a page the gate lets through never reaches the reviewer. A reviewer's answer is recorded and
+    changes no text.
     """
     first = results.groupBy("doc").agg(F.min_by("text", "page").alias("text"), F.count("*").alias("n_pages"))
     routed = first.select("doc", "n_pages", T.routing_decision(_call(router, "")("text")).alias("route"))
@@ -68,15 +106,45 @@ def reviewed_run(results: DataFrame, lines_: DataFrame, router: Model, reviewer:
     pages = asked.unionByName(gated.where(~need).withColumn("review", F.lit(None).cast("string")))
     whole = lines.ordered_join(pages.withColumn("t", F.concat(F.lit("PAGE "), F.col("page").cast("string"), F.lit("\n"), F.col("text"))), ["doc"], "page", "t", "\n\n")
     chunks = whole.select("doc", F.posexplode(udfs.chunk_text("text")).alias("chunk_no", "chunk"))
-    finished = chunks.withColumn("chunk", F.coalesce(_call(finisher, None)("chunk"), F.col("chunk")))
-    body = lines.ordered_join(finished, ["doc"], "chunk_no", "chunk", "")
-    calls = 1 + F.coalesce(F.col("reviews"), F.lit(0)) + 1
-    counted = pages.groupBy("doc").agg(F.count("review").alias("reviews"))
+    passed = chunks
+    for _ in range(2):  # the second pass works on what the first one gave
+        passed = passed.withColumn("chunk", F.coalesce(T.strip(_call(finisher, None)("chunk")), F.col("chunk")))
+    body = lines.ordered_join(passed, ["doc"], "chunk_no", "chunk", "\n\n")
+    reviews = pages.groupBy("doc").agg(F.count("review").alias("reviews"), F.array_sort(F.collect_list(F.when(F.col("review").isNotNull(), F.struct("page", F.col("review").alias("answer"))))).alias("qa_decisions"))
+    calls = 1 + F.coalesce(F.col("reviews"), F.lit(0)) + 1  # finishing counts once, whatever its chunks and passes
     head = writers.run_header(
         "Document text output", ("Source file", F.col("doc")), ("Detected language", F.col("route.detected_language")), ("Document type", F.col("route.doc_type")),
-        ("Total pages", F.col("n_pages")), ("LLM calls made", calls),
+        ("Total pages", F.col("n_pages")), ("LLM calls made", F.col("llm_call_count")),
     )
-    return body.join(routed, "doc").join(counted, "doc", "left").select("doc", F.concat(head, F.lit("\n"), F.col("text")).alias("text"))
+    rows = body.join(routed, "doc").join(reviews, "doc", "left").withColumn("llm_call_count", calls)
+    return rows.select(
+        "doc", F.col("text").alias("final_markdown"), F.col("n_pages").alias("total_pages"), "llm_call_count", "route.detected_language", "route.doc_type", "qa_decisions", "route.routing_reason",
+        F.concat(head, F.lit("\n"), F.col("text")).alias("text"),
+    )
+
+
+def plain_run(results: DataFrame, language: str = "ta") -> DataFrame:
+    """The same columns without any reviewing model: pages under their numbers."""
+    whole = lines.ordered_join(results.withColumn("t", F.concat(F.lit("=== PAGE "), F.col("page").cast("string"), F.lit(" ===\n"), F.col("text"))), ["doc"], "page", "t", "\n\n")
+    counts = results.groupBy("doc").agg(F.count("*").alias("total_pages"))
+    return whole.join(counts, "doc").select(
+        "doc", F.col("text").alias("final_markdown"), "total_pages", F.lit(0).cast("long").alias("llm_call_count"), F.lit(language).alias("detected_language"), F.lit("historical_scan").alias("doc_type"),
+        F.array().cast("array<struct<page:int,answer:string>>").alias("qa_decisions"), F.lit("").alias("routing_reason"), "text",
+    )
+
+
+def run_document(results: DataFrame, lines_: DataFrame | None = None, models: tuple[Model, Model, Model] | None = None, language: str = "ta") -> dict:
+    """One document's result with the seconds it took: recognition, agents, in all. Without models pages are joined as they are."""
+    began = time.monotonic()
+    results = results.persist()
+    n = results.count()
+    read = time.monotonic()
+    found = plain_run(results, language) if models is None else reviewed_run(results, lines_, *models)
+    row = found.drop("doc", "text").first() if n else None
+    results.unpersist()
+    ended = time.monotonic()
+    out = row.asDict(recursive=True) if row else {"final_markdown": "", "total_pages": 0, "llm_call_count": 0, "detected_language": language, "doc_type": "historical_scan", "qa_decisions": [], "routing_reason": ""}
+    return out | {"elapsed_ocr": read - began, "elapsed_agents": ended - read, "elapsed_total": ended - began}
 
 
 def clean_all(web: DataFrame, verse: DataFrame, printed: DataFrame, profile: ScriptProfile = TAMIL) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +171,7 @@ def pack_training_set(made: DataFrame, extra: DataFrame | None, n: int, val_rati
     """n sampled pairs and the extra pairs that differ enough, shuffled by seed, with ``split``."""
     if n < 1 or not 0 < val_ratio < 1 or least_edits < 0:
         raise ValueError("n must be positive, val_ratio between 0 and 1, least_edits not negative")
-    chosen = sampling.take(made, n, seed, "key").drop("shuffle_key")
+    chosen = sampling.take(made, n, seed, "key", strict=True).drop("shuffle_key")
     if extra is not None:
         chosen = chosen.unionByName(pairs.usable(extra, least_edits))
     return sampling.train_val_split(chosen, val_ratio, seed, "key")

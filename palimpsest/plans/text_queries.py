@@ -34,6 +34,10 @@ def doc_lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return lines.explode_lines(table(spark, sf_dir, "documents"), *(keys or ("doc_id",)))
 
 
+def loaded(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return lines.load_lines(table(spark, sf_dir, "documents"), *(keys or ("doc_id",)))
+
+
 STEPS, CLEANED = S.cleaned()
 LINES = f"WITH {S.lines()}"
 
@@ -62,9 +66,13 @@ def clean_changelog(spark, sf_dir):
     return marked.select("doc_id", "line_no", F.inline(T.change_log(c("line"), LATIN))).select("doc_id", "line_no", "kind", "cleaned")
 
 
-@query(f"SELECT doc_id, {S.strip(S.rep(S.rep('text', '[ ' + chr(9) + ']+', ' '), ' ([.,!?])', '$1'))} AS text FROM documents")
+@query(
+    f"{LINES}, {STEPS}, f AS (SELECT doc_id, line_no, {CLEANED} AS line FROM s3), "
+    "d AS (SELECT d.doc_id, coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) FROM f WHERE f.doc_id = d.doc_id), '') AS text FROM documents d) "
+    f"SELECT doc_id, {S.strip(S.rep(S.rep('text', '[ ' + chr(9) + ']+', ' '), ' ([.,!?])', '$1'))} AS text FROM d"
+)
 def post_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.tidy(c("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.post_clean(c("text"), LATIN).alias("text"))
 
 
 @query(f"{LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {S.garbage('line')}) AS n_garbage, count(*) FILTER (WHERE {S.has('line', T.NOISE)}) AS n_noisy FROM lines GROUP BY doc_id")
@@ -86,73 +94,103 @@ def script_profile(spark, sf_dir):
     )
 
 
-def _cleaner(steps: str, drops: list[tuple[str, str]], value: str) -> str:
-    reason = "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in drops) + " END"
-    return f"{steps}, f AS (SELECT *, {reason} AS reason, {value} AS cleaned FROM w)"
-
-
-_WEB = _cleaner(
-    f"{LINES}, w0 AS (SELECT doc_id, line_no, {S.rep(S.entities('line'), T.ANY_TAG)} AS t FROM lines), w AS (SELECT *, {S.rep('t', T.LIST_MARKER)} AS m FROM w0)",
-    [
-        ("foreign_heavy", f"length(m) > 0 AND length({S.rep('m', f'[^{chr(92)}p{{L}}]|[{LATIN.letters}]')}) / length(m) > 0.30"), ("web_junk", S.has("m", T.WEB_JUNK)),
-        ("too_short", f"{S.count_script(S.collapse('m'))} < 15"),
-    ],
-    S.collapse("m"),
-)
-_VERSE = _cleaner(
-    f"{LINES}, v0 AS (SELECT doc_id, line_no, {S.rep(S.entities('line'), T.ANY_TAG)} AS t FROM lines), "
-    f"v1 AS (SELECT doc_id, line_no, string_split_regex(t, {S.lit(T.STANZA_GAP)}) AS ps, t FROM v0), "
-    f"v2 AS (SELECT doc_id, line_no, CASE WHEN len(ps) < 2 THEN [t] ELSE list_filter(list_transform(ps, lambda v: {S.strip('v')}), lambda v: v <> '') END AS ps FROM v1), "
-    "v3 AS (SELECT doc_id, line_no, unnest(range(len(ps))) AS part, unnest(ps) AS stanza FROM v2), "
-    f"w AS (SELECT *, {S.rep(S.rep('stanza', T.LEADING_STANZA), T.TRAILING_STANZA)} AS b FROM v3)",
-    [
-        ("section_header", f"{S.has('b', T.SECTION_HEADER)} OR {S.has('b', f'^[{LATIN.letters}{chr(92)}s]+{chr(92)}d+{chr(92)}.{chr(92)}d+')}"),
-        ("chapter_end", f"{S.has('b', '(?i)' + LATIN.chapter_end)} AND length(b) < 60"), ("editorial", S.has("b", "(?i)" + LATIN.editorial)), ("too_short", f"{S.count_script(S.collapse('b'))} < 10"),
-    ],
-    S.collapse("b"),
-)
-_PRINT = _cleaner(
-    f"{LINES}, w AS (SELECT doc_id, line_no, line, {S.rep('line', T.FOOTNOTE)} AS m FROM lines)",
-    [("page_number", S.has("line", T.PAGE_NUMBER)), ("header", f"length(line) < 25 AND NOT {S.has('line', '[.!?,;:]')}"), ("too_short", f"{S.count_script(S.collapse('m'))} < 15")],
-    S.collapse("m"),
-)
-
-
-@query(f"{_WEB} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, cleaned FROM f WHERE reason IS NULL")
+LOADED = f"WITH {S.loaded()}"
+KEPT = "CAST(line_no AS INTEGER) AS line_no"
+
+
+@query(f"{S.web(LOADED)} SELECT doc_id, {KEPT}, cleaned FROM f WHERE reason IS NULL")
 def clean_web_corpus(spark, sf_dir):
-    return corpus.clean_web(doc_lines(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "cleaned")
+    return corpus.clean_web(loaded(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "cleaned")
 
 
-@query(f"{_VERSE} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(part AS INTEGER) AS part, cleaned FROM f WHERE reason IS NULL")
+@query(f"{S.verse(LOADED)} SELECT doc_id, {KEPT}, CAST(part AS INTEGER) AS part, cleaned FROM f WHERE reason IS NULL")
 def clean_verse_corpus(spark, sf_dir):
-    return corpus.clean_verse(doc_lines(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "part", "cleaned")
+    return corpus.clean_verse(loaded(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "part", "cleaned")
 
 
-@query(f"{_PRINT} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, cleaned FROM f WHERE reason IS NULL")
+@query(f"{S.prints(LOADED)} SELECT doc_id, {KEPT}, cleaned FROM f WHERE reason IS NULL")
 def clean_print_corpus(spark, sf_dir):
-    return corpus.clean_print(doc_lines(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "cleaned")
+    return corpus.clean_print(loaded(spark, sf_dir), LATIN).where("reason is null").select("doc_id", "line_no", "cleaned")
 
 
-_KEEP_SOURCE = _PRINT.replace("WITH lines_a AS (SELECT doc_id,", "WITH lines_a AS (SELECT doc_id, source,").replace("lines AS (SELECT doc_id,", "lines AS (SELECT doc_id, source,").replace("w AS (SELECT doc_id,", "w AS (SELECT doc_id, source,")
+BY_SOURCE = f"WITH {S.loaded(key='doc_id, source')}"
 
 
-@query(
-    f"{_KEEP_SOURCE}, n AS (SELECT source, 'input' AS counter FROM f UNION ALL SELECT source, coalesce('drop:' || reason, 'output') FROM f UNION ALL SELECT source, 'note:footnote' FROM f WHERE m <> line) "
-    "SELECT source, counter, count(*) AS lines FROM n GROUP BY ALL"
-)
+@query(S.report(S.prints(BY_SOURCE), "source"))
 def clean_stats(spark, sf_dir):
-    return corpus.clean_report(corpus.clean_print(doc_lines(spark, sf_dir, "doc_id", "source"), LATIN), "source")
+    return corpus.clean_report(corpus.clean_print(loaded(spark, sf_dir, "doc_id", "source"), LATIN), "source")
+
+
+@query(S.report(S.web(BY_SOURCE), "source"))
+def clean_web_stats(spark, sf_dir):
+    return corpus.clean_report(corpus.clean_web(loaded(spark, sf_dir, "doc_id", "source"), LATIN), "source")
+
+
+@query(S.report(S.verse(BY_SOURCE), "source", "part = 0"))
+def clean_verse_stats(spark, sf_dir):
+    return corpus.clean_report(corpus.clean_verse(loaded(spark, sf_dir, "doc_id", "source"), LATIN), "source")
 
 
 @query(
-    f"{_PRINT}, p AS (SELECT 0 AS rank, 'print' AS source, doc_id, CAST(line_no AS INTEGER) AS line_no, cleaned AS line FROM f WHERE reason IS NULL), "
-    f"g AS ({_WEB} SELECT 1 AS rank, 'web' AS source, doc_id, CAST(line_no AS INTEGER) AS line_no, cleaned AS line FROM f WHERE reason IS NULL), "
-    "u AS (SELECT * FROM p UNION ALL SELECT * FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY rank, doc_id, line_no) AS k FROM u) "
-    "SELECT source, doc_id, line_no, line, md5('42|' || line) AS shuffle_key FROM r WHERE k = 1"
+    f"{S.verse(BY_SOURCE)}, t AS (SELECT source, count(*) FILTER (WHERE part = 0) AS input, count(*) FILTER (WHERE reason IS NULL) AS output FROM f GROUP BY source) "
+    "SELECT source, input, output, input - output AS dropped, round(100 * (input - output) / greatest(input, 1), 1) AS dropped_pct FROM t"
+)
+def clean_drop_rates(spark, sf_dir):
+    return corpus.drop_rates(corpus.clean_verse(loaded(spark, sf_dir, "doc_id", "source"), LATIN), "source")
+
+
+_UNION = (
+    f"{S.prints(LOADED)}, p AS (SELECT 0 AS rank, 'print' AS source, doc_id, {KEPT}, cleaned AS line FROM f WHERE reason IS NULL), "
+    f"g AS ({S.web(LOADED)} SELECT 1 AS rank, 'web' AS source, doc_id, {KEPT}, cleaned AS line FROM f WHERE reason IS NULL), "
+    "u AS (SELECT * FROM p UNION ALL SELECT * FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY rank, doc_id, line_no) AS k FROM u)"
 )
+
+
+def cleaned_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    rows = loaded(spark, sf_dir)
+    return [("print", corpus.clean_print(rows, LATIN)), ("web", corpus.clean_web(rows, LATIN))]
+
+
+@query(f"{_UNION} SELECT source, doc_id, line_no, line, md5('42|' || line) AS shuffle_key FROM r WHERE k = 1")
 def combine_dedup(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir)
-    return corpus.combine([("print", corpus.clean_print(rows, LATIN)), ("web", corpus.clean_web(rows, LATIN))], "doc_id", "line_no").select("source", "doc_id", "line_no", "line", "shuffle_key")
+    return corpus.combine(cleaned_sources(spark, sf_dir), "doc_id", "line_no").select("source", "doc_id", "line_no", "line", "shuffle_key")
+
+
+@query(
+    f"{_UNION}, t AS (SELECT source, count(*) AS lines, count(*) FILTER (WHERE k = 1) AS kept FROM r GROUP BY source UNION ALL SELECT 'combined', count(*), count(*) FILTER (WHERE k = 1) FROM r) "
+    "SELECT source, lines, kept, lines - kept AS removed FROM t"
+)
+def combine_report(spark, sf_dir):
+    return corpus.combine_stats(cleaned_sources(spark, sf_dir))
+
+
+#: Lines in the profile's own script, with what each rule looks for.
+TAMIL_CORPUS = [
+    (1, "  1. தமிழ் மொழி மிகவும் பழமையான மொழி ஆகும் &amp; அழகானது (classical language) "), (2, "<b>மதுரை</b> நகரம் வைகை ஆற்றின் கரையில் உள்ளது"), (3, "   "), (4, "English heavy வரி with mostly Latin"),
+    (5, "இந்த வரியில் www.example.com என்ற முகவரி உள்ளது"), (6, "குறுகிய"), (7, "அகர முதல எழுத்தெல்லாம் ஆதி   12 பகவன் முதற்றே உலகு என்றார்   13 கற்றதனால் ஆய பயனென்கொல்"), (8, "1.2.3 புதல்வரைப் பெறுதல் என்னும் அதிகாரம்"),
+    (9, "அறத்துப்பால் 1.1 கடவுள் வாழ்த்து"), (10, "அறத்துப்பால் முற்றிற்று"), (11, "பொருள் : இந்தக் குறளின் பொருள் இதுவாகும்"), (12, "  863 வாலறிவன் நற்றாள் தொழாஅர் எனின் 25  "), (13, "45"), (14, "சிறு தலைப்பு"),
+    (15, "பழைய அச்சு நூல்களில் அடிக்குறிப்புகள் இருக்கும்.†2"), (16, "இரு  இடைவெளி   உள்ள   வரி நீண்டது, மிக நீண்டது"), (17, "&lt;font&gt;மலர்மிசை ஏகினான் மாணடி சேர்ந்தார்&lt;/font&gt;"), (18, "   863 "), (19, "&amp;nbsp; நிலமிசை நீடுவாழ் வார் என்று"),
+]
+_FIXED = f"WITH lines_in(id, raw_line) AS (VALUES {', '.join(f'({i}, {S.lit(t)})' for i, t in TAMIL_CORPUS)}), lines AS (SELECT id, line FROM (SELECT id, {S.strip('raw_line')} AS line FROM lines_in) WHERE line <> '')"
+
+
+def tamil_corpus(spark: SparkSession) -> DataFrame:
+    return lines.load_lines(spark.createDataFrame(TAMIL_CORPUS, "id int, text string"), "id")
+
+
+@query(f"{S.web(_FIXED, 'tamil')} SELECT id, reason, array_to_string(notes, ',') AS notes, cleaned FROM (SELECT id, reason, notes, CASE WHEN reason IS NULL THEN cleaned END AS cleaned FROM f)")
+def tamil_web_corpus(spark, sf_dir):
+    return corpus.clean_web(tamil_corpus(spark), TAMIL).select("id", "reason", F.array_join("notes", ",").alias("notes"), "cleaned")
+
+
+@query(f"{S.verse(_FIXED, 'tamil')} SELECT id, CAST(part AS INTEGER) AS part, reason, array_to_string(notes, ',') AS notes, CASE WHEN reason IS NULL THEN cleaned END AS cleaned FROM f")
+def tamil_verse_corpus(spark, sf_dir):
+    return corpus.clean_verse(tamil_corpus(spark), TAMIL).select("id", "part", "reason", F.array_join("notes", ",").alias("notes"), "cleaned")
+
+
+@query(f"{S.prints(_FIXED, 'tamil')} SELECT id, reason, array_to_string(notes, ',') AS notes, CASE WHEN reason IS NULL THEN cleaned END AS cleaned FROM f")
+def tamil_print_corpus(spark, sf_dir):
+    return corpus.clean_print(tamil_corpus(spark), TAMIL).select("id", "reason", F.array_join("notes", ",").alias("notes"), "cleaned")
 
 
 @query(f"WITH s AS (SELECT doc_id, {S.sentences('text')} AS ss FROM documents) SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS sentence_no, unnest(ss) AS sentence FROM s")
@@ -178,7 +216,7 @@ def strip_html_pages(spark, sf_dir):
 
 @query()
 def decode_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", udfs.decode_entities(T.strip_tags(c("html"))).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(T.strip_tags(c("html"))).alias("text"))
 
 
 _WIKI = "'{{box {{a}} b}}[[Category:x]]== ' || url || ' ==' || chr(10) || '* [[target|shown]] and [[plain]] [http://a.b text] ''''bold'''' __TOC__' || chr(10) || '|cell' || chr(10) || html"

@@ -44,8 +44,21 @@ def new_files(spark: SparkSession, path: str, schema, files_per_batch: int = 64)
 
 
 def append_once(stream: DataFrame, key: str, path: str, checkpoint: str, clean: Callable[[DataFrame], DataFrame]):
-    """Clean what has arrived, append each key once ever, and stop; a later run goes on where this one ended."""
-    return clean(stream).dropDuplicates([key]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Clean what has arrived, append each key once ever, and stop; a later run goes on where this one ended.
+
+    A batch is written to a folder of its own (``batch``), without the keys of the batches before it; so no state is kept, and a
+    batch that is run again after a failure replaces what it left.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        new = clean(rows).dropDuplicates([key])
+        where = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        if number and where.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(where):
+            before = rows.sparkSession.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+            new = new.join(before.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:

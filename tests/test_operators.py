@@ -1,5 +1,6 @@
 """Hand-derived expectations and properties of the operators that SQL does not say."""
 
+import html
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions import udfs
 from palimpsest.functions.scripts import TAMIL
 from palimpsest.operators import corpus, formatting, layout, lines, metrics, noise, pairs, recognition, sampling, shaping
+from palimpsest.plans import runs
 from palimpsest.sources import readers, writers
 from palimpsest.streaming import streams
 
@@ -34,12 +36,21 @@ def test_text_rules(spark):
     assert one(spark, lambda c: T.edits_at_least(c, F.lit("abd"), 2), "abc") is False
     assert one(spark, lambda c: T.edits_at_least(c, F.lit("a"), 2), "abc") is True
     assert one(spark, T.split_lines, "a\r\nb\n") == ["a", "b"]
-    assert one(spark, udfs.decode_entities, "a &amp; b &hellip;") == "a & b …"
+    assert one(spark, T.decode_entities, "a &amp; b &hellip;") == "a & b …"
     assert one(spark, lines.reflow, "long line of text here\ntail\n\n\nnext") == "long line of text here tail\n\nnext"
     assert one(spark, lines.paragraphs, "a.\nb\nc!") == "a.\n\nb c!"
     assert one(spark, T.ends_sentence, "said “so”  ") is True
 
 
+def test_entities_are_those_of_html(spark):
+    rng = random.Random(31)
+    bits = ["&", "amp", ";", "#", "x", "38", "3C", "lt", "notit", "not", "nbsp", "hellip", "&#128;", "&#x1F600;", "&#0;", "&#xD800;", "&#99999999999;", "&#11;", "&#xFFFE;", "&#x80", "&ampx", "&lt", "&ltimes;", "é", " ", "<", "&NotEqualTilde;", "&a;", "&1;", "&#013;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(1500)] + ["&amp;lt;", "&amp;amp; &#38;lt;", "no entity", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.decode_entities(F.col("t")).alias("d")).collect()
+    assert {r.i: r.d for r in got} == {i: html.unescape(t) for i, t in enumerate(texts)}
+    assert one(spark, T.decode_entities, None) is None
+
+
 def test_merge_short_lines(spark):
     assert one(spark, lines.merge_short_lines, "a short line here\nthat goes on\n\n'speech'\nend.") == "a short line here that goes on\n\n'speech'\nend."
     assert one(spark, lines.merge_short_lines, "tiny\nword") == "tiny\nword"
@@ -206,10 +217,20 @@ def test_docx_pages(spark, tmp_path):
     import zipfile
 
     with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
-        z.writestr("word/media/image1.png", b"1")
+        for n in (10, 2, 1):
+            z.writestr(f"word/media/image{n}.png", b"\x89PNG\r\n\x1a\n%d" % n)
+        z.writestr("word/media/image3.png", b"no image")
         z.writestr("word/document.xml", b"no")
     files = readers.page_files(spark, str(tmp_path), "docx")
-    assert [(r.page, bytes(r.content)) for r in readers.docx_pages(files).collect()] == [(1, b"1")]
+    assert [(r.page, bytes(r.content)[8:]) for r in readers.docx_pages(files).collect()] == [(1, b"1"), (2, b"2"), (3, b"10")]
+    with pytest.raises(Exception, match="more than 2"):
+        readers.docx_pages(files, 2).count()
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/media/image1.png", b"\x89PNG\r\n\x1a\n1")
+    with zipfile.ZipFile(tmp_path / "y.bin", "w") as z:
+        z.writestr("word/document.xml", b"no")
+    with pytest.raises(Exception, match="holds no images"):
+        readers.docx_pages(readers.page_files(spark, str(tmp_path), "bin")).count()
     assert readers.at_most(readers.docx_pages(files)).count() == 1
     with pytest.raises(Exception, match="pages"):
         readers.at_most(readers.docx_pages(files), 0).count()
@@ -260,3 +281,83 @@ def test_mean_edits_of_all_pairs(spark):
     made = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") < 2000, "same").otherwise("sane").alias("input"), F.lit("same").alias("target"), F.lit("s").alias("source"))
     assert pairs.stats(made, "key").first().avg_edits == 0.3
     assert pairs.stats(made, "key", edits_of_first=2000).first().avg_edits == 0.0
+
+
+def test_other_sources(spark, tmp_path):
+    urls = spark.createDataFrame([("good",), ("bad",)], "url string")
+    got = {r.url: (r.text, r.error) for r in readers.fetched_texts(urls, lambda u: {"good": "<p>text</p>"}[u]).collect()}
+    assert got == {"good": ("<p>text</p>", None), "bad": (None, "'bad'")}
+    pages = spark.createDataFrame([(1, "<p>தமிழ் மொழி மிகவும் பழமையான மொழி ஆகும்.</p> <b>இது இரண்டாவது வாக்கியம் ஆகும்.</b> short."), (2, None)], "id int, html string")
+    assert [(r.id, r.sentence_no) for r in readers.page_sentences(pages, "id", "html").collect()] == [(1, 0), (1, 1)]
+    assert readers.page_sentences(pages, "id", "html", most=1).count() == 1
+    assert readers.first_that_works(lambda: spark.read.parquet(str(tmp_path / "none")), lambda: pages.limit(0), lambda: pages).count() == 2
+    with pytest.raises(ValueError):
+        readers.first_that_works(lambda: pages.limit(0))
+    made = []
+    make = lambda: made.append(1) or pages
+    assert [readers.once(spark, str(tmp_path / "kept"), make).count() for _ in range(2)] == [2, 2] and len(made) == 1
+    members = spark.createDataFrame([("root", "A", "page"), ("root", "sub", "subcat"), ("sub", "A", "page"), ("sub", "B", "page"), ("sub", "deep", "subcat"), ("deep", "C", "page"), ("other", "D", "page")], "category string, title string, kind string")
+    assert sorted(r.title for r in readers.crawl_titles(members, ["root"]).collect()) == ["A", "B"]
+
+
+def test_reports_and_reference_pages(spark, tmp_path):
+    compared = spark.createDataFrame([("d", 1, 0.9, 3, 10, 0.8, 3, 10), ("d", 2, 0.5, 3, 10, 0.8, 3, 10), ("e", 1, None, 3, 10, 0.8, 3, 10)], "doc string, page int, a_confidence double, a_n_lines int, a_chars int, b_confidence double, b_n_lines int, b_chars int")
+    writers.comparison(compared, str(tmp_path / "report"))
+    assert readers.stored_winner(spark, str(tmp_path / "report"), "one", "two") == "two" and readers.stored_winner(spark, str(tmp_path / "no"), "one", "two") == "one"
+    writers.stats(compared.agg(F.count("*").alias("n")), str(tmp_path / "stats"))
+    assert spark.read.json(str(tmp_path / "stats")).first().n == 3
+    for doc, n, text in (("s", 2, " two \n"), ("s", 1, "one"), ("t", 1, "other")):
+        (tmp_path / "truth" / doc).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "truth" / doc / f"page_{n:03}.txt").write_text(text)
+    truth = readers.reference_pages(spark, str(tmp_path / "truth"))
+    assert {r.doc: r.text for r in truth.collect()} == {"s": "one two", "t": "other"}
+    head = "Tamil OCR Output — s\nPages processed: 1\n" + "=" * 60 + "\n\n" + "=" * 60 + "\nPAGE 1\n" + "=" * 60 + "\none\ntwo"
+    row = runs.evaluate(spark.createDataFrame([("s", head)], "doc string, text string"), truth).first()
+    assert (row.cer, row.wer, row.reference_chars, row.predicted_chars) == (0.0, 0.0, 7, 7)
+    pages = spark.createDataFrame([("/x/my: file.pdf", 3, b"1")], "path string, page int, content binary")
+    folder = str(tmp_path)
+
+    def put(name, content):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+
+    assert [r.name for r in writers.page_images(pages, put).collect()] == ["my_ file_page_0003.png"] and (tmp_path / "my_ file_page_0003.png").read_bytes() == b"1"
+
+
+def test_round_trip_of_rendered_texts(spark):
+    import pandas as pd
+
+    def load():
+        return lambda page: pd.DataFrame([{"doc": page.doc.iloc[0], "page": 1, "line_no": 0, "text": bytes(page.content.iloc[0]).decode().replace("a", "oo"), "box": None, "confidence": 0.9}])
+
+    recognition.register("swap", load)
+    texts = spark.createDataFrame([("1", "banana"), ("2", "cherry"), ("3", "papaya"), ("4", "avocado")], "key string, text string")
+    made = recognition.round_trip(texts, str.encode, lambda image, seed: image, "swap", 2, done=texts.where("key = '3'"))
+    assert {(r.key, r.input, r.target, r.source) for r in made.collect()} == {("1", "boonoonoo", "banana", "roundtrip_swap"), ("4", "oovocoodo", "avocado", "roundtrip_swap")}
+    with pytest.raises(ValueError):
+        recognition.round_trip(texts, str.encode, lambda image, seed: image, "swap", 4)
+
+
+def test_samples(spark):
+    df = spark.range(7).select(F.col("id").cast("string").alias("k"))
+    with pytest.raises(ValueError):
+        sampling.take(df, 8, 1, "k", strict=True)
+    drawn = sampling.with_replacement(df, 50, 1, "k").collect()
+    assert len(drawn) == 50 and len({r.copy for r in drawn}) == 50 and len({r.k for r in drawn}) <= 7
+    assert sampling.with_replacement(df.limit(0), 5, 1, "k").count() == 0
+    assert sampling.remaining(df, df.limit(3), "k").count() == 4
+    texts = spark.createDataFrame([("1", "தமிழ் மொழி மிகவும் பழமையான மொழி ஆகும்"), ("2", "no script"), ("3", " "), ("4", None)], "key string, text string")
+    pairs_ = noise.changed_pairs(texts, 5, 0.5).collect()
+    assert 1 < len(pairs_) <= 5 and all(r.input != r.target and r.key.startswith("1#") for r in pairs_)
+
+
+def test_page_rates_and_extents(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    blocks = spark.createDataFrame([("d", 1, (1.0, 5.0, 9.0, 9.0)), ("d", 1, (3.0, 2.0, 4.0, 20.0))], f"doc string, page int, box {box}")
+    assert tuple(layout.region_extents(blocks).first()) == ("d", 1, 1.0, 2.0, 9.0, 20.0)
+    rates = layout.quality_rates(spark.createDataFrame([("தமிழ்",), ("",), ("हि",), (None,)], "text string")).first()
+    assert (rates.blank_rate, rates.stray_rate, rates.script_ratio) == (0.5, 0.25, 0.25)
+    found = spark.createDataFrame([("d", 1, True), ("d", 1, False), ("d", 2, False)], "doc string, page int, is_corrected boolean")
+    assert {(r.page, r.lm_corrected) for r in recognition.corrected_pages(found).collect()} == {(1, True), (2, False)}
+    compared = metrics.compare_engines(*[spark.createDataFrame(rows, "doc string, page int, confidence double, n_lines int, text string") for rows in ([("d", 1, 0.5, 1, "x"), ("d", 2, 0.5, 1, "x")], [("d", 2, 0.5, 1, "x"), ("e", 1, 0.5, 1, "x")])])
+    assert [(r.doc, r.page) for r in compared.collect()] == [("d", 2)]

@@ -46,6 +46,42 @@ def test_reviewed_run(recognised):
     assert "Detected language: en" in out and "LLM calls made   : 4" in out and "PAGE 3\nPAGE 3 SAYS LINE 0" in out
 
 
+def test_one_document(spark, recognised):
+    (results, _), lines = recognised
+    plain = runs.run_document(results)
+    assert set(plain) == {"final_markdown", "total_pages", "llm_call_count", "elapsed_ocr", "elapsed_agents", "elapsed_total", "detected_language", "doc_type", "qa_decisions", "routing_reason"}
+    assert plain["final_markdown"].startswith("=== PAGE 1 ===\npage 1 says") and (plain["total_pages"], plain["llm_call_count"]) == (4, 0)
+    router = lambda t: json.dumps({"doc_type": "newspaper", "detected_language": "hi", "noise_level": 1, "estimated_columns": 1, "routing_reason": "why"})
+    full = runs.run_document(results, lines, (router, lambda p: "seen", lambda chunk: chunk + "+"))
+    assert full["final_markdown"].endswith("++") and full["routing_reason"] == "why" and [d["page"] for d in full["qa_decisions"]] == [1, 2] and full["elapsed_total"] > 0
+
+
+def test_web_run(spark, recognised):
+    def load():
+        def engine(page):
+            if page.page.iloc[0] == 2:
+                raise RuntimeError("blank")
+            return pd.DataFrame([{"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line_no": 0, "text": "<b>some</b> words", "box": {"x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 9.0}, "confidence": 0.9}])
+
+        return engine
+
+    recognition.register("half", load)
+    pages = spark.createDataFrame([("/in/a.pdf", 1, b""), ("/in/a.pdf", 2, b"")], "path string, page int, content binary")
+    blocks = spark.createDataFrame([("a.pdf", p, 0, "Text", (0.0, 0.0, 100.0, 70.0), 0.9, 100, 100) for p in (1, 2)], f"doc string, page int, block int, label string, box {BOX}, confidence double, width int, height int")
+    references = spark.createDataFrame([("a.pdf", "some words", "user-provided reference text")], "doc string, reference string, origin string")
+    row = runs.web_run(pages, "half", blocks, references).first()
+    assert "PAGE 1" in row.text and "some words" in row.text and "[OCR ERROR: blank]" in row.text and row.cer == 0.0 and "| **CER** | 0.00% |" in row.report
+    assert "N/A" in runs.web_run(pages, "half", blocks).first().report
+
+
+def test_compared_run(spark, recognised):
+    (results, _), _ = recognised
+    assert {(r.engine, r.lm_corrected) for r in results.collect()} == {("three-lines", False), ("three-lines", True)}
+    pages = spark.createDataFrame([("d", 1), ("d", 2)], "doc string, page int")
+    blocks = spark.createDataFrame([("d", p, 0, "Text", (0.0, 0.0, 100.0, 70.0), 0.9, 100, 100) for p in (1, 2)], f"doc string, page int, block int, label string, box {BOX}, confidence double, width int, height int")
+    assert runs.compared_run(pages, ("three-lines", "three-lines"), blocks).count() == 2
+
+
 def test_training_set(spark):
     rows = [(s, i, f"sentence number {i} of the source {s} goes on for a while, it does.") for s in ("m", "c", "p") for i in range(40)]
     df = spark.createDataFrame(rows, "source string, line_no int, line string")
