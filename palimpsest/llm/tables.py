@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Numbers in a block, the unit that is shuffled and summed.
 BLOCK = 1 << 15
+#: Tasks that add up a block before the last one does.
+PARTS = 16
 SUMS = "block long, counts binary"
 
 
@@ -41,8 +44,10 @@ def counted(docs: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch
             if whole[i : i + BLOCK].any():
                 yield _row(i // BLOCK, whole[i : i + BLOCK])
 
-    # Blocks of a task's table meet in one task each; that task adds them up one at a time.
-    summed = docs.mapInArrow(run, SUMS).repartition("block").sortWithinPartitions("block").mapInArrow(_sum, SUMS)
+    # Blocks of the tasks' tables meet in PARTS tasks each, and what those add up meets in one; tables are added one at a time.
+    parts = docs.mapInArrow(run, SUMS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    halfway = parts.repartition("block", "part").sortWithinPartitions("block", "part").select("block", "counts").mapInArrow(_sum, SUMS)
+    summed = halfway.repartition("block").sortWithinPartitions("block").mapInArrow(_sum, SUMS)
     out = np.zeros(size, np.int64)
     for r in summed.collect():
         part = np.frombuffer(r.counts, np.int64)

@@ -387,6 +387,10 @@ def test_sharding(spark, docs, empty):
         assert places == list(range(len(places)))
     assert {r.version for r in slot_map.select("version").distinct().collect()} == {0, 1}
     assert sharding.place(empty, shards=4)[0].count() == 0
+    want = sorted((str(d), len((t or "").encode()) + 1) for d, t in [*enumerate(TEXTS), (None, "no id")])
+    assert sorted((str(r.doc_id), r.size) for r in rows) == want
+    totals = [sum(r.size for r in rows if r.shard == s) for s in range(4)]
+    assert max(totals) - min(totals) <= max(r.size for r in rows)
     rng = random.Random(2)
     load = {s: rng.randint(1, 1000) for s in range(4096)}
     owner = sharding.rebalance(sharding.first_map(4096, 8), load, 8)
@@ -395,6 +399,32 @@ def test_sharding(spark, docs, empty):
     assert sharding.rebalance([0] * 10, {}, 3) == [0] * 10
 
 
+def test_no_row_is_too_common_to_balance(spark, tmp_path):
+    """A third of all rows without id and of one text; a stored map goes on from its newest version."""
+    rows = [(None, "the same text of all") for _ in range(3000)] + [(i, "x" * (i % 37)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash")).repartition(6)
+    store = str(tmp_path / "map")
+    placed, slot_map = sharding.place(df, store=store)
+    got = placed.collect()
+    assert sorted(r.size for r in got) == sorted(len(t) + 1 for _, t in rows)
+    totals = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(totals) - min(totals) <= 64, totals
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len({r.virtual_slot for r in got if r.doc_id is None}) > 1000
+    version, owner = sharding.load_map(spark, store)
+    assert version == 1 and owner == [r.shard for r in slot_map.where("version = 1").orderBy("virtual_slot").collect()]
+    again, _ = sharding.place(df.where("doc_id is null or doc_id < 3000"), store=store)
+    version, edited = sharding.load_map(spark, store)
+    totals = [0] * 8
+    for r in again.collect():
+        totals[r.shard] += r.size
+    assert version == 2 and 0 < sum(a != b for a, b in zip(owner, edited, strict=True)) < 2000 and max(totals) - min(totals) <= 64
+    assert sharding.load_map(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        sharding.place(df, shards=4, store=store)
+
+
 # ---------------------------------------------------------------- 10
 
 
