@@ -10,18 +10,21 @@ byte by byte.
 Words are the runs of bytes other than those below ``0``, between ``9`` and ``a`` and above ``z`` up to 0x7F,
 after lower-casing A-Z; every byte of a non-ASCII character is a word byte. Null texts have no words, and an item
 without words has no window. Items with a null item_id still count as hits but are not named. Repeated items and
-repeated documents give the results of one. Empty tables give no hits or no rows. The benchmark is broadcast in blocks of
-checked size; the hits of several blocks are united per document.
+repeated documents give the results of one; a word that several items hit is hit once, and equal windows belong to all their items. Very long
+texts are searched whole. Empty tables give no hits or no rows. The benchmark is read and broadcast in blocks of
+checked size, one at a time; the hits of several blocks are united per document.
 """
 
 from __future__ import annotations
 
-
+import itertools
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import BASE, LOWER, column_bytes, mix, slices, word_bounds, word_hashes
@@ -158,26 +161,39 @@ class Searcher:
         return firsts, np.cumsum(hit[:-1]) > 0, np.concatenate(docs), np.concatenate(items)
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of at most BLOCK_BYTES of text: a stated query set, read block by block."""
-    rows, block, held = [], [], 0
-    for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        size = len(r[1].encode())
-        if block and held + size > BLOCK_BYTES:
-            rows.append(block)
-            block, held = [], 0
-        block.append((r[0], r[1]))
-        held += size
-    return [*rows, block] if block or not rows else rows
+Block = list[tuple[int | None, str]]
+
+
+def _blocks(items: DataFrame) -> Iterator[Block]:
+    """The items in blocks of about BLOCK_BYTES of text, read one at a time: a stated query set."""
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1  # half full on average, as hashes fill them
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for k in range(n):
+        yield [(r[0], r[1]) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect()]
+
+
+_built: list = [None, None]
+
 
+def _searcher(block: Block) -> Searcher:
+    """The tables of a block, built once in a worker process."""
+    if _built[0] is not block:
+        _built[:] = block, Searcher([(i, text) for i, (_, text) in enumerate(block)])
+    return _built[1]
 
-def _scan(docs: DataFrame, block: list[tuple[int | None, str]], runs: bool) -> DataFrame:
-    """One pass over the documents for one block of items; runs: give the hit runs instead of their count."""
+
+RUNS = "array<struct<start:int,end:int>>"
+
+
+def _scan(docs: DataFrame, block: Block, runs: bool) -> DataFrame:
+    """One pass over the documents for one block of items; runs: give the hit runs, too."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    fields = "doc_id long, n_words long, n_hit long, items array<long>" + (", runs array<int>" if runs else "")
+    fields = "doc_id long, n_words long, n_hit long, items array<long>" + (f", runs {RUNS}" if runs else "")
 
     def run(batches):
-        searcher = Searcher([(i, text) for i, (_, text) in enumerate(shared.value)])
+        searcher = _searcher(shared.value)
         ids = np.array([-1 if item is None else item for item, _ in shared.value], np.int64)
         named = np.array([item is not None for item, _ in shared.value], bool)
         for batch in batches:
@@ -197,51 +213,43 @@ def _scan(docs: DataFrame, block: list[tuple[int | None, str]], runs: bool) -> D
                     "items": pa.array([sorted(per_doc.get(d, ())) for d in range(hi - lo)], pa.list_(pa.int64())),
                 }
                 if runs:
-                    columns["runs"] = pa.array(
-                        [_runs(hit[firsts[d] : firsts[d + 1]]) if n_hit[d] else [] for d in range(hi - lo)], pa.list_(pa.int32())
-                    )
+                    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+                    columns["runs"] = pa.array([_runs(hit[firsts[d] : firsts[d + 1]]) if n_hit[d] else [] for d in range(hi - lo)], pa.list_(span))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(run, fields)
 
 
-def _runs(hit: np.ndarray) -> list[int]:
-    """Starts and ends, in turn, of the hit runs."""
-    return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+def _runs(hit: np.ndarray) -> list[dict[str, int]]:
+    """The hit runs."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+    return [{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _covered(runs: list[list[int]]) -> int:
-    end = total = 0
-    for s, e in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
-        total += max(0, e - max(s, end))
-        end = max(end, e)
-    return total
+def _covered(runs: Column) -> Column:
+    """Words in any of the runs: a fold over them in order."""
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
+    step = lambda acc, r: F.struct((acc["total"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], acc["end"]))).alias("total"), F.greatest(acc["end"], r["end"]).alias("end"))
+    return F.aggregate(F.array_sort(runs), start, step)["total"].cast("long")
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, tag: str = "decontaminate") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted array of the item ids that occur)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = _blocks(items)
-    if len(blocks) == 1:
-        return _scan(docs, blocks[0], runs=False)
-    # More benchmark than one broadcast holds: each block makes its own pass, and a document's hits are united.
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(docs, first, runs=False)
+    # More benchmark than one broadcast holds: each block makes its own pass, ends in a table, and a document's hits are united.
     keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), tag)
     rows = keyed.select(F.col("row").alias("doc_id"), "text")
-    union = None
-    for block in blocks:
-        part = _scan(rows, block, runs=True)
-        union = part if union is None else union.unionByName(part)
-    covered = F.udf(_covered, "long")
-    merged = union.groupBy("doc_id").agg(
+    parts = [materialize(_scan(rows, block, runs=True), tag) for block in itertools.chain((first, second), blocks)]
+    merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
-        F.collect_list("runs").alias("all_runs"),  # one entry per block
+        F.flatten(F.collect_list("runs")).alias("runs"),  # one entry per block
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return (
-        merged.select(F.col("doc_id").alias("row"), "n_words", covered("all_runs").alias("n_hit"), "items")
-        .join(keyed.select("row", "doc_id"), "row")
-        .select("doc_id", "n_words", "n_hit", "items")
-    )
+    return merged.select(F.col("doc_id").alias("row"), "n_words", _covered(F.col("runs")).alias("n_hit"), "items").join(keyed.select("row", "doc_id"), "row").select("doc_id", "n_words", "n_hit", "items")
 
 
 def report(overlaps: DataFrame) -> DataFrame:
@@ -254,18 +262,17 @@ def report(overlaps: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their columns."""
-    blocks = _blocks(items)
     out = docs
-    for block in blocks:
-        out = _drop(out, block)
+    for k, block in enumerate(_blocks(items)):
+        out = _drop(materialize(out, "clean") if k else out, block)
     return out
 
 
-def _drop(docs: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
+def _drop(docs: DataFrame, block: Block) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
-        searcher = Searcher([(i, text) for i, (_, text) in enumerate(shared.value)])
+        searcher = _searcher(shared.value)
         for batch in batches:
             body, offs = column_bytes(batch.column("text"))
             keep = np.ones(batch.num_rows, bool)
@@ -277,7 +284,6 @@ def _drop(docs: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` against every window of ``benchmark``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
