@@ -18,9 +18,9 @@ Every byte covered by a string of LENGTH (400) bytes that also starts anywhere e
 
 Functions that take a ``length`` do the same with strings of that many bytes; the figures above are those of 400.
 
-Defined cases: a null text is empty; texts under 400 bytes lose nothing; rows of equal doc_id and text are separate
+Defined cases: a null text is empty; texts under 400 bytes lose nothing; very long texts are processed whole; rows of equal doc_id and text are separate
 occurrences and get equal results; a null doc_id is carried through; an empty table gives an empty result. Further
-columns are kept by :func:`drop_repeats`.
+columns are kept by :func:`drop_repeats`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -443,10 +443,22 @@ def long_passages(raw: bytes, starts: list[tuple[int, int]], length: int) -> lis
     return [(s, e) for s, e in runs if e + length - s >= LENGTH or len(raw[s : e + length].split()) > WORDS]
 
 
-def _marked(docs: DataFrame, length: int) -> DataFrame:
-    doc, th = _identity()
-    mine = docs.withColumns({"__doc": doc, "__th": th})
-    return mine.join(repeats(docs, length).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts")), ["__doc", "__th"], "left")
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _marked(docs: DataFrame, *lengths: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with a column for each length that holds the runs of starts of its repeated strings, and the columns' names."""
+    doc, th = (_fresh(n, docs.columns) for n in ("doc", "th"))
+    out, names = docs.withColumns(dict(zip((doc, th), _identity(), strict=True))), []
+    for length in lengths:
+        names.append(_fresh(f"starts{length}", docs.columns))
+        found = repeats(docs, length)
+        out = out.join(found.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("starts").alias(names[-1])), [doc, th], "left")
+    return out.drop(doc, th), names
 
 
 def _pieces(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -461,27 +473,36 @@ def _starts(value) -> list[tuple[int, int]]:
     return [(x["first"], x["last"]) for x in value or ()]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, kept (bytes that stay), n_bytes, spans (removed ranges, in bytes)."""
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, kept (bytes that stay), n_bytes, spans (removed ranges, in bytes).
+
+    With ``passages``, also the ranges of repeated passages of more than WORDS words, which may have fewer than LENGTH bytes and stay in ``kept``.
+    """
+
+    def ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
+        return pa.array([[{"start": s, "end": e} for s, e in f] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
     def run(batches):
         for batch in batches:
-            kept, sizes, spans = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("__starts"), strict=True):
+            kept, sizes, spans, long = [], [], [], []
+            for k, text in enumerate(batch.column("text")):
                 raw = (text.as_py() or "").encode()
-                cut = covered(_starts(starts.as_py()))
+                cut = covered(_starts(batch.column("starts400")[k].as_py()))
                 kept.append(_pieces(raw, cut))
                 sizes.append(len(raw))
-                spans.append([{"start": s, "end": e} for s, e in cut])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()),
-                    "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                }
-            )
+                spans.append(cut)
+                if passages:
+                    long.append(covered(long_passages(raw, _starts(batch.column("starts101")[k].as_py()), PASSAGE_BYTES), PASSAGE_BYTES))
+            columns = {"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()), "spans": ranges(spans)}
+            yield pa.RecordBatch.from_pydict(columns | ({"passages": ranges(long)} if passages else {}))
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _marked(narrow, LENGTH).select("doc_id", "text", "__starts").mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+    marked, names = _marked(narrow, LENGTH, *[PASSAGE_BYTES] * passages)
+    columns = [F.col(n).alias(c) for n, c in zip(names, ("starts400", "starts101"), strict=False)]
+    return marked.select("doc_id", "text", *columns).mapInArrow(run, f"doc_id long, kept binary, n_bytes long, spans {SPANS}" + f", passages {SPANS}" * passages)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -490,11 +511,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     With ``length`` under LENGTH, those of :func:`long_passages` go.
     """
     names = docs.columns
+    marked, (starts_,) = _marked(docs, length)
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, starts in zip(batch.column("text"), batch.column("__starts"), strict=True):
+            for text, starts in zip(batch.column("text"), batch.column(starts_), strict=True):
                 value, runs = text.as_py(), _starts(starts.as_py())
                 raw = value.encode() if runs else b""
                 cut = covered(long_passages(raw, runs, length) if length < LENGTH else runs, length)
@@ -502,11 +524,17 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _marked(docs, length).select(*[F.col(f"`{n}`") for n in names], "__starts").mapInArrow(run, docs.schema)
+    return marked.select(*[F.col(f"`{n}`") for n in names], starts_).mapInArrow(run, docs.schema)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All whole texts of ``documents`` without the bytes of 400-byte strings that stand twice or more."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """All whole texts of ``documents`` without the bytes of 400-byte strings that stand twice or more.
+
+    n_passages and n_passage_bytes tell of repeated passages of more than 50 words, whatever their bytes; those under 400 bytes are not removed.
+    """
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True)
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"), size("passages").alias("n_passage_bytes"),
+    )

@@ -159,9 +159,9 @@ def brute_repeats(texts):
 
 @pytest.mark.parametrize("bucket", [4 << 20, 1500])
 def test_suffixes(docs, empty, monkeypatch, bucket):
-    texts = [t if t is None or len(t) < 50_000 else t[:3000] for t in TEXTS]
+    texts = TEXTS if bucket > 1500 else [t if t is None or len(t) < 50_000 else t[:3000] for t in TEXTS]  # few bytes a bucket make very many buckets
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket)
-    short = docs.withColumn("text", F.when(F.length("text") >= 50_000, F.substring("text", 1, 3000)).otherwise(F.col("text")))
+    short = docs if texts is TEXTS else docs.withColumn("text", F.when(F.length("text") >= 50_000, F.substring("text", 1, 3000)).otherwise(F.col("text")))
     raw, gone = brute_repeats([*texts, "no id"])
     got = by_id(suffixes.remove_repeats(short))
     for d in range(len(texts)):
@@ -174,6 +174,17 @@ def test_suffixes(docs, empty, monkeypatch, bucket):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_over_50_words_are_told(spark):
+    words = lambda side, n: " ".join(f"{side}{i}" for i in range(n))
+    rows = [(1, f"{words('a', 40)} {words('p', 55)} {words('b', 40)}"), (2, f"{words('c', 40)} {words('p', 55)}"), (3, f"{words('d', 90)} {words('q', 45)}"), (4, f"{words('q', 45)} {words('e', 9)}"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__doc": F.lit("x"), "th": F.lit(1), "starts400": F.lit(2)}).repartition(3)
+    got = by_id(suffixes.remove_repeats(df, passages=True))
+    text = {i: (t or "").encode() for i, t in rows}
+    assert {i: [text[i][p.start : p.end].split()[-55:] for p in r.passages] for i, r in got.items() if r.passages} == {1: [words("p", 55).encode().split()], 2: [words("p", 55).encode().split()]}
+    assert not any(r.spans for r in got.values()) and all(bytes(r.kept) == text[i] for i, r in got.items())
+    assert suffixes.drop_repeats(df).columns == df.columns and {(r["__doc"], r.th, r.starts400) for r in suffixes.drop_repeats(df).collect()} == {("x", 1, 2)}
+
+
 def test_multikey_sort():
     rng = random.Random(1)
     for _ in range(300):
