@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept and gives a table; all but the last give the columns of ``documents``.
 
 1. quality: documents that the classifier rejects go (learned from ``labels`` whose CRC modulo 5 is not 0).
-2. near_duplicates: of each group one document stays, that with the smallest doc_id; rows without doc_id stay.
+2. near_duplicates: of each group one document stays, that with the smallest doc_id, and of rows with its id and text
+   one; rows without doc_id stay, but of those of equal text one.
 3. repeats: passages of more than 50 words or of 400 bytes whose strings of 101 bytes (51 words have no fewer) all stand
    twice or more are cut out, characters cut in two go whole; documents stay even if nothing is left, and n_chars
    follows the text.
@@ -28,7 +29,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Ids that stand more than once: their rows alone are brought together, pre-aggregated by id and text.
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = docs.join(others, "doc_id", "left_anti").join(again.select(F.col("doc_id").alias("id_"), "again"), F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    rest = [F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")]
+    one = left.where("again").groupBy(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("th_"), F.col("text").alias("text_")).agg(*rest).select("row.*")
+    return left.where("again is null").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
