@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -66,3 +67,78 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, df, SF).collect()}
     assert [got[k] for k in range(4)] == [words(a, 30) + words(b, 30) for a, b in ("ab", "cd", "ef", "gh")]
     assert got[4] == texts[4] and got[5] == texts[5]
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    words = lambda side: " ".join(f"{side}{i}" for i in range(30))
+    rows = [(1, words("a"), "x"), (1, words("a"), "y"), (2, words("a"), "z"), (3, words("b"), "x"), (None, words("c"), "x"), (None, words("c"), "y"), (None, "d", "x"), (4, None, "x"), (4, "e", "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rows", F.lit(1)).repartition(3)
+    got = corpus_pipeline.keep_one_of_each(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(d), str(t)) for d, t in {(d, t) for d, t, _ in rows} - {(2, words("a"))})
+    once = df.where("doc_id in (3, 5)")
+    assert corpus_pipeline.keep_one_of_each(spark, once, SF).count() == 2
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: rejected, copied and leaked documents go, repeats are cut, the rest passes untouched."""
+    import hashlib
+    import random
+    import re
+
+    import corpus_pipeline
+    import tiktoken
+    from palimpsest.llm import bpe, quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    # 1: the classifier's own scores decide.
+    good = {r.doc_id for r in stages["quality"](spark, docs, SF).collect()}
+    scores = quality.scores(docs, quality.learned_from(spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    assert good == {r.doc_id for r in scores if r.score >= quality.THRESHOLD}
+    # 2: components of all pairs.
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) else set() for d, t in text.items()}
+    group = {d: d for d in text}
+    ids = sorted(text)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    kept = {r.doc_id for r in stages["near_duplicates"](spark, docs, SF).collect()}
+    assert kept == {d for d, g in group.items() if g == d}
+    # 3: strings of 101 bytes that stand twice, in runs of more than 50 words or 400 bytes.
+    some = spark.createDataFrame([(d, text[d]) for d in ids[:60]], "doc_id long, text string")
+    raw, seen = {d: text[d].encode() for d in ids[:60]}, {}
+    for t in raw.values():
+        for s in range(len(t) - 100):
+            seen[t[s : s + 101]] = seen.get(t[s : s + 101], 0) + 1
+    for r in stages["repeats"](spark, some, SF).collect():
+        t, gone, s = raw[r.doc_id], bytearray(len(raw[r.doc_id])), 0
+        again = [seen[t[s : s + 101]] > 1 for s in range(len(t) - 100)]
+        while s < len(again):
+            e = s
+            while e < len(again) and again[e]:
+                e += 1
+            if e > s and (e - 1 + 101 - s >= 400 or len(t[s : e + 100].split()) > 50):
+                gone[s : e + 100] = b"\1" * (e + 100 - s)
+            s = max(e, s + 1)
+        assert r.text == bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
+    # 4: windows of ten words.
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := word(r.text)) for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    leaked = {d for d, t in text.items() if (w := word(t)) and any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))}
+    assert {r.doc_id for r in stages["decontaminate"](spark, docs, SF).collect()} == set(text) - leaked and leaked
+    # 5: the tokenizer itself.
+    path, pattern = bpe.vocabulary()
+    import base64
+
+    plain = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    rows = {r.doc_id: r for r in stages["tokens"](spark, docs, SF).collect()}
+    for d in random.Random(1).sample(ids, 60):
+        assert list(rows[d].token_ids) == plain.encode_ordinary(text[d]) and rows[d].decoded_sha256 == hashlib.sha256(text[d].encode()).hexdigest()
