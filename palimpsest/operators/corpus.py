@@ -163,18 +163,20 @@ def page_text(extract: Column, wikitext: Column, profile: ScriptProfile = TAMIL)
     return F.when(T.count_script(F.coalesce(extract, F.lit("")), profile) >= 100, extract).otherwise(T.strip_wikitext(wikitext))
 
 
-def crawl_lines(pages: DataFrame, key: str, text: str, profile: ScriptProfile = TAMIL, seen: DataFrame | None = None) -> DataFrame:
-    """Lines of pages with 100 script characters, cleaned, with 10 of their own, each once; pages in ``seen`` are left out."""
+def crawl_lines(pages: DataFrame, key: str, text: str, profile: ScriptProfile = TAMIL, seen: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Lines of pages with 100 script characters, cleaned, with 10 of their own, each once; pages in ``seen`` are left out, lines beyond ``most`` in order too."""
     fresh = pages if seen is None else pages.join(seen.select(key), key, "left_anti")
     kept = fresh.where(T.count_script(F.col(text), profile) >= 100)
     cleaned = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), T.clean_crawled_line(x).alias("line")))
     lines = kept.select(key, F.inline(F.filter(cleaned, lambda s: T.count_script(s["line"], profile) >= 10)))
-    return keep_first(lines, "line", key, "line_no")
+    first = keep_first(lines, "line", key, "line_no")
+    return first if most is None else first.orderBy(key, "line_no").limit(most)
 
 
-def append_distinct(existing: DataFrame, new: DataFrame, value: str) -> DataFrame:
-    """``existing`` and the values of ``new`` it does not hold, each once."""
-    return existing.select(value).unionByName(new.select(value)).distinct()
+def append_distinct(existing: DataFrame, new: DataFrame, value: str, order: str) -> DataFrame:
+    """``existing`` and the values of ``new`` it does not hold, each once at its first place: value, rank (0 existing, 1 new), order."""
+    parts = [df.select(F.lit(rank).alias("rank"), F.col(order).alias(order), value) for rank, df in enumerate((existing, new))]
+    return keep_first(reduce(DataFrame.unionByName, parts), value, "rank", order)
 
 
 def validate(lines: DataFrame, value: str = "line") -> DataFrame:

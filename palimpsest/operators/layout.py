@@ -181,7 +181,10 @@ def reconstruct(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     of_block = placed.where("block is not null").groupBy(*page, "block").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("text"))
     shown = ~F.col("label").isin(SKIP_LABELS) & ((F.col("label") == "PageHeader") & ~T.is_page_label(F.col("text")) | ~F.col("label").isin(STRUCTURAL_LABELS))
     chunks = of_block.join(blocks, [*page, "block"]).where(shown).select(*page, F.col("block").cast("long").alias("block"), "box", "text")
-    stray = placed.where("block is null").select(*page, (F.col("line_no") + 1_000_000).cast("long").alias("block"), "box", F.trim("text").alias("text"))
+    # A stray line without a box, on a page without blocks, stands where its number puts it.
+    row = F.col("line_no").cast("double")
+    at_number = F.struct(F.lit(0.0).alias("x0"), row.alias("y0"), F.lit(1.0).alias("x1"), (row + 0.5).alias("y1"))
+    stray = placed.where("block is null").select(*page, (F.col("line_no") + 1_000_000).cast("long").alias("block"), F.coalesce("box", at_number).alias("box"), F.trim("text").alias("text"))
     ordered = reading_order(chunks.unionByName(stray))
     parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return ordered.groupBy(*page).agg(T.strip(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n")).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import word_edits
+from ..functions.udfs import nfc, word_edits
 
 
 def char_error_rate(predicted: Column, reference: Column) -> Column:
@@ -19,9 +19,9 @@ def word_error_rate(predicted: Column, reference: Column) -> Column:
 
 
 def score(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
-    """(key, cer, wer) where both sides have the key; texts are normalised first."""
-    p = predictions.select(key, T.metric_text(F.col("text")).alias("predicted"))
-    r = references.select(key, T.metric_text(F.col("text")).alias("reference"))
+    """(key, cer, wer) where both sides have the key; texts are brought to normal form C and normalised first."""
+    p = predictions.select(key, T.metric_text(nfc("text")).alias("predicted"))
+    r = references.select(key, T.metric_text(nfc("text")).alias("reference"))
     return p.join(r, key).select(key, char_error_rate(F.col("predicted"), F.col("reference")).alias("cer"), word_error_rate(F.col("predicted"), F.col("reference")).alias("wer"))
 
 

@@ -159,9 +159,9 @@ def inject_tags(c: Column, key: Column, seed: int = 42, letters: str = r"\x{0B80
     return F.when(c.rlike(f"[{letters}]"), let(chars(c), whole)).otherwise(c)
 
 
-def training_pairs(lines: Column, key: Column, register: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None) -> Column:
-    """The noisy side of a pair: up to five seeds until something changes, then leak tags at the register's rate."""
-    rate = F.coalesce(_rates(ERROR_RATES)[register], F.lit(DEFAULT_ERROR_RATE))
+def training_pairs(lines: Column, key: Column, register: Column, seed: int = 42, letters: str = r"\x{0B80}-\x{0BFF}", table: dict[str, str] | None = None, error_rate: float | None = None) -> Column:
+    """The noisy side of a pair: up to five seeds until something changes, then leak tags at the register's rate; ``error_rate`` stands in for the registers' own."""
+    rate = F.lit(error_rate) if error_rate is not None else F.coalesce(_rates(ERROR_RATES)[register], F.lit(DEFAULT_ERROR_RATE))
     seeds = F.sequence(F.lit(seed * 100), F.lit(seed * 100 + 4))
     noisy = F.aggregate(seeds, lines, lambda acc, s: F.when(acc != lines, acc).otherwise(register_noise(lines, key, rate, s, letters, table)))
     inject = F.coalesce(_rates(INJECT_RATES)[register], F.lit(DEFAULT_INJECT_RATE))

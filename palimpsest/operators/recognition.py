@@ -15,6 +15,8 @@ from .sampling import take
 
 LINES = "doc string, page int, line_no int, text string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, error string"
 
+#: Text to image bytes, and image bytes and a seed to worse ones, by name.
+_renderers: dict[str, tuple[Callable[[str], bytes], Callable[[bytes, int], bytes]]] = {}
 _engines: dict[str, Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]] = {}
 
 
@@ -23,6 +25,20 @@ def register(name: str, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame
     _engines[name] = load
 
 
+def register_renderer(name: str, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes]) -> None:
+    _renderers[name] = render, degrade
+
+
+def renderer(name: str) -> tuple[Callable[[str], bytes], Callable[[bytes, int], bytes]]:
+    if name not in _renderers:
+        raise ValueError(f"no renderer named {name!r}; there are {sorted(_renderers)}")
+    return _renderers[name]
+
+
+def names() -> list[str]:
+    return list(_engines)
+
+
 def create(name: str):
     if name not in _engines:
         raise ValueError(f"no engine named {name!r}; there are {sorted(_engines)}")
@@ -60,7 +76,7 @@ def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.
         return texts.map(one, na_action="ignore")
 
     need = F.coalesce(needs_correction(F.col("confidence"), F.col("text"), threshold), F.lit(False))
-    fixed = lines.where(need).withColumn("text", apply("text")).withColumn("is_corrected", F.lit(True))
+    fixed = lines.where(need).withColumn("text", T.strip_model_tags(apply("text"))).withColumn("is_corrected", F.lit(True))
     return fixed.unionByName(lines.where(~need).withColumn("is_corrected", F.lit(False)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scripts import LATIN
-from ..operators import lines, metrics, noise, pairs, sampling, shaping
+from ..operators import images, lines, metrics, noise, pairs, sampling, shaping
 from . import sql as S
 
 QUERIES: dict = {}
@@ -94,6 +94,23 @@ def noise_chars(spark, sf_dir):
     return turns(spark, sf_dir).select("key", noise.corrupt(c("text"), c("key")).alias("text"))
 
 
+_KINDS = ["blur", "noise", "erosion", "dilation", "contrast"]
+
+
+def _drawn(tag: str) -> str:
+    return S.draw(42, "doc_id", f"'{tag}'")
+
+
+@query(
+    "WITH o AS (SELECT doc_id, list_sort([" + ", ".join(f"{{'u': {_drawn(k)}, 'kind': '{k}'}}" for k in _KINDS) + f"]) AS o, 2 + CAST(floor({_drawn('count')} * 3) AS INTEGER) AS n, {_drawn('angle')} AS a FROM documents), "
+    "k AS (SELECT doc_id, list_transform(o[1:n], lambda s: s.kind) AS ks, a FROM o) "
+    "SELECT doc_id, array_to_string(list_filter(['blur', 'erosion', 'dilation', 'noise', 'contrast'], lambda x: list_contains(ks, x) AND NOT (x = 'dilation' AND list_contains(ks, 'erosion'))), ',') AS kinds, round((a * 2 - 1) * 2, 6) AS angle FROM k"
+)
+def degradation_plan(spark, sf_dir):
+    plan = table(spark, sf_dir, "documents").select("doc_id", images.degradation_plan(c("doc_id").cast("string")).alias("p"))
+    return plan.select("doc_id", F.array_join("p.kinds", ",").alias("kinds"), F.round("p.angle", 6).alias("angle"))
+
+
 @query()
 def noise_register(spark, sf_dir):
     rate = noise._rates(noise.ERROR_RATES)[c("source")]

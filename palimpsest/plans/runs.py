@@ -154,7 +154,7 @@ def clean_all(web: DataFrame, verse: DataFrame, printed: DataFrame, profile: Scr
     return combined, corpus.validate(combined)
 
 
-def build_training_set(modern: DataFrame, classical: DataFrame, premodern: DataFrame, total: int = 75_000, seed: int = 42, letters: str = TAMIL.letters, table: dict[str, str] | None = None) -> DataFrame:
+def build_training_set(modern: DataFrame, classical: DataFrame, premodern: DataFrame, total: int = 75_000, seed: int = 42, letters: str = TAMIL.letters, table: dict[str, str] | None = None, error_rate: float | None = None) -> DataFrame:
     """(key, input, target, source) from line tables (source, line_no, line): joined, shaped, balanced, corrupted, gated by bytes."""
     joined = shaping.join_stanzas(classical).select("source", F.concat_ws("-", F.col("segment").cast("string"), F.col("piece").cast("string")).alias("at"), "line")
     plain = [df.select("source", F.col("line_no").cast("string").alias("at"), "line") for df in (modern, premodern)]
@@ -163,10 +163,16 @@ def build_training_set(modern: DataFrame, classical: DataFrame, premodern: DataF
         for df in (plain[0], joined, plain[1])
     ]
     mixed = sampling.balance(*shaped, total, seed, "key").withColumn("key", F.concat_ws("#", "key", F.col("copy").cast("string")))
-    made = mixed.select("key", noise.training_pairs(F.col("line"), F.col("key"), F.col("register"), seed, letters, table).alias("input"), F.col("line").alias("target"), F.col("register").alias("source"))
+    made = mixed.select("key", noise.training_pairs(F.col("line"), F.col("key"), F.col("register"), seed, letters, table, error_rate).alias("input"), F.col("line").alias("target"), F.col("register").alias("source"))
     return made.where(T.fits(F.col("input")) & T.fits(F.col("target")))
 
 
+def round_trip_pairs(chosen: DataFrame, name: str, engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
+    """n pairs read back from images of the targets of ``chosen`` (key, target)."""
+    render, degrade = recognition.renderer(name)
+    return recognition.round_trip(chosen.select("key", F.col("target").alias("text")), render, degrade, engine, n, least_edits, seed, done)
+
+
 def pack_training_set(made: DataFrame, extra: DataFrame | None, n: int, val_ratio: float = 0.1, seed: int = 42, least_edits: int = 2) -> DataFrame:
     """n sampled pairs and the extra pairs that differ enough, shuffled by seed, with ``split``."""
     if n < 1 or not 0 < val_ratio < 1 or least_edits < 0:

@@ -258,9 +258,13 @@ def crawl_corpus(spark, sf_dir):
     return corpus.crawl_lines(table(spark, sf_dir, "documents"), "doc_id", "text", LATIN, seen=table(spark, sf_dir, "labels"))
 
 
-@query(f"WITH a AS (SELECT text FROM benchmark UNION SELECT text FROM documents) SELECT text FROM a")
+@query(
+    "WITH u AS (SELECT 0 AS rank, item_id AS key, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank, key) AS k FROM u) SELECT rank, key, text FROM r WHERE k = 1"
+)
 def append_distinct(spark, sf_dir):
-    return corpus.append_distinct(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "text")
+    known = table(spark, sf_dir, "benchmark").select(c("item_id").alias("key"), "text")
+    return corpus.append_distinct(known, table(spark, sf_dir, "documents").select(c("doc_id").alias("key"), "text"), "text", "key")
 
 
 @query(
@@ -282,14 +286,14 @@ def artifact_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_artifacts(c("text")).alias("text"))
 
 
-_METRIC = f"list_transform({S.split_lines('text')}, lambda v: {S.strip('v')})"
+_METRIC = f"list_transform({S.split_lines('nfc_normalize(text)')}, lambda v: {S.strip('v')})"
 
 
 @query(
     f"SELECT doc_id, {S.strip(S.rep(f'''array_to_string(list_filter({_METRIC}, lambda v: NOT {S.has('v', T.METRIC_NOISE)} AND NOT (length(v) <= 2 AND v <> '')), ' ')''', chr(92) + 's+', ' '))} AS text FROM documents"
 )
 def metric_norm(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.metric_text(c("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.metric_text(udfs.nfc("text")).alias("text"))
 
 
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")

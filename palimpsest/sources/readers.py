@@ -49,7 +49,7 @@ def discover(paths: DataFrame) -> DataFrame:
 
 def image_pages(spark: SparkSession, path: str) -> DataFrame:
     """Each image file is a document of one page."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*IMAGES)).select("path", F.lit(1).alias("page"), "content")
 
 
@@ -101,6 +101,12 @@ def pdf_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+def document_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, content) of all documents below ``path``: PDF and DOCX files and images."""
+    parts = [pdf_pages(page_files(spark, path)), docx_pages(page_files(spark, path, "docx")), image_pages(spark, path)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def at_most(pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """``pages`` as it is, or a failure for a document of more pages."""
     n = pages.groupBy("path").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import udfs
-from palimpsest.functions.scripts import TAMIL
+from palimpsest.functions.scripts import LATIN, TAMIL
 from palimpsest.operators import corpus, formatting, layout, lines, metrics, noise, pairs, recognition, sampling, shaping
 from palimpsest.plans import runs
 from palimpsest.sources import readers, writers
@@ -361,3 +361,46 @@ def test_page_rates_and_extents(spark):
     assert {(r.page, r.lm_corrected) for r in recognition.corrected_pages(found).collect()} == {(1, True), (2, False)}
     compared = metrics.compare_engines(*[spark.createDataFrame(rows, "doc string, page int, confidence double, n_lines int, text string") for rows in ([("d", 1, 0.5, 1, "x"), ("d", 2, 0.5, 1, "x")], [("d", 2, 0.5, 1, "x"), ("e", 1, 0.5, 1, "x")])])
     assert [(r.doc, r.page) for r in compared.collect()] == [("d", 2)]
+
+
+def test_images():
+    import zlib
+
+    import numpy as np
+
+    from palimpsest.operators import images
+
+    page = np.full((60, 80), 255, np.uint8)
+    page[10:50:10, 10:70] = 0
+    assert images.dark_ratio(page) == pytest.approx(4 * 60 / 4800) and images.dark_ratio(np.empty((0, 0), np.uint8)) == 0
+    assert (images.degraded(page, [], 0.0, 1) == page).all()
+    thick, thin = images.degraded(page, ["erosion"], 0.0, 1), images.degraded(page, ["dilation"], 0.0, 1)
+    assert (thick == 0).sum() > (page == 0).sum() > (thin == 0).sum()
+    for kind in ("blur", "noise", "contrast"):
+        out = images.degraded(page, [kind], 1.5, 7)
+        assert out.shape == page.shape and out.dtype == np.uint8 and (out != page).any() and (out == images.degraded(page, [kind], 1.5, 7)).all()
+    assert images.degraded(page, ["contrast"], 0.0, 1).min() >= 30
+    sheet = np.full((300, 400), 255, np.uint8)
+    sheet[40:260:20, 40:360] = 0
+    leaning = images.rotated(sheet, 2.0)
+    assert abs(abs(images.skew(leaning)) - 2.0) < 0.5 and images.skew(page) == 0.0 and images.skew(np.full((9, 9), 255, np.uint8)) == 0.0
+    assert abs(images.skew(images.rotated(leaning, images.skew(leaning)))) < 0.5
+    done = images.preprocessed(np.stack([page] * 3, axis=-1))
+    assert set(np.unique(done)) <= {0, 255} and (done == 0).sum() > 0
+    data = images.png(page)
+    at = data.index(b"IDAT")
+    assert data.startswith(b"\x89PNG") and zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]) == b"".join(b"\0" + r.tobytes() for r in page)
+
+
+def test_crop_stays_inside(spark):
+    box = spark.createDataFrame([((2.0, 3.0, 96.5, 40.0),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
+    assert tuple(box.select(layout.crop(F.col("box"), F.lit(100), F.lit(200)).alias("c")).first().c) == (0, 0, 100, 44)
+    assert one(spark, layout.wants_preprocessing, "historical_scan") is True and one(spark, layout.wants_preprocessing, None) is False
+
+
+def test_appended_values_keep_their_place(spark):
+    known = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "at int, line string")
+    new = spark.createDataFrame([(0, "b"), (1, "c"), (2, "c")], "at int, line string")
+    assert [(r.rank, r["at"], r.line) for r in corpus.append_distinct(known, new, "line", "at").orderBy("rank", "at").collect()] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c")]
+    pages = spark.createDataFrame([(1, "x" * 60 + "\n" + "y" * 60), (2, "z" * 120)], "id int, text string")
+    assert [r.line[0] for r in corpus.crawl_lines(pages, "id", "text", LATIN, most=2).orderBy("id", "line_no").collect()] == ["x", "y"]

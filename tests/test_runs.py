@@ -107,3 +107,58 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["--script", "latin", "clean", "--source", "print", str(tmp_path / "in.txt"), "--report", "--output", str(tmp_path / "out")])
     assert "drop:page_number" in capsys.readouterr().out
     assert spark.read.text(str(tmp_path / "out")).count() == 1
+
+
+PLUGIN = '''
+import pandas as pd
+
+from palimpsest.operators import recognition
+
+
+def load():
+    def engine(page):
+        text = bytes(page.content.iloc[0])[8:].decode().replace("o", "0")
+        return pd.DataFrame([{"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line_no": 0, "text": text, "box": None, "confidence": 0.9}])
+
+    return engine
+
+
+for name in ("first", "second"):
+    recognition.register(name, load)
+recognition.register_renderer("bytes", lambda t: b"\\x89PNG\\r\\n\\x1a\\n" + t.encode(), lambda image, seed: image)
+models = (lambda t: "{}", lambda p: "{}", lambda chunk: chunk + "!")
+'''
+
+
+def test_runs_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "plug").mkdir()
+    (tmp_path / "plug" / "my_engines.py").write_text(PLUGIN)
+    monkeypatch.syspath_prepend(str(tmp_path / "plug"))
+    spark.sparkContext.addPyFile(str(tmp_path / "plug" / "my_engines.py"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "story.png").write_bytes(b"\x89PNG\r\n\x1a\nonce upon a time")
+    base = ["--script", "latin"]
+    plugged = ["--plugin", "my_engines", str(tmp_path / "in")]
+    cli.main([*base, "run", "--engine", "first", "--compare-with", "second", "--output", str(tmp_path / "cmp"), *plugged])
+    cli.main([*base, "run", "--engine", "best", "--comparison", str(tmp_path / "cmp"), "--output", str(tmp_path / "out"), *plugged])
+    page = spark.read.json(str(tmp_path / "out" / "pages")).first()
+    assert (page.doc, page.text, page.lm_corrected) == ("story", "0nce up0n a time", False)
+    assert "Pages processed: 1" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "texts")).collect())
+    for extra, end in (([], "!!"), (["--plain"], "time")):
+        cli.main([*base, "review", "--engine", "first", "--output", str(tmp_path / "rev"), *extra, *plugged])
+        assert spark.read.json(str(tmp_path / "rev")).first().final_markdown.endswith(end)
+    pairs = [{"input": f"w{i}rd", "target": f"w{i}rd of a good book to look at", "source": "modern"} for i in range(30)]
+    (tmp_path / "pairs.json").write_text("\n".join(map(json.dumps, pairs)))
+    pack = ["pack", str(tmp_path / "pairs.json"), "--pairs", "20", "--round-trip", "10", "--engine", "first", "--renderer", "bytes", "--plugin", "my_engines", "--output", str(tmp_path / "packed")]
+    cli.main(pack)
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    assert {r.source: r["count"] for r in packed.groupBy("source").count().collect()} == {"modern": 20, "roundtrip_first": 10} and packed.where("split = 'validation'").count() == 3
+    for wrong in (["--pairs", "0"], ["--val-ratio", "1"], ["--pairs", "31"]):
+        with pytest.raises(ValueError):
+            cli.main([*pack, *wrong])
+    (tmp_path / "truth" / "story").mkdir(parents=True)
+    (tmp_path / "truth" / "story" / "page_001.txt").write_text("once")
+    (tmp_path / "texts.json").write_text(json.dumps({"doc": "story", "text": "onse"}))
+    capsys.readouterr()
+    cli.main(["evaluate", str(tmp_path / "texts.json"), str(tmp_path / "truth")])
+    assert "0.25" in capsys.readouterr().out
