@@ -98,7 +98,18 @@ def strip_headers(spark, sf_dir):
 
 
 
-@query()
+#: Speech marks that open a turn, and closing ones.
+_ENDS = "rtrim(acc[-1]) <> '' AND contains('.!?।\"''”’‘“…', right(rtrim(acc[-1]), 1))"
+_OPEN = (
+    f"len(acc) > 0 AND {S.strip('x')} <> '' AND {S.strip('acc[-1]')} <> '' AND length(acc[-1]) < 30 AND NOT ({_ENDS}) AND NOT regexp_matches({S.strip('x')}, '^[''\"‘’“”«—]') "
+    f"AND NOT regexp_matches(acc[-1], '(''''|’’|\"|”)$') AND NOT (length(acc[-1]) < 8 AND NOT regexp_matches({S.strip('x')}, '^[\\x{{B80}}-\\x{{BFF}}]'))"
+)
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN len(xs) <= 1 THEN text ELSE array_to_string(list_reduce(xs, lambda acc, x: CASE WHEN {_OPEN} THEN list_append(acc[1:len(acc) - 1], acc[-1] || ' ' || {S.strip('x')}) "
+    f"ELSE list_append(acc, CASE WHEN {S.strip('x')} = '' THEN x ELSE {S.strip('x')} END) END, CAST([] AS VARCHAR[])), chr(10)) END AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS xs FROM documents)"
+)
 def merge_short_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lines.merge_short_lines(c("text")).alias("text"))
 
@@ -165,7 +176,17 @@ def stanza_concat(spark, sf_dir):
     return shaping.join_stanzas(verse(spark, sf_dir)).groupBy("source", "line").agg(F.count("*").alias("n"))
 
 
-@query()
+_PARTS = "string_split(regexp_replace(line, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(
+    f"WITH {S.lines()}, f AS (SELECT doc_id, line_no, line, list_reduce({_PARTS}, lambda a, p: CASE WHEN length(a.now) + length(p) + 1 <= 340 "
+    f"THEN {{'done': a.done, 'now': CASE WHEN a.now = '' THEN p ELSE {S.strip('a.now || chr(32) || p')} END}} ELSE {{'done': CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, a.now) END, 'now': p}} END, "
+    "{'done': CAST([] AS VARCHAR[]), 'now': ''}) AS s FROM lines), g AS (SELECT *, CASE WHEN s.now = '' THEN s.done ELSE list_append(s.done, s.now) END AS ps FROM f), "
+    "h AS (SELECT doc_id, line_no, CASE WHEN length(line) < 20 THEN CAST([] AS VARCHAR[]) WHEN length(line) <= 340 THEN [line] "
+    "ELSE list_filter(flatten(list_transform(ps, lambda s: list_transform(range(0, length(s), 340), lambda i: substring(s, i + 1, 340)))), lambda v: length(v) >= 20) END AS xs FROM g) "
+    "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(unnest(range(len(xs))) AS INTEGER) AS piece_no, unnest(xs) AS piece FROM h"
+)
 def length_pack(spark, sf_dir):
     split = lines.explode_lines(table(spark, sf_dir, "documents"), "doc_id")
     return split.select("doc_id", "line_no", F.posexplode(shaping.pack(c("line"))).alias("piece_no", "piece"))
@@ -220,7 +241,15 @@ def line_block_assign(spark, sf_dir):
     return layout.assign_lines(ocr_lines(spark, sf_dir), blocks(spark, sf_dir))
 
 
-@query()
+_SHARED = "greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0))"
+_BLOCK = "{'c': -confidence, 'n': block, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}"
+
+
+@query(
+    f"WITH {BLOCKS}, p AS (SELECT doc, page, list({_BLOCK} ORDER BY {_BLOCK}) AS xs FROM bs GROUP BY ALL), "
+    f"k AS (SELECT doc, page, list_reduce(xs[2:], lambda a, b: CASE WHEN len(list_filter(a, lambda k: {_SHARED} > 0.70 * ((b.x1 - b.x0) * (b.y1 - b.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - {_SHARED}))) = 0 THEN list_append(a, b) ELSE a END, xs[1:1]) AS ks FROM p), "
+    "u AS (SELECT doc, page, unnest(ks).n AS block FROM k) SELECT doc, page, block, label, confidence FROM bs JOIN u USING (doc, page, block)"
+)
 def nms_blocks(spark, sf_dir):
     return layout.suppress_duplicates(blocks(spark, sf_dir)).select("doc", "page", "block", "label", "confidence")
 

@@ -214,7 +214,17 @@ def strip_html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.decode_xml_entities(T.strip_tags(c("html"))).alias("text"))
 
 
-@query()
+#: The character references that pages hold, and the commonest others; & comes last, so that nothing is decoded twice.
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
+
+
+def _decoded(x: str) -> str:
+    for reference, char in _REFERENCES:
+        x = f"replace({x}, '{reference}', {S.lit(char)})"
+    return x
+
+
+@query(f"SELECT page_id, {_decoded(S.rep('html', '<[^>]+>'))} AS text FROM pages")
 def decode_entities(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(T.strip_tags(c("html"))).alias("text"))
 
@@ -307,12 +317,22 @@ def byte_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fits(t).alias("fits"), F.octet_length(t).cast("long").alias("n_bytes"), F.char_length(t).cast("long").alias("n_chars"))
 
 
-@query()
+_BREAK = "strpos(reverse(substring(text, upto + 1, 5000)), chr(10))"
+
+
+@query(
+    "WITH RECURSIVE t(doc_id, chunk_no, start, upto, text) AS (SELECT doc_id, -1, 0, 0, text FROM documents WHERE length(text) > 0 UNION ALL "
+    f"SELECT doc_id, chunk_no + 1, upto, CASE WHEN upto + 5000 >= length(text) THEN length(text) WHEN {_BREAK} BETWEEN 1 AND 4999 THEN upto + 5001 - {_BREAK} ELSE upto + 5000 END, text "
+    "FROM t WHERE upto < length(text)) SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, substring(text, start + 1, upto - start) AS chunk FROM t WHERE chunk_no >= 0"
+)
 def chunk_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.chunk_text("text")).alias("chunk_no", "chunk"))
 
 
-@query()
+@query(
+    "SELECT doc_id, list_append(list_transform(range(least(1023, strlen(text))), lambda i: CAST(('0x' || substring(h, 2 * i + 1, 2)) AS INTEGER) + 3), 1) AS input_ids "
+    "FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)"
+)
 def byte_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", udfs.byte_tokens("text").alias("input_ids"))
 
