@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, SPACED, column_bytes, mix, shingle_hashes, slices, word_bounds, word_hashes
 from .components import components
-from .shared import materialize
+from .shared import discard, materialize
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -309,8 +309,8 @@ def _blocks(n: str, shingles: str):
     return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """What must be compared once more, in cells (main, i, j) of bounded size.
+def _cells(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What must be compared once more, in cells (main, i, j) of bounded size, and the tables that they are read from.
 
     In each open bucket the members outside its main component ask all members of other components. Those that ask
     the same main component are cut into blocks i, such that those of one bucket are together; a member that
@@ -336,7 +336,7 @@ def _cells(members: DataFrame) -> DataFrame:
     parts = asked.groupBy("main", "i").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).select("main", "i", _blocks("n", "shingles").alias("parts"))
     asked = asked.join(parts, ["main", "i"]).select("main", "i", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("j"), "doc_id", F.coalesce("own", F.lit(-1)).alias("own"), F.lit(False).alias("asks"))
     asks = asking.withColumnRenamed("own", "i").join(parts, ["main", "i"]).select("main", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "doc_id", F.col("i").alias("own"), F.lit(True).alias("asks"))
-    return asked.unionByName(asks).join(members, "doc_id").repartition(*CELL).sortWithinPartitions(*CELL)
+    return asked.unionByName(asks).join(members, "doc_id").repartition(*CELL).sortWithinPartitions(*CELL), [places, asking]
 
 
 def _apart(part: pa.Table, size: np.ndarray, percent: int = SIMILAR):
@@ -437,9 +437,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labels = components(links)
     alone = materialize(_members(sigs, found), "members")
-    best = best_pairs(_cells(_labelled(alone, labels))).join(unequal, ["a", "b"], "left_anti")
-    labels = _joined(labels, materialize(similar(best, docs).select("a", "b"), "links"))
-    labels = _joined(labels, materialize(links_across(_cells(_labelled(alone, labels)), docs), "links"))
+    cells, used = _cells(_labelled(alone, labels))
+    more = materialize(similar(best_pairs(cells).join(unequal, ["a", "b"], "left_anti"), docs).select("a", "b"), "links")
+    labels = _joined(labels, more)
+    discard(found, links, more, *used)
+    cells, used = _cells(_labelled(alone, labels))
+    more = materialize(links_across(cells, docs), "links")
+    labels = _joined(labels, more)
+    discard(alone, more, *used)
     return (
         sigs.select("doc_id", "n_shingles")
         .join(labels, F.col("doc_id") == F.col("node"), "left")

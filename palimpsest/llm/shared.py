@@ -23,25 +23,29 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/palimpsest/{tag}-{uuid.uuid4().hex}"
 
 
-#: Bytes of an Arrow batch while a table is written: rows with whole texts on both sides of a pair stay within a task's memory.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
+#: Settings while a table is written: Arrow batches of 16 MB, so that rows with whole texts on both sides of a pair stay within a
+#: task's memory, and shuffle files that go when the table is there instead of when the driver next collects garbage.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
-    path, before = new_path(spark, tag), spark.conf.get(BATCH)
-    spark.conf.set(BATCH, BATCH_BYTES)
+    path, before = new_path(spark, tag), {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

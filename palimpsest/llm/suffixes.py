@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import column_bytes, mix, powers, slices
-from .shared import materialize
+from .shared import discard, materialize
 
 LENGTH = 400
 #: A repeated passage of more than WORDS words is long, and has PASSAGE_BYTES bytes at least: a letter a word and spaces between.
@@ -73,13 +73,14 @@ def unpack(place):
 
 def sliding_owner(values: np.ndarray, width: int) -> np.ndarray:
     """For each start, the place of the smallest value among ``width``, the leftmost of equals (values' upper halves count)."""
-    n = len(values) - width + 1
-    v = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
-    pad = -len(v) % width
-    v = np.concatenate((v, np.full(pad, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, width)
-    left = np.minimum.accumulate(v, axis=1).ravel()
-    right = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    low = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    reach = 1  # low holds the smallest of so many
+    while 2 * reach <= width:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    if reach < width:
+        low = np.minimum(low[: len(values) - width + 1], low[width - reach :])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def anchors(body: np.ndarray, offs: np.ndarray, length: int = LENGTH):
@@ -418,7 +419,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (at - F.shiftright("place", 12).bitwiseAND(255)).cast("int").alias("first"),
         (at - F.shiftright("place", 4).bitwiseAND(255)).cast("int").alias("last"),
     )
-    return whole.unionByName(here).unionByName(there).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+    starts = materialize(whole.unionByName(here).unionByName(there).groupBy("doc", "th").agg(F.collect_set(F.struct("first", "last")).alias("starts")), "starts")
+    discard(judged, items, found)
+    return starts
 
 
 def covered(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:

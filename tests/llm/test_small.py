@@ -458,12 +458,46 @@ def test_vectors(spark, monkeypatch):
     true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= true).all() and found.sum() >= 0.97 * true.sum()
+    low = np.arange(len(x))
+    near_ = unit @ unit.T >= 0.9
+    for _ in range(len(x)):
+        new = np.where(near_, low, len(x)).min(axis=1)
+        if (new == low).all():
+            break
+        low = new
+    same = np.array([got[i].component_id for i in range(len(x))]) == low
+    assert (same | (found < true)).all() and same.mean() > 0.99  # a component may be larger by a link that was not found only
     assert all(got[2000 + i].n_links == 0 and got[2000 + i].kept for i in range(len(odd)))
     assert all(r.component_id <= i for i, r in got.items())
     assert got[len(x) - 4].component_id == got[5].component_id
     assert vectors.link(df.limit(0)).count() == 0
 
 
+def test_probes_choose_among_many_lists(spark):
+    """At a size where a vector's probes are a tenth of the lists, nearly all links are found, none below the bound, and groups follow the links."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30_000, 32))
+    copies = base[:3000] + rng.normal(size=(3000, 32)) * rng.uniform(0.05, 0.45, (3000, 1))
+    x = np.concatenate((base, copies)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").createOrReplaceTempView("many")
+    got = {r.vec_id: r for r in vectors.link(spark.table("many")).collect()}
+    assert len(x) // vectors.LIST > 10 * vectors.PROBES
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true, links = np.zeros(len(x), int), []
+    for lo in range(0, len(x), 2000):
+        a, b = np.nonzero(unit[lo : lo + 2000] @ unit.T >= 0.9)
+        a += lo
+        keep = a != b
+        np.add.at(true, a[keep], 1)
+        links += list(zip(a[keep].tolist(), b[keep].tolist(), strict=True))
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert true.sum() > 2000 and (found <= true).all() and found.sum() >= 0.98 * true.sum(), (found.sum(), true.sum())
+    assert np.mean([got[a].component_id == got[b].component_id for a, b in links]) >= 0.98
+    alone = np.flatnonzero(true == 0)
+    assert all(got[i].kept and got[i].component_id == i for i in alone.tolist())
+
+
 # ---------------------------------------------------------------- 1 and 5
 
 
