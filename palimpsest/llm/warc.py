@@ -5,14 +5,15 @@ declares the length of its body. The converter parses both, then makes up what W
 identifiers (UUIDs from the record's key, so the same input gives the same output), W3C timestamps, record types
 and SHA-1 digests. A body that starts with an HTTP status line becomes a ``response`` whose payload follows the HTTP
 head; any other body becomes a ``resource``. Of responses with equal payloads of ``min_bytes`` or more, the one with
-the largest source id stays a response and the others become ``revisit`` records that keep their HTTP head only.
+the largest source id stays a response and the others become ``revisit`` records that keep their HTTP head only and name the
+identifier, target and date of the record they refer to. Each WARC file opens with a ``warcinfo`` record; a file is one gzip member.
 
 Archives are written through Spark to the shared folder, one row being one whole file of bounded size, and read
 back as binary files, record by record by declared lengths; a payload may hold anything, record headers included.
 
 Defined cases: a null html is an empty payload; a null page_id ranks below all others and is written as ``-``; a null
 url is written as ``-``; white space in URLs is percent-encoded. Rows that repeat both the largest page_id and its
-payload are all responses. An empty table gives empty archives and an empty result. Further columns are not read.
+payload are all responses, and a revisit refers to the first of them by URL and date; very long payloads are a file of their own. An empty table gives empty archives and an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -196,11 +197,11 @@ def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
 
 
 RECORD = "source_id long, url string, ip string, date string, mime string, head binary, payload binary, digest binary, length long"
-BRIEF = "source_id long, digest binary, length long"
+BRIEF = "source_id long, url string, date string, digest binary, length long"
 
 
 def read_arc(spark: SparkSession, path: str, brief: bool = False, packed: bool = False) -> DataFrame:
-    """The URL records of the ARC files in ``path``; brief: without URLs, heads and payloads; packed: payloads deflated, to be shuffled.
+    """The URL records of the ARC files in ``path``; brief: without heads and payloads; packed: payloads deflated, to be shuffled.
 
     head is null unless the body is HTTP.
     """
@@ -218,7 +219,7 @@ def read_arc(spark: SparkSession, path: str, brief: bool = False, packed: bool =
                     source = int(location[5:]) if location.startswith("page:") else None
                     digest = hashlib.sha1(payload).digest()
                     rows.append(
-                        (source, digest, len(payload)) if brief
+                        (source, fields["URL"], fields["Archive-date"], digest, len(payload)) if brief
                         else (source, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, zlib.compress(payload, 1) if packed else payload, digest, len(payload))
                     )
                     size += len(payload)
@@ -239,11 +240,14 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     """ARC files to WARC files, with revisit records for repeated payloads."""
     brief = read_arc(spark, arc_path, brief=True).where(F.col("length") >= min_bytes)
     firsts = (
-        brief.groupBy("digest", "length").agg(F.max("source_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
+        brief.groupBy("digest", "length")
+        .agg(F.max("source_id").alias("first_id"), F.count("*").alias("copies"), F.min_by(F.struct("url", "date"), F.struct(F.col("source_id").isNull(), -F.col("source_id"), "url", "date")).alias("first"))
+        .where("copies > 1 and first_id is not null")
     )
     records = read_arc(spark, arc_path, packed=True)
-    marked = records.join(firsts.select("digest", "length", "first_id"), ["digest", "length"], "left").select(
-        *records.columns, F.when(F.coalesce(F.col("source_id") < F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id")).alias("refers_to")
+    again = F.coalesce(F.col("source_id") < F.col("first_id"), F.col("first_id").isNotNull())
+    marked = records.join(firsts.select("digest", "length", "first_id", "first"), ["digest", "length"], "left").select(
+        *records.columns, F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("first_url"), F.when(again, F.col("first.date")).alias("first_date")
     )
 
     def run(batches):
@@ -254,13 +258,26 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
                         yield _converted(r | {"payload": zlib.decompress(r["payload"])}) + CRLF + CRLF
 
         for batch in _files(records()):  # the writer itself puts the last record's end
-            yield pa.RecordBatch.from_pydict({"content": pa.array([batch.column(0)[0].as_py()[:-4]], pa.binary())})
+            body = batch.column(0)[0].as_py()
+            yield pa.RecordBatch.from_pydict({"content": pa.array([_info(body) + CRLF + CRLF + body[:-4]], pa.binary())})
 
     _write_files(marked.mapInArrow(run, "content binary"), warc_path, "\r\n\r\n")
 
 
+def _info(body: bytes) -> bytes:
+    """The record that opens a file of the records in ``body``."""
+    text = b"software: palimpsest\r\nformat: WARC File Format 1.1\r\n"
+    return warc_record(
+        [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo " + hashlib.sha1(body).hexdigest())), ("WARC-Date", timestamp(CRAWL_DATE)), ("Content-Type", "application/warc-fields")], text
+    )
+
+
+def _key(url: str, date: str, source: int | None, digest: bytes) -> str:
+    return f"{url} {date} {source} {digest.hex()}"
+
+
 def _converted(r: dict) -> bytes:
-    key = f"{r['url']} {r['date']} {r['source_id']} {r['digest'].hex()}"
+    key = _key(r["url"], r["date"], r["source_id"], r["digest"])
     kind = "resource" if r["head"] is None else "response" if r["refers_to"] is None else "revisit"
     block = r["payload"] if kind == "resource" else r["head"] if kind == "revisit" else r["head"] + r["payload"]
     headers = [
@@ -269,7 +286,10 @@ def _converted(r: dict) -> bytes:
         ("Content-Type", r["mime"] if kind == "resource" else "application/http; msgtype=response"), ("Source-Id", "-" if r["source_id"] is None else str(r["source_id"])),
     ]
     if kind == "revisit":
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("Refers-To-Source-Id", str(r["refers_to"])), ("Payload-Length", str(r["length"]))]
+        headers += [
+            ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(_key(r["first_url"], r["first_date"], r["refers_to"], r["digest"]))), ("WARC-Refers-To-Target-URI", r["first_url"]),
+            ("WARC-Refers-To-Date", timestamp(r["first_date"])), ("Refers-To-Source-Id", str(r["refers_to"])), ("Payload-Length", str(r["length"])),
+        ]
     return warc_record(headers, block)
 
 
@@ -285,6 +305,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for h, block in parse_warc(_unzip(content.as_py())):
                     kind = h["warc-type"]
+                    if kind == "warcinfo":
+                        continue
                     declared = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:"))
                     if kind == "revisit":
                         payload, length = None, int(h["payload-length"])

@@ -380,6 +380,11 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, size):
         again = len(raw) >= 1000 and best is not None and (i is None or i < best)
         want.append((i, hashlib.sha1(raw).hexdigest(), len(raw), "revisit" if again else "response", best if again else None))
     assert got == sorted(want, key=str)
+    heads = [h for c in warc._read_files(spark, str(tmp_path / "warc")).collect() for h, _ in warc.parse_warc(warc._unzip(bytes(c.content)))]
+    by_id_ = {h["warc-record-id"]: h for h in heads}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and all(h["warc-refers-to-target-uri"] == by_id_[h["warc-refers-to"]]["warc-target-uri"] and h["warc-refers-to-date"] == by_id_[h["warc-refers-to"]]["warc-date"] for h in revisits)
+    assert all(by_id_[h["warc-refers-to"]]["warc-type"] == "response" for h in revisits) and 0 < sum(h["warc-type"] == "warcinfo" for h in heads) < len(heads)
     warc.write_arc(pages.limit(0), str(tmp_path / "arc0"))
     warc.convert(spark, str(tmp_path / "arc0"), str(tmp_path / "warc0"))
     assert warc.read_warc(spark, str(tmp_path / "warc0")).count() == 0
