@@ -1,6 +1,7 @@
 """Embedding near-dedup by product quantisation: coarse inverted lists, residual codes, exact rerank.
 
-Unit vectors are assigned to coarse lists (k-means on a bounded sample); the residual is coded per subspace by the
+Unit vectors are assigned to coarse lists (k-means on a bounded sample); beyond what so many lists hold, each is parted by the
+residuals' own nearest of up to 256 centroids, so that lists stay short as the vectors grow. The residual is coded per subspace by the
 nearest of 256 centroids. Every vector is indexed and every vector is a query against the lists nearest to it. Table
 look-ups of the query's products with the subspace centroids give its asymmetric distances to all codes of a list; since each code's
 own error is stored, the triangle inequality keeps every vector that can be near enough, and exact cosines in double
@@ -10,7 +11,7 @@ and a cell gives counts and a spanning forest of its links, never the pairs.
 A pair found from one side only is counted for both, so links are symmetric.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components or have another length than the
-commonest (the smaller on a tie) link with nothing and are kept. Rows without vec_id count as vectors of others'
+commonest (the smaller on a tie) link with nothing and are kept; vectors of any length are taken whole. Rows without vec_id count as vectors of others'
 links; their component is the smallest id they reach, or null. An empty table gives an empty result.
 """
 
@@ -28,6 +29,8 @@ from .shared import materialize
 COSINE = 0.9
 #: Vectors that lists and codes are fitted on, at most; vectors in a list on average; lists probed; subspaces and their centroids.
 SAMPLE, LIST, PROBES, SPACES, CODES = 20_000, 200, 16, 16, 256
+#: Parts of a coarse list at most, vectors in a part on average beyond that many lists, and parts probed.
+PARTS, PART, PART_PROBES = 256, 1000, 32
 #: Indexed vectors and queries in a cell.
 ITEMS, QUERIES = 2048, 8192
 
@@ -59,24 +62,48 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse lists and subspace codebooks of unit vectors."""
+    """Coarse lists, their parts and subspace codebooks of unit vectors. A list's number is coarse list * parts + part."""
 
     def __init__(self, sample: np.ndarray, total: int, seed: int = 10):
         rng = np.random.default_rng(seed)
         lists = int(max(1, min(total // LIST, len(sample) // 8)))
         self.centres = _kmeans(sample, lists, 8, rng) if len(sample) else np.zeros((1, sample.shape[1]), np.float32)
         dim = self.centres.shape[1]
+        residual = sample - self.centres[nearest(sample, self.centres, 1)[:, 0]] if len(sample) else np.zeros((1, dim), np.float32)
+        parts = int(min(PARTS, -(-total // (len(self.centres) * PART)), max(1, len(sample) // 8)))
+        self.sub = _kmeans(residual, parts, 8, rng) if parts > 1 else np.zeros((1, dim), np.float32)
         self.spaces = [s for s in np.array_split(np.arange(dim), min(SPACES, dim)) if len(s)]
-        some = sample[: 40 * CODES]
-        residual = some - self.centres[nearest(some, self.centres, 1)[:, 0]] if len(some) else np.zeros((1, dim), np.float32)
-        self.books = [_kmeans(residual[:, s], CODES, 5, rng) for s in self.spaces]
+        some = residual[: 40 * CODES]
+        some = some - self.sub[nearest(some, self.sub, 1)[:, 0]]
+        self.books = [_kmeans(some[:, s], CODES, 5, rng) for s in self.spaces]
+
+    def base(self, lists: np.ndarray) -> np.ndarray:
+        return self.centres[lists // len(self.sub)] + self.sub[lists % len(self.sub)]
+
+    def probes(self, x: np.ndarray) -> np.ndarray:
+        """The lists nearest to each row, its own first."""
+        coarse = nearest(x, self.centres.astype(np.float64), PROBES)
+        parts = len(self.sub)
+        if parts == 1:
+            return coarse
+        out = np.empty((len(x), min(PART_PROBES, coarse.shape[1] * parts)), np.int32)
+        sub = self.sub.astype(np.float64)
+        half = (sub * sub).sum(axis=1) / 2
+        for i in range(0, len(x), 128):
+            near = coarse[i : i + 128]
+            left = x[i : i + 128, None, :] - self.centres[near]
+            away = ((left * left).sum(axis=2)[:, :, None] / 2 + half - left @ sub.T).reshape(len(near), -1)
+            top = np.argpartition(away, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] < away.shape[1] else np.tile(np.arange(away.shape[1]), (len(near), 1))
+            top = np.take_along_axis(top, np.take_along_axis(away, top, axis=1).argsort(axis=1, kind="stable"), axis=1)
+            out[i : i + 128] = np.take_along_axis(near, top // parts, axis=1) * parts + top % parts
+        return out
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        residual = x - self.centres[lists]
+        residual = x - self.base(lists)
         return np.stack([nearest(residual[:, s], b, 1)[:, 0] for s, b in zip(self.spaces, self.books, strict=True)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        out = self.centres[lists].copy()
+        out = self.base(lists)
         for m, (s, b) in enumerate(zip(self.spaces, self.books, strict=True)):
             out[:, s] += b[codes[:, m]]
         return out
@@ -114,7 +141,7 @@ def _index_rows(shared, dim: int):
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 x = units(batch.column("vector"), dim)
-                near = nearest(x, quantiser.centres.astype(np.float64), PROBES)
+                near = quantiser.probes(x)
                 home = near[:, 0]
                 code = quantiser.encode(x, home)
                 error = np.linalg.norm(x - quantiser.decode(code, home), axis=1).astype(np.float32)
@@ -161,7 +188,7 @@ def _compare(quantiser: Quantiser, dim: int, part: pa.Table):
     probes = column_bytes(items.column("probes"))[0].view(np.int32).reshape(len(ids), -1)
     reach = np.sqrt(2 - 2 * COSINE) + items.column("error").to_numpy() + 1e-3
     approx = quantiser.decode(code, home)
-    square, base = (approx * approx).sum(axis=1), quantiser.centres[home[0]]
+    square, base = (approx * approx).sum(axis=1), quantiser.base(home[:1])[0]
     links_x, links_q = np.zeros(len(ids), np.int64), np.zeros(len(id_q), np.int64)
     edges = []
     for lo in range(0, len(q), 512):
@@ -230,7 +257,7 @@ def link(vectors: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(quantiser)  # lists and codebooks: bounded by SAMPLE
     indexed = materialize(classes.mapInArrow(_index_rows(shared, dim), ROW), "lists")
     counts = indexed.groupBy("list").agg(F.count(F.when(~F.col("query"), 1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("asked"))
-    cuts = F.broadcast(  # a row per list: bounded by SAMPLE
+    cuts = F.broadcast(  # a row per list: bounded by SAMPLE and PARTS
         counts.select("list", F.greatest(F.ceil(F.col("n") / ITEMS), F.lit(1)).cast("int").alias("ni"), F.greatest(F.ceil(F.col("asked") / QUERIES), F.lit(1)).cast("int").alias("nq"))
     )
     part = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")

@@ -478,8 +478,14 @@ def test_vectors(spark, monkeypatch):
     assert vectors.link(df.limit(0)).count() == 0
 
 
-def test_probes_choose_among_many_lists(spark):
-    """At a size where a vector's probes are a tenth of the lists, nearly all links are found, none below the bound, and groups follow the links."""
+@pytest.mark.parametrize("sample, part", [(20_000, 1000), (800, 100)])
+def test_probes_choose_among_many_lists(spark, monkeypatch, sample, part):
+    """At a size where a vector's probes are a tenth of the lists, nearly all links are found, none below the bound, and groups follow the links.
+
+    The second case has a sample so small that its lists are parted.
+    """
+    monkeypatch.setattr(vectors, "SAMPLE", sample)
+    monkeypatch.setattr(vectors, "PART", part)
     rng = np.random.default_rng(8)
     base = rng.normal(size=(30_000, 32))
     copies = base[:3000] + rng.normal(size=(3000, 32)) * rng.uniform(0.05, 0.45, (3000, 1))
@@ -497,6 +503,7 @@ def test_probes_choose_among_many_lists(spark):
         np.add.at(true, a[keep], 1)
         links += list(zip(a[keep].tolist(), b[keep].tolist(), strict=True))
     found = np.array([got[i].n_links for i in range(len(x))])
+    print("recall", found.sum() / true.sum())
     assert true.sum() > 2000 and (found <= true).all() and found.sum() >= 0.98 * true.sum(), (found.sum(), true.sum())
     assert np.mean([got[a].component_id == got[b].component_id for a, b in links]) >= 0.98
     alone = np.flatnonzero(true == 0)
