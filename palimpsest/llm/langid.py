@@ -6,7 +6,8 @@ penalty for each switch of language, labels spans. A document's language is the
 
 Defined cases: a null text, and a text without a letter, is ``und`` with score 0 and has no span; ties go to the
 language whose name sorts first; rows without lang, text or doc_id are not learned from; with nothing to
-learn from, all is ``und``. Repeated rows count each time. Languages are few by nature, and a bound is checked.
+learn from, all is ``und``. Repeated rows count each time; very long texts are labelled whole, in one path; an empty table gives an
+empty result; further columns are not read. Languages are few by nature, and more than MAX_LANGUAGES are an error.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ probabilities.
 
 Defined cases: null and empty texts have the zero vector and get its score; rows without label are not learned from; a
 doc_id labelled more than once counts as good if most of its labels are; without labels of both kinds the
-score is the share of good labels (1 if there is none). Repeated rows and ties give equal scores; an empty table
-an empty result.
+score is the share of good labels (1 if there is none). Very long texts are pooled whole, piece by piece; repeated rows and ties give
+equal scores; an empty table gives an empty result; further columns are not read, :func:`keep_good` keeps them.
 """
 
 from __future__ import annotations
