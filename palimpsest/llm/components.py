@@ -22,7 +22,7 @@ def _hung(edges: DataFrame, mins: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     mins = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return _hung(both.where("v > u"), mins).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _hung(both.where("v > u"), mins).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))  # small-star makes each once
 
 
 def small_star(edges: DataFrame) -> DataFrame:

@@ -427,6 +427,19 @@ def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
     return components(hung.unionByName(new))
 
 
+def _hooked(labelled: DataFrame, new: DataFrame) -> DataFrame:
+    """``labelled`` with each component named after the smallest that a new link joins it with, if that is smaller.
+
+    One step of joining them: what stays apart though it belongs together is compared once more, and loses nothing.
+    """
+    if new.isEmpty():
+        return labelled
+    of = labelled.select("doc_id", "component").distinct()
+    sides = new.join(of.select(F.col("doc_id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("component").alias("cb")), "b")
+    low = sides.select(F.greatest("ca", "cb").alias("component"), F.least("ca", "cb").alias("low")).where("low < component").groupBy("component").agg(F.min("low").alias("low"))
+    return labelled.join(low, "component", "left").select("doc_id", "n_shingles", F.coalesce("low", "component").alias("component"), "signature")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id (smallest doc_id reached by links), kept."""
     sigs = materialize(signatures(docs), "signatures")
@@ -437,14 +450,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labels = components(links)
     alone = materialize(_members(sigs, found), "members")
-    cells, used = _cells(_labelled(alone, labels))
-    more = materialize(similar(best_pairs(cells).join(unequal, ["a", "b"], "left_anti"), docs).select("a", "b"), "links")
-    labels = _joined(labels, more)
-    discard(found, links, more, *used)
-    cells, used = _cells(_labelled(alone, labels))
-    more = materialize(links_across(cells, docs), "links")
-    labels = _joined(labels, more)
-    discard(alone, more, *used)
+    labelled = _labelled(alone, labels)
+    cells, used = _cells(labelled)
+    best = materialize(similar(best_pairs(cells).join(unequal, ["a", "b"], "left_anti"), docs).select("a", "b"), "links")
+    discard(found, links, *used)
+    cells, used = _cells(_hooked(labelled, best))
+    across = materialize(links_across(cells, docs), "links")
+    labels = _joined(labels, best.unionByName(across))
+    discard(alone, best, across, *used)
     return (
         sigs.select("doc_id", "n_shingles")
         .join(labels, F.col("doc_id") == F.col("node"), "left")

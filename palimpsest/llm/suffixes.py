@@ -388,24 +388,25 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(*_identity(), F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(lambda batches: _anchor_rows(batches, length), ANCHOR)
     by_gram = F.when(F.col("place").bitwiseAND(3) == PLAIN, F.col("k")).otherwise(F.col("f"))
-    judged = rows.withColumn("by", by_gram).repartition("by").drop("by").sortWithinPartitions("k").mapInArrow(_gram_filter, ANCHOR)
-    judged = judged.repartition("k", "f").sortWithinPartitions("k", "f").mapInArrow(_context_filter, "doc long, th long, place long")
-    judged = materialize(judged, "anchors")
+    # Two tables, so that the first shuffle's files, the largest there are, are gone before the second.
+    shared = materialize(rows.withColumn("by", by_gram).repartition("by").drop("by").sortWithinPartitions("k").mapInArrow(_gram_filter, ANCHOR), "grams")
+    judged = materialize(shared.repartition("k", "f").sortWithinPartitions("k", "f").mapInArrow(_context_filter, "doc long, th long, place long"), "anchors")
+    discard(shared)
     kind = F.col("place").bitwiseAND(15)
     shown = judged.where(kind != REPEATED).groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
     once = texts.join(shown, ["doc", "th"])
     items = materialize(once.mapInArrow(lambda batches: _item_rows(batches, length), ITEM), "suffixes")
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()
     splitters = _splitters(items, count, size)
-    shared = docs.sparkSession.sparkContext.broadcast(splitters)
+    cuts = docs.sparkSession.sparkContext.broadcast(splitters)
 
     def assign(batches):
         for batch in batches:
-            bucket = [bisect.bisect_right(shared.value, (c[k:], c[:k][::-1])) for c, k in zip(batch.column("context").to_pylist(), batch.column("cut").to_pylist(), strict=True)]
+            bucket = [bisect.bisect_right(cuts.value, (c[k:], c[:k][::-1])) for c, k in zip(batch.column("context").to_pylist(), batch.column("cut").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], [*batch.schema.names, "bucket"])
 
     def sort(batches):
-        yield from _bucket_rows(shared.value, length)(batches)
+        yield from _bucket_rows(cuts.value, length)(batches)
 
     dealt = items.mapInArrow(assign, ITEM + ", bucket int").repartition("bucket").sortWithinPartitions("bucket")
     found = materialize(dealt.mapInArrow(sort, FOUND), "repeats")
