@@ -35,10 +35,6 @@ def renderer(name: str) -> tuple[Callable[[str], bytes], Callable[[bytes, int],
     return _renderers[name]
 
 
-def names() -> list[str]:
-    return list(_engines)
-
-
 def create(name: str):
     if name not in _engines:
         raise ValueError(f"no engine named {name!r}; there are {sorted(_engines)}")

@@ -140,7 +140,7 @@ def test_runs_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     base = ["--script", "latin"]
     plugged = ["--plugin", "my_engines", str(tmp_path / "in")]
     cli.main([*base, "run", "--engine", "first", "--compare-with", "second", "--output", str(tmp_path / "cmp"), *plugged])
-    cli.main([*base, "run", "--engine", "best", "--comparison", str(tmp_path / "cmp"), "--output", str(tmp_path / "out"), *plugged])
+    cli.main([*base, "run", "--engine", "best", "--of", "first", "second", "--comparison", str(tmp_path / "cmp"), "--output", str(tmp_path / "out"), *plugged])
     page = spark.read.json(str(tmp_path / "out" / "pages")).first()
     assert (page.doc, page.text, page.lm_corrected) == ("story", "0nce up0n a time", False)
     assert "Pages processed: 1" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "texts")).collect())
