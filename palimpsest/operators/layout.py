@@ -91,6 +91,11 @@ def _greedy(blocks: list[dict], threshold: float) -> list[int]:
     return sorted(b["block"] for b in kept)
 
 
+def same_block(columns: int) -> float:
+    """The overlap beyond which two blocks are one; pages of several columns bear less."""
+    return SAME_BLOCK_COLUMNS if columns > 1 else SAME_BLOCK
+
+
 def suppress_duplicates(blocks: DataFrame, threshold: float = SAME_BLOCK) -> DataFrame:
     """The blocks that greedy suppression keeps: by falling confidence, none that overlaps a kept one too much."""
 
@@ -170,8 +175,8 @@ def reading_order(blocks: DataFrame, columns: Column | None = None) -> DataFrame
     return blocks.join(flat.select("doc", "page", F.col("z.block").alias("block"), F.col("z.rank").alias("rank")), ["doc", "page", "block"])
 
 
-def reconstruct(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc, page, text): block texts and stray lines in reading order.
+def reconstruct(lines: DataFrame, blocks: DataFrame, columns: int = 1) -> DataFrame:
+    """(doc, page, text): block texts and stray lines in the reading order of so many columns.
 
     Footers, page labels in headers and the contents of pictures go; a fallback page is its lines.
     """
@@ -185,7 +190,7 @@ def reconstruct(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     row = F.col("line_no").cast("double")
     at_number = F.struct(F.lit(0.0).alias("x0"), row.alias("y0"), F.lit(1.0).alias("x1"), (row + 0.5).alias("y1"))
     stray = placed.where("block is null").select(*page, (F.col("line_no") + 1_000_000).cast("long").alias("block"), F.coalesce("box", at_number).alias("box"), F.trim("text").alias("text"))
-    ordered = reading_order(chunks.unionByName(stray))
+    ordered = reading_order(chunks.unionByName(stray), F.lit(columns))
     parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return ordered.groupBy(*page).agg(T.strip(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n")).alias("text"))
 

@@ -76,6 +76,24 @@ def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.
     return fixed.unionByName(lines.where(~need).withColumn("is_corrected", F.lit(False)))
 
 
+def correct_pages(pages: DataFrame, model: Callable[[str], str], least: int = 3) -> DataFrame:
+    """``pages`` with each line of their texts corrected by itself; lines under ``least`` characters, and lines the model fails on, stay."""
+
+    def one(line: str) -> str:
+        if len(line.strip()) < least:
+            return line
+        try:
+            return model(line)
+        except Exception:
+            return line  # a model's failure leaves the line as it was
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "\n".join(map(one, t.split("\n"))), na_action="ignore")
+
+    return pages.withColumn("text", apply("text"))
+
+
 def corrected_pages(lines: DataFrame) -> DataFrame:
     """(doc, page, lm_corrected): whether any line of the page was corrected."""
     return lines.groupBy("doc", "page").agg(F.coalesce(F.bool_or("is_corrected"), F.lit(False)).alias("lm_corrected"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.scripts import LATIN
 from ..operators import formatting, layout, lines, metrics, shaping
 from . import sql as S
 
@@ -254,6 +255,30 @@ def nms_blocks(spark, sf_dir):
     return layout.suppress_duplicates(blocks(spark, sf_dir)).select("doc", "page", "block", "label", "confidence")
 
 
+@query(
+    f"WITH {BLOCKS}, p AS (SELECT doc, page, list({_BLOCK} ORDER BY {_BLOCK}) AS xs FROM bs GROUP BY ALL), "
+    f"k AS (SELECT doc, page, list_reduce(xs[2:], lambda a, b: CASE WHEN len(list_filter(a, lambda k: {_SHARED} > 0.60 * ((b.x1 - b.x0) * (b.y1 - b.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - {_SHARED}))) = 0 THEN list_append(a, b) ELSE a END, xs[1:1]) AS ks FROM p) "
+    "SELECT doc, page, CAST(len(ks) AS BIGINT) AS n_blocks FROM k"
+)
+def nms_columns(spark, sf_dir):
+    return layout.suppress_duplicates(blocks(spark, sf_dir), layout.same_block(2)).groupBy("doc", "page").agg(F.count("*").alias("n_blocks"))
+
+
+@query(
+    f"WITH {BLOCKS} SELECT doc, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM bs GROUP BY doc, page"
+)
+def region_extents(spark, sf_dir):
+    return layout.region_extents(blocks(spark, sf_dir))
+
+
+@query(
+    f"WITH p AS (SELECT coalesce(text, '') AS t FROM documents) SELECT avg(CASE WHEN {S.strip('t')} = '' THEN 1 ELSE 0 END) AS blank_rate, avg(CASE WHEN {S.has('t', f'[{LATIN.stray}]')} THEN 1 ELSE 0 END) AS stray_rate, "
+    f"round(avg(CASE WHEN length(t) > 0 THEN {S.count_script('t')} / length(t) ELSE 0.0 END), 6) AS script_ratio FROM p"
+)
+def quality_rates(spark, sf_dir):
+    return layout.quality_rates(table(spark, sf_dir, "documents"), LATIN).withColumn("script_ratio", F.round("script_ratio", 6))
+
+
 @query()
 def reading_order(spark, sf_dir):
     return layout.reading_order(blocks(spark, sf_dir)).select("doc", "page", "block", "rank")

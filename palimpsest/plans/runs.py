@@ -33,11 +33,11 @@ def _call(model: Model, default: str):
     return lambda c: F.pandas_udf(apply, "string")(c)
 
 
-def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
-    """(doc, page, confidence, n_lines, fallback, text) from recognised lines and layout blocks; texts are cleaned line by line."""
+def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfile = TAMIL, columns: int = 1) -> DataFrame:
+    """(doc, page, confidence, n_lines, fallback, text) from recognised lines and layout blocks of pages of so many columns; texts are cleaned line by line."""
     usable = layout.usable_blocks(blocks)
-    kept = layout.suppress_duplicates(usable)
-    text = layout.reconstruct(recognised, kept).withColumn("text", T.post_clean(F.col("text"), profile))
+    kept = layout.suppress_duplicates(usable, layout.same_block(columns))
+    text = layout.reconstruct(recognised, kept, columns).withColumn("text", T.post_clean(F.col("text"), profile))
     fallback = usable.groupBy("doc", "page").agg(F.bool_or("fallback").alias("fallback"))
     scored = layout.page_confidence(recognised).withColumn("confidence", F.bround("confidence", 4))
     return scored.join(fallback, ["doc", "page"], "left").join(text, ["doc", "page"], "left").select(
@@ -45,11 +45,11 @@ def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfil
     )
 
 
-def batch_run(pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL) -> tuple[DataFrame, DataFrame]:
+def batch_run(pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL, columns: int = 1) -> tuple[DataFrame, DataFrame]:
     """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages."""
     found = recognition.recognise(pages, engine).where("error is null")
     found = recognition.correct(found, corrector) if corrector else found.withColumn("is_corrected", F.lit(False))
-    results = page_results(found, blocks, profile).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
+    results = page_results(found, blocks, profile, columns).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
     return results, formatting.format_document(results.select("doc", "page", "text"))
 
 

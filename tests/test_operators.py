@@ -392,6 +392,18 @@ def test_images():
     assert data.startswith(b"\x89PNG") and zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]) == b"".join(b"\0" + r.tobytes() for r in page)
 
 
+def test_pages_corrected_line_by_line(spark):
+    pages = spark.createDataFrame([("abc\nxy\nfail it",), (None,), ("",)], "text string")
+
+    def model(line):
+        if line.startswith("fail"):
+            raise RuntimeError
+        return line.upper()
+
+    assert [r.text for r in recognition.correct_pages(pages, model).collect()] == ["ABC\nxy\nfail it", None, ""]
+    assert (layout.same_block(1), layout.same_block(2)) == (0.70, 0.60)
+
+
 def test_crop_stays_inside(spark):
     box = spark.createDataFrame([((2.0, 3.0, 96.5, 40.0),)], "box struct<x0:double,y0:double,x1:double,y1:double>")
     assert tuple(box.select(layout.crop(F.col("box"), F.lit(100), F.lit(200)).alias("c")).first().c) == (0, 0, 100, 44)
