@@ -562,3 +562,35 @@ def test_quality(spark, docs, empty):
     assert kept.columns == [*df.columns, "vector"] and np.mean([r.quality for r in kept.collect()]) > 0.95
     assert {r.score for r in quality.scores(docs, labels.limit(0)).collect()} == {1.0}
     assert quality.scores(empty, labels).count() == 0
+
+
+def test_quality_against_brute_force(spark):
+    """Neighbour counts, pooling and scores by plain loops; repeated rows score alike, very long and empty texts score too."""
+    rng = random.Random(40)
+    texts = [prose(rng, rng.randint(3, 60)) if i % 3 else prose(rng, 20).upper() + " !!!" for i in range(90)] + ["", None, prose(rng, 30_000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    split = lambda t: quality.tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].tolist()
+    context = np.zeros((quality.VOCABULARY, quality.SIZE))
+    for _, t in rows:
+        words = split(t)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.NEAR), min(len(words), i + quality.NEAR + 1)):
+                if j != i:
+                    context[w, quality.DIMS[words[j]]] += quality.SIGNS[0]
+    length = np.linalg.norm(context, axis=1, keepdims=True)
+    vectors_ = (context / np.where(length > 0, length, 1)).astype(np.float32)
+    assert np.allclose(quality.word_vectors(df), vectors_)
+
+    def feature(t):
+        v = vectors_[split(t)]
+        return np.concatenate((v.mean(axis=0), v.std(axis=0))) if len(v) else np.zeros(2 * quality.SIZE)
+
+    network = quality.Network(np.array([feature(texts[i]) for i in range(90)], np.float32).astype(np.float64), np.array([int(i % 3 > 0) for i in range(90)]))
+    got = quality.scores(df, labels).collect()
+    assert len(got) == len(rows)
+    want = {i: network(feature(t)[None].astype(np.float32).astype(np.float64))[0] for i, t in enumerate(texts)}
+    for r in got:
+        assert r.score == pytest.approx(want[7 if r.doc_id is None else r.doc_id], abs=0.02) and r.predicted == int(r.score >= quality.THRESHOLD)
+    assert len({r.score for r in got if r.doc_id == 5}) == 1
