@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C55)
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Text bytes taken at a time; a longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

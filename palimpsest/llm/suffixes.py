@@ -142,7 +142,7 @@ def _anchor_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
             if len(d):
                 held.append((docs[lo + d], ths[lo + d], at, before, after, k, f))
             size += len(part)
-            if size >= CHUNK_BYTES:
+            if size >= CHUNK_BYTES * length // LENGTH:  # shorter strings have more anchors
                 yield from flush()
                 held, size = [], 0
     yield from flush()
