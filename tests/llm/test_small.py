@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -325,6 +326,49 @@ def test_recall_of_edited_passages(spark):
     print("recall", sum(hit.values()) / len(hit), "below 0.85", sum(low) / len(low))
 
 
+def test_all_windows_of_a_group_meet():
+    """The windows of up to SMALL sequences with one shingle meet each other; the windows of a larger group come out for the cells."""
+    def met(n, size):
+        rows = pa.RecordBatch.from_pydict({"key": pa.array([5] * n + [6]), "seq": pa.array([*range(n), 0]), "place": pa.array(passages.pack(np.zeros(n + 1), 100 + np.arange(n + 1), np.full(n + 1, 40), np.full(n + 1, 40), np.full(n + 1, 2)))})
+        out = pa.Table.from_batches(passages._meet(rows.slice(k, size) for k in range(0, n + 1, size))).to_pylist()
+        return {(r["a"], r["b"]) for r in out if r["function"] == 2}, [r["b"] for r in out if r["function"] == 2 + passages.ALONE]
+
+    for size in (3, 100):
+        assert met(20, size) == (set(itertools.combinations(range(20), 2)), [])
+        pairs, alone = met(passages.SMALL + 1, size)
+        assert pairs and alone == list(range(passages.SMALL + 1))
+
+
+def test_passages_behind_a_frequent_line(spark):
+    """Each of 300 passages of 50 words that stand twice is found though the line of 40 words inside stands in 1,200 documents, and those that differ are not."""
+    rng = random.Random(31)
+    fresh = iter(range(10**9))
+    prose_of = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    line, rows = prose_of(40), []
+    for k in range(600):
+        around = prose_of(10)
+        for j in range(2):
+            words = [*around[:5], *line, *around[5:]] if k < 300 else [*prose_of(20), *line, *prose_of(20)]
+            rows.append((2 * k + j, " ".join(prose_of(rng.randrange(1, 60)) + words + prose_of(rng.randrange(1, 60)))))
+    got = by_id(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    texts = dict(rows)
+    for k in range(300):
+        for d in (2 * k, 2 * k + 1):
+            start = texts[d].split().index(line[0]) - 5
+            assert any(p.first <= start and p.end >= start + 50 for p in got[d].passages), d
+        assert got[2 * k].group_id == got[2 * k + 1].group_id
+
+
+def test_runs_of_one_shingle_are_a_few_windows():
+    values = np.array([9, 8, 1, *[1] * 199, *range(2, 60)], np.uint64) << np.uint64(32)
+    begins, ends = np.array([0]), np.array([len(values)])
+    all_ = passages.compact_windows(values, begins, ends)
+    of, at, left, right = passages.thinned(values, *all_)
+    run = values[at] == values[2]
+    assert len(all_[1]) > 200 and at[run].tolist() == [2, 48, 94, 140, 186, 201]
+    assert (left[run] == 0).all() and (right[run] == len(values) - 1).all()
+
+
 def test_passages_of_shared_ids_and_far_places(spark):
     """Rows that share a doc_id are one document; a passage stands where it stands in a very long text."""
     rng = random.Random(5)
