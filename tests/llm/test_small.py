@@ -363,7 +363,8 @@ def test_runs_of_one_shingle_are_a_few_windows():
     values = np.array([9, 8, 1, *[1] * 199, *range(2, 60)], np.uint64) << np.uint64(32)
     begins, ends = np.array([0]), np.array([len(values)])
     all_ = passages.compact_windows(values, begins, ends)
-    of, at, left, right = passages.thinned(values, *all_)
+    within = passages.thinned(values, *all_)[4]
+    of, at, left, right = (x[~within] for x in passages.thinned(values, *all_)[:4])
     run = values[at] == values[2]
     assert len(all_[1]) > 200 and at[run].tolist() == [2, 48, 94, 140, 186, 201]
     assert (left[run] == 0).all() and (right[run] == len(values) - 1).all()
