@@ -359,6 +359,46 @@ def test_passages_behind_a_frequent_line(spark):
         assert got[2 * k].group_id == got[2 * k + 1].group_id
 
 
+def test_pairs_are_verified_in_parts(spark, monkeypatch):
+    """Each of 40 near copies is paired with all others: no write's shuffles hold all those pairs with their texts at once, and every link is found."""
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = []
+    for d in range(40):
+        at = rng.randrange(300)
+        rows.append((d, " ".join([*base[:at], f"edit{d}", *base[at + 1 :]])))
+    links = set(itertools.combinations(range(40), 2))
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+
+    def stages():
+        """Shuffled rows by stage."""
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        all_ = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(all_.apply, range(all_.size()))}
+
+    most, write = [], passages.materialize
+
+    def noted(df, tag):
+        before = stages()
+        out = write(df, tag)
+        if tag == "passages":
+            most.append(sum(n for k, n in stages().items() if k not in before))
+        return out
+
+    monkeypatch.setattr(passages, "materialize", noted)
+    monkeypatch.setattr(passages, "PART_BYTES", 1 << 10, raising=False)
+    joins = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(joins)
+    spark.conf.set(joins, "-1")  # as large tables are joined
+    try:
+        pairs = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))[2]
+    finally:
+        spark.conf.set(joins, before)
+    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == links
+    assert 0 < max(most) < len(links), most
+
+
 def test_runs_of_one_shingle_are_a_few_windows():
     values = np.array([9, 8, 1, *[1] * 199, *range(2, 60)], np.uint64) << np.uint64(32)
     begins, ends = np.array([0]), np.array([len(values)])
