@@ -399,6 +399,20 @@ def test_pairs_are_verified_in_parts(spark, monkeypatch):
     assert 0 < max(most) < len(links), most
 
 
+def test_windows_of_cells_are_placed_in_parts():
+    """The parts hold each window in each of its cells once, whole cells each, and no part most of them."""
+    window = lambda key, block: {"key": key, "blocks": 9, "block": block, "centre": 20, "first": 0, "last": 60}
+    rows = [{"seq": d, "doc": d, "component": d, "spans": [], "text": " ".join(f"w{d}x{i}" for i in range(80)), "windows": [window(7, d % 9), window(-3, d % 5)]} for d in range(40)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    placed = lambda n, k: [tuple(r.values()) for b in passages._placed(n, k)([batch]) for r in b.to_pylist()]
+    parts = [placed(6, k) for k in range(6)]
+    assert sorted(itertools.chain(*parts)) == sorted(placed(1, 0)) and len(placed(1, 0)) == 40 * 2 * 9
+    cells = [{r[:3] for r in part} for part in parts]
+    assert sum(map(len, cells)) == len(set().union(*cells))
+    assert max(map(len, parts)) < 40 * 2 * 9 / 2
+    assert (passages._parts(None, None), passages._parts(10, passages.PART_BYTES + 1), passages._parts(passages.PART_BYTES, 5 * passages.PART_BYTES)) == (1, 2, 3)
+
+
 def test_runs_of_one_shingle_are_a_few_windows():
     values = np.array([9, 8, 1, *[1] * 199, *range(2, 60)], np.uint64) << np.uint64(32)
     begins, ends = np.array([0]), np.array([len(values)])
