@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +30,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
 WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path, before = new_path(spark, tag), {k: spark.conf.get(k) for k in WRITING}
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a write. They are the session's: whatever another thread of it starts meanwhile has them too."""
+    before = {k: spark.conf.get(k) for k in values}
     try:
-        for k, v in WRITING.items():
+        for k, v in values.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

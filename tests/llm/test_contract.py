@@ -9,6 +9,8 @@ COLUMNS = {
     1: ["doc_id", "held_out", "lang_pred", "score"], 3: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], 4: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     5: ["doc_id", "held_out", "score", "predicted"], 7: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], 8: ["doc_id", "n_shingles", "component_id", "kept"],
     6: ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], 9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"], 10: ["vec_id", "n_links", "component_id", "kept"],
+    11: ["doc_id", "n_lines", "n_dropped", "kept_sha256"], 12: ["doc_id", "n_features", "weight", "score", "rank"],
+    13: ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -16,7 +18,7 @@ def test_names():
     import __spark_entry__ as entry
 
     numbers = [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("number", sorted(COLUMNS))
