@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import stores
 from .layout import needs_correction
-from .sampling import take
+from .sampling import ranked
 
 LINES = "doc string, page int, line_no int, text string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, error string"
 
 #: Text to image bytes, and image bytes and a seed to worse ones, by name.
 _renderers: dict[str, tuple[Callable[[str], bytes], Callable[[bytes, int], bytes]]] = {}
-_engines: dict[str, Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]] = {}
+_engines: dict[str, tuple[Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], int]] = {}
 
 
-def register(name: str, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> None:
-    """load: makes the engine, once per worker; the engine maps pages (doc, page, content) to rows of LINES."""
-    _engines[name] = load
+def register(name: str, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], pages_per_call: int = 1) -> None:
+    """load: makes the engine, once per worker; the engine maps up to ``pages_per_call`` pages (doc, page, content) to rows of LINES."""
+    if pages_per_call < 1:
+        raise ValueError("an engine takes one page a call at least")
+    _engines[name] = load, pages_per_call
 
 
 def register_renderer(name: str, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes]) -> None:
@@ -35,25 +38,62 @@ def renderer(name: str) -> tuple[Callable[[str], bytes], Callable[[bytes, int],
     return _renderers[name]
 
 
-def create(name: str):
+def create(name: str) -> tuple[Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], int]:
     if name not in _engines:
         raise ValueError(f"no engine named {name!r}; there are {sorted(_engines)}")
     return _engines[name]
 
 
+def _failed(page: pd.DataFrame, error: Exception) -> pd.DataFrame:
+    row = {"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line_no": 0, "text": None, "box": None, "confidence": None, "error": f"[OCR ERROR: {error}]"}
+    return pd.DataFrame([row])
+
+
+def _silent(pages: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame | None:
+    """A row without a line number for each page of which the engine says nothing."""
+    seen = set(zip(found["doc"], found["page"], strict=True)) if len(found) else set()
+    rows = [{"doc": d, "page": n, "line_no": None, "text": None, "box": None, "confidence": None, "error": None} for d, n in zip(pages["doc"], pages["page"], strict=True) if (d, n) not in seen]
+    return pd.DataFrame(rows).astype({"line_no": "Int32"}) if rows else None
+
+
+def _read(engine: Callable[[pd.DataFrame], pd.DataFrame], pages: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """What the engine makes of the pages in one call; a call that fails is made again on each half, until the bad page fails alone."""
+    try:
+        found = engine(pages.reset_index(drop=True)).assign(error=None)
+        parts = [p for p in (found, _silent(pages, found)) if p is not None and len(p)]
+    except Exception as e:  # a page's failure is its own; it is reported in its row
+        if len(pages) == 1:
+            yield _failed(pages, e)
+        else:
+            half = len(pages) // 2
+            yield from _read(engine, pages.iloc[:half])
+            yield from _read(engine, pages.iloc[half:])
+    else:
+        yield from parts
+
+
 def recognise(pages: DataFrame, name: str) -> DataFrame:
-    """The lines of all pages; a page that fails is one row with ``error`` and no text."""
-    load = create(name)
+    """The lines of all pages, read in batches of the engine's size; a page that fails is one row with ``error`` and no text."""
+    return read_pages(pages, name).where("line_no is not null")
+
+
+def recognised_once(pages: DataFrame, name: str, store: str) -> DataFrame:
+    """The same lines, and for a page without any a row without ``line_no``; a page that the engine has read into ``store`` before is not read again."""
+    return stores.keyed(f"{store.rstrip('/')}/{name}", pages, ["doc", "page"], lambda todo: read_pages(todo, name))
+
+
+def read_pages(pages: DataFrame, name: str) -> DataFrame:
+    load, size = create(name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = load()
-        for pages in batches:
-            for i in range(len(pages)):
-                page = pages.iloc[i : i + 1]
-                try:
-                    yield engine(page).assign(error=None)
-                except Exception as e:  # a page's failure is its own; it is reported in its row
-                    yield pd.DataFrame([{"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line_no": 0, "text": None, "box": None, "confidence": None, "error": f"[OCR ERROR: {e}]"}])
+        engine, left = load(), None
+        for batch in batches:
+            left = batch if left is None or left.empty else pd.concat([left, batch])
+            for k in range(0, len(left) - size + 1, size):
+                yield from _read(engine, left.iloc[k : k + size])
+            left = left.iloc[len(left) // size * size :]
+        if left is not None and len(left):
+            yield from _read(engine, left)
 
     return pages.mapInPandas(run, LINES)
 
@@ -94,26 +134,76 @@ def correct_pages(pages: DataFrame, model: Callable[[str], str], least: int = 3)
     return pages.withColumn("text", apply("text"))
 
 
+def corrected_once(lines: DataFrame, model: Callable[[str], str], store: str, threshold: float = 0.90) -> DataFrame:
+    """:func:`correct`, each page's lines once for a ``store``: another model wants another store."""
+    return stores.keyed(f"{store.rstrip('/')}/corrected", lines, ["doc", "page"], lambda todo: correct(todo, model, threshold))
+
+
 def corrected_pages(lines: DataFrame) -> DataFrame:
     """(doc, page, lm_corrected): whether any line of the page was corrected."""
     return lines.groupBy("doc", "page").agg(F.coalesce(F.bool_or("is_corrected"), F.lit(False)).alias("lm_corrected"))
 
 
-def round_trip(texts: DataFrame, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes], engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
-    """(key, input, target, source) of texts (key, text) drawn as images, degraded, and read by an engine.
-
-    Pairs that differ too little, fail or are ``done`` already are left out; with fewer than ``n`` left it is an error,
-    with more the first n in seeded order stay. render, degrade (image, seed) and the engine are models.
-    """
-    todo = texts if done is None else texts.join(done.select("key").distinct(), "key", "left_anti")
+def read_back(texts: DataFrame, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes], engine: str, seed: int = 42) -> DataFrame:
+    """(key, input): each text (key, text) drawn as an image, degraded, and read by an engine; null where that failed."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            images = [degrade(render(t), zlib.crc32(f"{seed}|{k}".encode())) for k, t in zip(batch.key, batch.text, strict=True)]
+            images = []
+            for key, text in zip(batch.key, batch.text, strict=True):
+                try:
+                    images.append(degrade(render(text), zlib.crc32(f"{seed}|{key}".encode())))
+                except Exception:
+                    images.append(None)  # what cannot be drawn is not read
             yield pd.DataFrame({"doc": batch.key.astype(str), "page": 1, "content": images})
 
-    pages = todo.select(F.col("key").cast("string").alias("key"), "text").mapInPandas(draw, "doc string, page int, content binary")
+    pages = texts.select(F.col("key").cast("string").alias("key"), "text").mapInPandas(draw, "doc string, page int, content binary").where("content is not null")
     read = recognise(pages, engine).where("error is null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
     found = read.select(F.col("doc").alias("key"), T.strip(F.array_join(F.transform("rows", lambda r: r["text"]), " ")).alias("input"))
-    made = found.join(todo.select(F.col("key").cast("string").alias("key"), F.col("text").alias("target")), "key").withColumn("source", F.lit(f"roundtrip_{engine}"))
-    return take(made.where(T.edits_at_least(F.col("input"), F.col("target"), least_edits)), n, seed, "key", strict=True).drop("shuffle_key")
+    return texts.select(F.col("key").cast("string").alias("key")).join(found, "key", "left")
+
+
+#: Texts of a step at least; attempts that a wanted pair may cost.
+STEP, ATTEMPTS = 64, 25
+
+
+def round_trip(
+    texts: DataFrame, render: Callable[[str], bytes], degrade: Callable[[bytes, int], bytes], engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None,
+    store: str | None = None, step: int = STEP, attempts: int | None = None,
+) -> DataFrame:
+    """(key, input, target, source): n of the texts (key, text) drawn as images, degraded, and read by an engine.
+
+    Texts go in seeded order, step by step: a step takes as many as pairs are missing, ``step`` at least, so an engine is called for no more
+    than one step beyond the last pair. Each step's outcome, failures too, is a table of its own below ``store``; a run that was stopped goes on behind its
+    last whole step and reads no key of an earlier one again. It ends with n pairs, or as an error when the texts or the attempts (25 a pair) are
+    spent. Texts that are blank or ``done`` already are left out; pairs of fewer edits, and what fails, count as attempts.
+    """
+    spark = texts.sparkSession
+    store = (store or stores.new_folder(spark, "round-trip")).rstrip("/")
+    limit = n * ATTEMPTS if attempts is None else attempts
+
+    def ordered() -> DataFrame:
+        left = texts if done is None else texts.join(done.select("key").distinct(), "key", "left_anti")
+        plain = left.select(F.col("key").cast("string").alias("key"), T.strip(F.col("text")).alias("text")).where("text <> ''").dropDuplicates(["key"])
+        return ranked(plain, seed, "key").repartitionByRange("rank").sortWithinPartitions("rank")  # so a step reads its own row groups
+
+    order = stores.once(f"{store}/order", ordered, spark)
+    steps = stores.numbered(spark, f"{store}/steps")
+    total, tried, good = order.count(), 0, 0
+    if steps:
+        tried, good = tuple(stores.read_steps(spark, f"{store}/steps", steps).agg(F.max("rank"), F.count_if("differs")).first())
+    while good < n and tried < min(total, limit):
+        size = min(max(n - good, step), min(total, limit) - tried)
+        rows = order.where(F.col("rank").between(tried + 1, tried + size))
+        read = read_back(rows.select("key", "text"), render, degrade, engine, seed).join(rows, "key")
+        differs = F.coalesce((F.col("input") != "") & T.edits_at_least(F.col("input"), F.col("text"), least_edits), F.lit(False))
+        steps.append(steps[-1] + 1 if steps else 0)
+        read.select("key", "rank", "input", "text", differs.alias("differs")).write.mode("overwrite").parquet(f"{store}/steps/step={steps[-1]}")
+        tried += size
+        good += stores.read_steps(spark, f"{store}/steps", steps[-1:]).where("differs").count()
+    if good < n:
+        raise ValueError(f"{good} of {n} pairs after {tried} attempts")
+    made = stores.read_steps(spark, f"{store}/steps", steps).where("differs")
+    if good > n:  # the last steps hold a few too many: those of the highest ranks go
+        made = made.join(made.orderBy(F.desc("rank")).limit(good - n).select("rank"), "rank", "left_anti")
+    return made.select("key", "input", F.col("text").alias("target"), F.lit(f"roundtrip_{engine}").alias("source"))

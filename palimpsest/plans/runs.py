@@ -6,14 +6,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs
 from ..functions.scripts import TAMIL, ScriptProfile
 from ..operators import corpus, formatting, layout, lines, metrics, noise, pairs, recognition, sampling, shaping
-from ..sources import readers, writers
+from ..sources import listings, readers, stores, writers
 
 Model = Callable[[str], str]
 
@@ -45,29 +45,40 @@ def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfil
     )
 
 
-def batch_run(pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL, columns: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages."""
-    found = recognition.recognise(pages, engine).where("error is null")
-    found = recognition.correct(found, corrector) if corrector else found.withColumn("is_corrected", F.lit(False))
+def read_once(pages: DataFrame, engine: str, store: str | None = None) -> DataFrame:
+    """The lines of ``pages``, in a store, so that whatever reads them twice calls the engine once a page; the same store, given again, calls it for new pages only."""
+    return recognition.recognised_once(pages, engine, store or stores.new_folder(pages.sparkSession, "recognised"))
+
+
+def batch_run(
+    pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL, columns: int = 1, store: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages; models are called once a page, see :func:`read_once`."""
+    store = store or stores.new_folder(pages.sparkSession, "recognised")
+    found = read_once(pages, engine, store).where("error is null and line_no is not null")
+    found = recognition.corrected_once(found, corrector, f"{store}/{engine}-lines") if corrector else found.withColumn("is_corrected", F.lit(False))
     results = page_results(found, blocks, profile, columns).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
     return results, formatting.format_document(results.select("doc", "page", "text"))
 
 
-def compared_run(pages: DataFrame, engines: tuple[str, str], blocks: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
+def compared_run(pages: DataFrame, engines: tuple[str, str], blocks: DataFrame, profile: ScriptProfile = TAMIL, store: str | None = None) -> DataFrame:
     """The pages of two engines side by side, as :func:`..operators.metrics.compare_engines` gives them."""
-    return metrics.compare_engines(*(page_results(recognition.recognise(pages, name).where("error is null"), blocks, profile) for name in engines))
+    store = store or stores.new_folder(pages.sparkSession, "recognised")
+    return metrics.compare_engines(*(page_results(read_once(pages, name, store).where("error is null and line_no is not null"), blocks, profile) for name in engines))
 
 
-def web_run(pages: DataFrame, engine: str, blocks: DataFrame, references: DataFrame | None = None, languages: str = "ta, en", profile: ScriptProfile = TAMIL) -> DataFrame:
+def web_run(
+    pages: DataFrame, engine: str, blocks: DataFrame, references: DataFrame | None = None, languages: str = "ta, en", profile: ScriptProfile = TAMIL, store: str | None = None
+) -> DataFrame:
     """(doc, text, cer, wer, report) of (path, page, content) pages of up to 100 each: recognised, cleaned, reflowed, scored and reported.
 
-    A page that fails shows its error in the text. references: (doc, reference, origin).
+    A page that fails shows its error in the text. references: (doc, reference, origin). Pages are opened and recognised once.
     """
     named = readers.at_most(pages).select(F.element_at(F.split("path", "/"), -1).alias("doc"), "page", "content")
-    found = recognition.recognise(named, engine)
-    good = page_results(found.where("error is null"), blocks, profile).select("doc", "page", lines.reflow(F.col("text")).alias("text"))
+    found = read_once(named, engine, store)
+    good = page_results(found.where("error is null and line_no is not null"), blocks, profile).select("doc", "page", lines.reflow(F.col("text")).alias("text"))
     failed = found.where("error is not null").select("doc", "page", "error")
-    each = named.select("doc", "page").join(good, ["doc", "page"], "left").join(failed, ["doc", "page"], "left")
+    each = found.select("doc", "page").distinct().join(good, ["doc", "page"], "left").join(failed, ["doc", "page"], "left")
     blocks_ = each.select("doc", "page", writers.page_blocks(F.col("page"), F.col("text"), F.col("error")).alias("block"), "text")
     rows = F.array_sort(F.collect_list(F.struct("page", "block", "text")))
     whole = blocks_.groupBy("doc").agg(rows.alias("rows"), F.count("*").alias("n_pages"))
@@ -98,18 +109,18 @@ def reviewed_run(results: DataFrame, lines_: DataFrame, router: Model, reviewer:
     changes no text.
     """
     first = results.groupBy("doc").agg(F.min_by("text", "page").alias("text"), F.count("*").alias("n_pages"))
-    routed = first.select("doc", "n_pages", T.routing_decision(_call(router, "")("text")).alias("route"))
+    routed = stores.written(first.select("doc", "n_pages", T.routing_decision(_call(router, "")("text")).alias("route")), "routed")
     scores = lines_.groupBy("doc", "page").agg(F.collect_list("confidence").alias("scores"))
     gated = results.join(scores, ["doc", "page"], "left").join(routed, "doc")
     need = layout.needs_review(F.col("confidence"), F.size(F.coalesce("scores", F.array().cast("array<double>"))), F.col("route.estimated_columns"), F.size(T.split_lines(F.col("text"))))
     asked = gated.where(need).withColumn("review", _call(reviewer, "{}")(T.prompt(F.col("text"), F.col("scores"), F.col("route.detected_language"))))
-    pages = asked.unionByName(gated.where(~need).withColumn("review", F.lit(None).cast("string")))
+    pages = stores.written(asked.unionByName(gated.where(~need).withColumn("review", F.lit(None).cast("string"))), "reviewed")
     whole = lines.ordered_join(pages.withColumn("t", F.concat(F.lit("PAGE "), F.col("page").cast("string"), F.lit("\n"), F.col("text"))), ["doc"], "page", "t", "\n\n")
     chunks = whole.select("doc", F.posexplode(udfs.chunk_text("text")).alias("chunk_no", "chunk"))
     passed = chunks
     for _ in range(2):  # the second pass works on what the first one gave
         passed = passed.withColumn("chunk", F.coalesce(T.strip(_call(finisher, None)("chunk")), F.col("chunk")))
-    body = lines.ordered_join(passed, ["doc"], "chunk_no", "chunk", "\n\n")
+    body = lines.ordered_join(stores.written(passed, "finished"), ["doc"], "chunk_no", "chunk", "\n\n")
     reviews = pages.groupBy("doc").agg(F.count("review").alias("reviews"), F.array_sort(F.collect_list(F.when(F.col("review").isNotNull(), F.struct("page", F.col("review").alias("answer"))))).alias("qa_decisions"))
     calls = 1 + F.coalesce(F.col("reviews"), F.lit(0)) + 1  # finishing counts once, whatever its chunks and passes
     head = writers.run_header(
@@ -167,10 +178,24 @@ def build_training_set(modern: DataFrame, classical: DataFrame, premodern: DataF
     return made.where(T.fits(F.col("input")) & T.fits(F.col("target")))
 
 
-def round_trip_pairs(chosen: DataFrame, name: str, engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
-    """n pairs read back from images of the targets of ``chosen`` (key, target)."""
+def round_trip_pairs(
+    chosen: DataFrame, name: str, engine: str, n: int, least_edits: int = 2, seed: int = 42, done: DataFrame | None = None, store: str | None = None, attempts: int | None = None
+) -> DataFrame:
+    """n pairs read back from images of the targets of ``chosen`` (key, target); with a ``store`` a run that was stopped goes on."""
     render, degrade = recognition.renderer(name)
-    return recognition.round_trip(chosen.select("key", F.col("target").alias("text")), render, degrade, engine, n, least_edits, seed, done)
+    return recognition.round_trip(chosen.select("key", F.col("target").alias("text")), render, degrade, engine, n, least_edits, seed, done, store, attempts=attempts)
+
+
+def crawl(spark: SparkSession, source: str, call: listings.Interface, roots: list[str], seen: DataFrame | None = None, most: int | None = None, profile: ScriptProfile = TAMIL, **options: str) -> DataFrame:
+    """(title, line_no, line): the categories ``roots`` of a wiki listed, their pages fetched once each, and their lines cleaned.
+
+    source: the name under which ``call`` is registered (see :mod:`..sources.listings`). seen: titles that are left out before anything is fetched.
+    """
+    titles = listings.crawled(spark, source, roots, **options)
+    fresh = titles if seen is None else titles.join(seen.select("title"), "title", "left_anti")
+    fetched = stores.written(listings.page_texts(fresh, call, profile), "fetched")  # each title is asked for once
+    pages = fetched.where("error is null").select("title", corpus.page_text(F.col("extract"), F.col("wikitext"), profile).alias("text")).where("text is not null")
+    return corpus.crawl_lines(pages, "title", "text", profile, most=most)
 
 
 def pack_training_set(made: DataFrame, extra: DataFrame | None, n: int, val_ratio: float = 0.1, seed: int = 42, least_edits: int = 2) -> DataFrame:

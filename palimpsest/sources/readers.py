@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -108,10 +108,10 @@ def document_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def at_most(pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
-    """``pages`` as it is, or a failure for a document of more pages."""
-    n = pages.groupBy("path").agg(F.count("*").alias("n"))
-    checked = n.withColumn("ok", F.when(F.col("n") <= most, True).otherwise(F.raise_error(F.format_string("%s has %s pages", "path", F.col("n").cast("string"))).cast("boolean")))
-    return pages.join(checked.where("ok").select("path"), "path")
+    """``pages`` as it is, or a failure for a document of more pages; the source is read once and pages are dealt by document."""
+    n = F.count("*").over(Window.partitionBy("path"))
+    checked = F.when(n <= most, True).otherwise(F.raise_error(F.format_string("%s has %s pages", "path", n.cast("string"))).cast("boolean"))
+    return pages.withColumn("ok_", checked).where("ok_").drop("ok_")
 
 
 def with_retries(call: Callable[[dict], dict], params: dict, tries: int = 3, wait: Callable[[float], None] = time.sleep) -> dict:
