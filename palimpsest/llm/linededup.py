@@ -169,12 +169,14 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS)
     hits = hits.select(F.col("doc_id").alias("of"), "t1", "t2", "places")
     split = named.withColumns({"t1": t1, "t2": t2, "n_lines": F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1})
     joined = split.join(hits, [split.t1 == hits.t1, split.t2 == hits.t2, split.doc_id.eqNullSafe(hits.of)], "left").select("doc_id", "text", split.n_lines, "places")
-    # What stays between two dropped places is a slice: linear in the lines, however many are dropped.
+    # What stays between two dropped places is taken line by line: linear in the lines, however many are dropped.
     bounds = F.concat(F.array(F.lit(-1)), F.col("places"), F.array(F.col("n_lines").cast("int")))
+    none = F.array().cast("array<string>")
     between = F.transform(
         F.array(F.struct(lines_of(F.col("text")).alias("lines"), bounds.alias("at"))),
-        lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["at"]) - 1), lambda i: F.slice(s["lines"], s["at"][i - 1] + 2, s["at"][i] - s["at"][i - 1] - 1))),
-    )[0]
+        lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s["at"]) - 1), lambda i: F.when(
+            s["at"][i] - s["at"][i - 1] > 1, F.transform(F.sequence(s["at"][i - 1] + 1, s["at"][i] - 1), lambda j: s["lines"][j])).otherwise(none))),
+    )[0]
     kept = F.when(F.col("places").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(between, "\n"))
     return joined.select("doc_id", kept.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -32,7 +32,11 @@ def words_of(text: Column) -> Column:
 
 def features_of(words: Column, width: int) -> Column:
     """All runs of 1 to ``width`` words."""
-    runs = [F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(2, width + 1)]
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *[words[i + k] for k in range(n)]))
+
+    runs = [runs_of(n) for n in range(2, width + 1)]
     none = F.array().cast("array<string>")
     return F.concat(words, *[F.when(F.size(words) >= n, r).otherwise(none) for n, r in enumerate(runs, 2)]) if runs else words
 
