@@ -425,3 +425,33 @@ def prompt(text: Column, scores: Column, language: Column) -> Column:
     """The question put to a reviewing model: first 20 scores, first 3000 characters, language."""
     shown = F.array_join(F.transform(F.slice(scores, 1, 20), lambda x: F.format_string("%.3f", x.cast("double"))), ", ")
     return F.concat(F.lit("Language: "), language, F.lit("\nScores: ["), shown, F.lit("]\nText:\n"), F.substring(text, 1, 3000))
+
+
+def words(c: Column) -> Column:
+    """White-space words, as str.split has them."""
+    return F.filter(F.split(c, f"[{BLANKS}]+", -1), lambda w: w != "")
+
+
+#: Code points there are without surrogates, those before the first printable one, and the first surrogate with their number.
+CODES, FIRST_CODE, SURROGATES, SURROGATE_COUNT = 0x10FFFF + 1 - 0x800, 0x20, 0xD800, 0x800
+
+
+def word_edits(a: Column, b: Column) -> Column:
+    """Edit distance in words: each different word of the two texts becomes one code point, and the strings of these are compared.
+
+    An error for two texts of more than 1.1 million different words, as there are no more code points.
+    """
+
+    def coded(side: Column, known: Column) -> Column:
+        place = F.transform(side, lambda w: F.array_position(known, w).cast("int") + FIRST_CODE)
+        points = F.transform(place, lambda n: F.lpad(F.hex(n + F.when(n >= SURROGATES, SURROGATE_COUNT).otherwise(0)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
+
+    def distance(both: Column) -> Column:
+        fits = F.size(both["known"]) < CODES - FIRST_CODE
+        # A text without words is an empty string; the decoder is not asked for it.
+        sides = [F.when(F.size(both[s]) > 0, coded(both[s], both["known"])).otherwise("") for s in "ab"]
+        return F.when(fits, F.levenshtein(*sides)).otherwise(F.raise_error(F.lit("more different words than code points")).cast("int"))
+
+    sides = let(F.struct(words(a).alias("a"), words(b).alias("b")), lambda s: let(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.concat(s["a"], s["b"])).alias("known")), distance))
+    return F.when(a.isNotNull() & b.isNotNull(), sides)

@@ -36,18 +36,6 @@ def _chunk_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _chunks(t, 5000), na_action="ignore")
 
 
-def _word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    def distance(x: list[str], y: list[str]) -> int:
-        row = list(range(len(y) + 1))
-        for i, u in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, v in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
-        return row[-1]
-
-    return pd.Series([None if p is None or q is None else distance(p.split(), q.split()) for p, q in zip(a, b, strict=True)], dtype="Int32")
-
-
 def nfc(c: Column | str) -> Column:
     """Unicode normal form C."""
     return F.pandas_udf(_nfc, "string")(c)
@@ -61,8 +49,3 @@ def byte_tokens(c: Column | str) -> Column:
 def chunk_text(c: Column | str) -> Column:
     """Pieces of up to 5000 characters, cut after the last newline of each where there is one."""
     return F.pandas_udf(_chunk_text, "array<string>")(c)
-
-
-def word_edits(a: Column | str, b: Column | str) -> Column:
-    """Edit distance in white-space words."""
-    return F.pandas_udf(_word_edits, "int")(a, b)

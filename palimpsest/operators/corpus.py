@@ -10,15 +10,17 @@ filtered later.
 
 from __future__ import annotations
 
+import uuid
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scripts import TAMIL, ScriptProfile
 from .lines import keep_first
-from .sampling import order_key
+from .sampling import first_rows, order_key
 
 
 def _judged(lines: DataFrame, verdict: Column) -> DataFrame:
@@ -126,6 +128,38 @@ def drop_rates(cleaned: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumn("dropped", dropped).withColumn("dropped_pct", F.round(100 * dropped / F.greatest(F.col("input"), F.lit(1)), 1))
 
 
+#: What a cleaner may drop a line for, and what it may note.
+DROPS = {
+    "web": ("foreign_heavy", "web_junk", "too_short"), "verse": ("no_stanza", "section_header", "chapter_end", "editorial", "too_short"), "print": ("page_number", "header", "too_short"),
+}
+NOTES = {
+    "web": ("html_tags", "bracket_english", "list_marker"), "verse": ("html_decoded", "html_tags", "stanzas_split", "leading_number", "trailing_number"), "print": ("footnote",),
+}
+
+
+def observed(cleaned: DataFrame, kind: str) -> tuple[DataFrame, Observation]:
+    """``cleaned`` and an observation of it: whatever pass reads the lines first counts them too, see :func:`counters`."""
+    seen = Observation(f"clean-{kind}-{uuid.uuid4().hex}")
+    first = F.col("part") == 0 if "part" in cleaned.columns else F.lit(True)
+    counts = {"input": first, "output": F.col("reason").isNull()}
+    counts |= {f"drop:{r}": F.col("reason") == r for r in DROPS[kind]}
+    sums = [F.count_if(c).alias(n) for n, c in counts.items()]
+    held = lambda note: F.size(F.filter("notes", lambda n: n == note))  # noqa: E731  a line may hold a note more than once
+    sums += [F.coalesce(F.sum(held(note)), F.lit(0)).alias(f"note:{note}") for note in NOTES[kind]]
+    return cleaned.observe(seen, *sums), seen
+
+
+def counters(seen: Observation) -> dict[str, int]:
+    """What was counted, as :func:`clean_report` gives it: counters of nothing are left out. Waits until the observed pass is over."""
+    return {name: n for name, n in seen.get.items() if n}
+
+
+def rates(counted: dict[str, int]) -> dict[str, float]:
+    """Lines in, out, dropped, and the share dropped in percent, as :func:`drop_rates` gives them."""
+    came, went = counted.get("input", 0), counted.get("output", 0)
+    return {"input": came, "output": went, "dropped": came - went, "dropped_pct": float((Decimal(100 * (came - went)) / max(came, 1)).quantize(Decimal("0.1"), ROUND_HALF_UP))}
+
+
 def combine(sources: list[tuple[str, DataFrame]], *order: str) -> DataFrame:
     """The cleaned lines of all sources, each once (its first place stays), in seeded order: source, order, line, shuffle_key."""
     parts = [
@@ -155,7 +189,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", profile: ScriptProfile = TAM
     found = F.transform(T.split_sentences(F.col("text")), lambda x, i: F.struct(i.alias("sentence_no"), T.clean_sentence(x, profile).alias("sentence")))
     valid = F.filter(found, lambda s: T.is_valid_sentence(s["sentence"], profile))
     out = docs.select(key, F.inline(valid))
-    return out if most is None else out.orderBy(key, "sentence_no").limit(most)
+    return out if most is None else first_rows(out, most, key, "sentence_no")
 
 
 def page_text(extract: Column, wikitext: Column, profile: ScriptProfile = TAMIL) -> Column:
@@ -170,7 +204,7 @@ def crawl_lines(pages: DataFrame, key: str, text: str, profile: ScriptProfile =
     cleaned = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), T.clean_crawled_line(x).alias("line")))
     lines = kept.select(key, F.inline(F.filter(cleaned, lambda s: T.count_script(s["line"], profile) >= 10)))
     first = keep_first(lines, "line", key, "line_no")
-    return first if most is None else first.orderBy(key, "line_no").limit(most)
+    return first if most is None else first_rows(first, most, key, "line_no")
 
 
 def append_distinct(existing: DataFrame, new: DataFrame, value: str, order: str) -> DataFrame:

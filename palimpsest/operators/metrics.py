@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import nfc, word_edits
+from ..functions.udfs import nfc
 
 
 def char_error_rate(predicted: Column, reference: Column) -> Column:
@@ -14,8 +14,8 @@ def char_error_rate(predicted: Column, reference: Column) -> Column:
 
 
 def word_error_rate(predicted: Column, reference: Column) -> Column:
-    words = F.size(F.filter(F.split(reference, r"\s+", -1), lambda w: w != ""))
-    return F.when(words > 0, word_edits(predicted, reference) / words)
+    n = F.size(T.words(reference))
+    return F.when(n > 0, T.word_edits(predicted, reference) / n)
 
 
 def score(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,17 +74,20 @@ def _read(engine: Callable[[pd.DataFrame], pd.DataFrame], pages: pd.DataFrame) -
         yield from parts
 
 
-def recognise(pages: DataFrame, name: str) -> DataFrame:
-    """The lines of all pages, read in batches of the engine's size; a page that fails is one row with ``error`` and no text."""
-    return read_pages(pages, name).where("line_no is not null")
+def recognise(pages: DataFrame, name: str, profile: ResourceProfile | None = None) -> DataFrame:
+    """The lines of all pages, read in batches of the engine's size; a page that fails is one row with ``error`` and no text.
+
+    profile: what the engine's stage asks of its executors, see :func:`.processes.residency`.
+    """
+    return read_pages(pages, name, profile).where("line_no is not null")
 
 
-def recognised_once(pages: DataFrame, name: str, store: str) -> DataFrame:
+def recognised_once(pages: DataFrame, name: str, store: str, profile: ResourceProfile | None = None) -> DataFrame:
     """The same lines, and for a page without any a row without ``line_no``; a page that the engine has read into ``store`` before is not read again."""
-    return stores.keyed(f"{store.rstrip('/')}/{name}", pages, ["doc", "page"], lambda todo: read_pages(todo, name))
+    return stores.keyed(f"{store.rstrip('/')}/{name}", pages, ["doc", "page"], lambda todo: read_pages(todo, name, profile))
 
 
-def read_pages(pages: DataFrame, name: str) -> DataFrame:
+def read_pages(pages: DataFrame, name: str, profile: ResourceProfile | None = None) -> DataFrame:
     load, size = create(name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,24 +100,29 @@ def read_pages(pages: DataFrame, name: str) -> DataFrame:
         if left is not None and len(left):
             yield from _read(engine, left)
 
-    return pages.mapInPandas(run, LINES)
+    return pages.mapInPandas(run, LINES, profile=profile)
 
 
-def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.90) -> DataFrame:
-    """Only lines that need it go through the model; the plan is split before it, for no filter passes a Python function."""
+def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.90, profile: ResourceProfile | None = None) -> DataFrame:
+    """Only lines that need it go through the model; the plan is split before it, for no filter passes a Python function.
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        def one(t):
+    profile: what the model's stage asks of its executors, see :func:`.processes.residency`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(t: str | None) -> str | None:
             try:
-                return model(t) if t.strip() else ""
+                return t if t is None else model(t) if t.strip() else ""
             except Exception:
                 return t  # a model's failure leaves the line as it was
 
-        return texts.map(one, na_action="ignore")
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array([one(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
     need = F.coalesce(needs_correction(F.col("confidence"), F.col("text"), threshold), F.lit(False))
-    fixed = lines.where(need).withColumn("text", T.strip_model_tags(apply("text"))).withColumn("is_corrected", F.lit(True))
+    fixed = lines.where(need).mapInArrow(run, lines.schema, profile=profile)
+    fixed = fixed.withColumn("text", T.strip_model_tags(F.col("text"))).withColumn("is_corrected", F.lit(True))
     return fixed.unionByName(lines.where(~need).withColumn("is_corrected", F.lit(False)))
 
 
@@ -134,9 +144,9 @@ def correct_pages(pages: DataFrame, model: Callable[[str], str], least: int = 3)
     return pages.withColumn("text", apply("text"))
 
 
-def corrected_once(lines: DataFrame, model: Callable[[str], str], store: str, threshold: float = 0.90) -> DataFrame:
+def corrected_once(lines: DataFrame, model: Callable[[str], str], store: str, threshold: float = 0.90, profile: ResourceProfile | None = None) -> DataFrame:
     """:func:`correct`, each page's lines once for a ``store``: another model wants another store."""
-    return stores.keyed(f"{store.rstrip('/')}/corrected", lines, ["doc", "page"], lambda todo: correct(todo, model, threshold))
+    return stores.keyed(f"{store.rstrip('/')}/corrected", lines, ["doc", "page"], lambda todo: correct(todo, model, threshold, profile))
 
 
 def corrected_pages(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stores
+
 
 def draw(seed: int | Column, *key: Column | str) -> Column:
     """A number from 0 up to 1 for each key."""
@@ -20,13 +22,41 @@ def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return df.withColumn("shuffle_key", order_key(seed, *key)).orderBy("shuffle_key", *key)
 
 
+#: Rows that an ordered limit may bring to one task; more are taken by their ranks.
+TOP = 10_000
+
+
 def take(df: DataFrame, n: int, seed: int, *key: str, strict: bool = False) -> DataFrame:
     """n rows without replacement; if there are fewer, all, or with ``strict`` an error before anything runs."""
     if strict and (have := df.count()) < n:
         raise ValueError(f"{n} rows are wanted, there are {have}")
+    if n > TOP:
+        return ranked(df, seed, *key).where(F.col("rank") <= n).withColumn("shuffle_key", order_key(seed, *key)).drop("rank")
     return df.withColumn("shuffle_key", order_key(seed, *key)).orderBy("shuffle_key", *key).limit(n)
 
 
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by ``order``, which must tell rows apart: an ordered limit for few, for many a range partitioning.
+
+    The many are written, range partitioned and sorted, with their places inside their partition; the sizes of the partitions (a row each)
+    say how many come before it.
+    """
+    if n <= TOP:
+        return df.orderBy(*order).limit(n)
+    within = F.col("place_").bitwiseAND((1 << 33) - 1)
+    dealt = stores.written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id()), "ordered")
+    sizes = sorted(dealt.groupBy(F.shiftright("place_", 33).alias("part")).count().collect())
+    before, keep = 0, []
+    for part, size in sizes:
+        if before < n:
+            keep.append((part, min(size, n - before)))
+        before += size
+    if not keep:
+        return dealt.limit(0).drop("place_")
+    wanted = F.broadcast(df.sparkSession.createDataFrame(keep, "part_ long, most_ long"))  # as many rows as partitions
+    return dealt.withColumn("part_", F.shiftright("place_", 33)).join(wanted, "part_").where(within < F.col("most_")).drop("place_", "part_", "most_")
+
+
 def with_replacement(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows drawn with replacement, each draw a row with its number ``copy``: draw k takes the row whose rank it hashes to."""
     rows = ranked(df, seed, *key)
@@ -49,15 +79,19 @@ def remaining(df: DataFrame, chosen: DataFrame, *key: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, seed: int, *key: str) -> DataFrame:
-    """``rank``: the place of each row in the seeded order, without gathering the rows in one task.
+    """``rank``: the place of each row in the seeded order, without gathering the rows, or a number of buckets that grows with them, in one task.
 
-    Rows are ranked within the 4096 buckets of the leading hex digits, and the buckets' sizes, summed up, are added.
+    Rows are ranked within the 16.7 million buckets of the six leading hex digits of their shuffle key; before a bucket come the buckets
+    of the same three digits, added up within them, and the 4096 groups of three digits before. Rows are dealt by bucket once, for ranking and joining.
     """
-    keyed = df.withColumn("shuffle_key", order_key(seed, *key)).withColumn("bucket", F.substring("shuffle_key", 1, 3))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))  # 4096 rows at most
+    keyed = df.withColumn("shuffle_key", order_key(seed, *key)).withColumn("bucket", F.substring("shuffle_key", 1, 6))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("group", F.substring("bucket", 1, 3))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("rows"))
+    before = groups.select("group", (F.sum("rows").over(Window.orderBy("group")) - F.col("rows")).alias("before"))  # 4096 rows at most
+    inside = F.sum("n").over(Window.partitionBy("group").orderBy("bucket")) - F.col("n")
+    starts = sizes.withColumn("inside", inside).join(F.broadcast(before), "group").select("bucket", (F.col("before") + F.col("inside")).alias("start"))
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("shuffle_key", *key))
-    return keyed.withColumn("within", within).join(F.broadcast(starts), "bucket").withColumn("rank", (F.col("start") + F.col("within")).cast("long")).drop("bucket", "within", "start", "shuffle_key")
+    return keyed.withColumn("within", within).join(starts, "bucket").withColumn("rank", (F.col("start") + F.col("within")).cast("long")).drop("bucket", "within", "start", "shuffle_key")
 
 
 def train_val_split(df: DataFrame, ratio: float, seed: int, *key: str) -> DataFrame:

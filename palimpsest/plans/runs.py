@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from ..functions.scripts import TAMIL, ScriptProfile
-from ..operators import corpus, formatting, layout, lines, metrics, noise, pairs, recognition, sampling, shaping
+from ..operators import corpus, formatting, layout, lines, metrics, noise, pairs, processes, recognition, sampling, shaping
 from ..sources import listings, readers, stores, writers
 
 Model = Callable[[str], str]
@@ -47,7 +47,8 @@ def page_results(recognised: DataFrame, blocks: DataFrame, profile: ScriptProfil
 
 def read_once(pages: DataFrame, engine: str, store: str | None = None) -> DataFrame:
     """The lines of ``pages``, in a store, so that whatever reads them twice calls the engine once a page; the same store, given again, calls it for new pages only."""
-    return recognition.recognised_once(pages, engine, store or stores.new_folder(pages.sparkSession, "recognised"))
+    spark = pages.sparkSession
+    return recognition.recognised_once(pages, engine, store or stores.new_folder(spark, "recognised"), processes.residency(spark))
 
 
 def batch_run(
@@ -56,7 +57,7 @@ def batch_run(
     """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages; models are called once a page, see :func:`read_once`."""
     store = store or stores.new_folder(pages.sparkSession, "recognised")
     found = read_once(pages, engine, store).where("error is null and line_no is not null")
-    found = recognition.corrected_once(found, corrector, f"{store}/{engine}-lines") if corrector else found.withColumn("is_corrected", F.lit(False))
+    found = recognition.corrected_once(found, corrector, f"{store}/{engine}-lines", profile=processes.residency(pages.sparkSession)) if corrector else found.withColumn("is_corrected", F.lit(False))
     results = page_results(found, blocks, profile, columns).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
     return results, formatting.format_document(results.select("doc", "page", "text"))
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from palimpsest import catalog
+from palimpsest.plans.text_queries import FIXED_QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,10 +28,11 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted([*catalog.ORACLE_SQL, *FIXED_QUERIES]))
 def test_equals_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
-    cursor = duck.execute(catalog.ORACLE_SQL[name])
+    run, oracle = FIXED_QUERIES[name] if name in FIXED_QUERIES else (catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+    got = run(spark, SF)
+    cursor = duck.execute(oracle)
     names = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(names)
     want = sorted(tuple(plain(row[names.index(c)]) for c in sorted(names)) for row in cursor.fetchall())
