@@ -195,6 +195,32 @@ def reconstruct(lines: DataFrame, blocks: DataFrame, columns: int = 1) -> DataFr
     return ordered.groupBy(*page).agg(T.strip(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n")).alias("text"))
 
 
+def page_accessors(blocks: DataFrame, columns: int = 1) -> DataFrame:
+    """(doc, page, text_blocks, body_text, layout) of blocks (doc, page, block, label, box, confidence, width, height, text, fallback).
+
+    text_blocks: the blocks that carry text, in reading order. body_text: their texts, blank ones left out, with a blank line between them and another
+    around a heading. layout: the whole page as JSON, all blocks by number, boxes rounded to pixels.
+    """
+    page, text = ["doc", "page"], T.strip(F.coalesce("text", F.lit("")))
+    heading, skipped = F.col("label").isin(HEADER_LABELS), F.col("label").isin(SKIP_LABELS)
+    ranks = reading_order(blocks.where(~skipped).select(*page, "block", "box"), F.lit(columns)).select(*page, "block", "rank")
+    said = F.when(text != "", F.when(heading, F.concat(F.lit("\n"), text, F.lit("\n"))).otherwise(text))
+    edges = F.array(*[F.bround(F.col("box")[e], 0).cast("long") for e in ("x0", "y0", "x1", "y1")])
+    told = F.struct(
+        F.col("block").alias("position"), "label", edges.alias("bbox"), F.bround("confidence", 4).alias("confidence"), heading.alias("is_header"), skipped.alias("is_skip"),
+        F.coalesce("text", F.lit("")).alias("ocr_text"),
+    )
+    placed = blocks.join(ranks, [*page, "block"], "left").select(*page, "width", "height", "fallback", "rank", "block", "label", said.alias("said"), told.alias("told"))
+    shown = F.when(F.col("rank").isNotNull(), F.struct("rank", "block", "label", "said"))
+    rows = placed.groupBy(*page).agg(
+        F.array_sort(F.collect_list(shown)).alias("shown"), F.array_sort(F.collect_list("told")).alias("blocks"), F.max("width").alias("width"), F.max("height").alias("height"),
+        F.coalesce(F.bool_or("fallback"), F.lit(False)).alias("fallback"),
+    )
+    whole = F.to_json(F.struct(F.col("page").alias("page_num"), F.array("width", "height").alias("image_size"), "fallback", "blocks"))
+    body = T.strip(F.array_join(F.array_compact(F.transform("shown", lambda b: b["said"])), "\n\n"))
+    return rows.select(*page, F.transform("shown", lambda b: F.struct(b["block"].alias("block"), b["label"].alias("label"))).alias("text_blocks"), body.alias("body_text"), whole.alias("layout"))
+
+
 def split_spreads(pages: DataFrame, ratio: float = 1.3) -> DataFrame:
     """Pages wider than ``ratio`` times their height become two halves, and pages are numbered anew: doc, page, x0, x1, height."""
     half = F.floor(F.col("width") / 2).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import stores
-from .layout import needs_correction
+from .layout import SKIP_LABELS, crop, needs_correction, wants_preprocessing
 from .sampling import ranked
 
 LINES = "doc string, page int, line_no int, text string, box struct<x0:double,y0:double,x1:double,y1:double>, confidence double, error string"
@@ -103,6 +103,55 @@ def read_pages(pages: DataFrame, name: str, profile: ResourceProfile | None = No
     return pages.mapInPandas(run, LINES, profile=profile)
 
 
+def _contents(frame: DataFrame, change: Callable[[dict], bytes | None]) -> DataFrame:
+    """``frame`` with its ``content`` changed by a function of the row; what it fails on stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(row: dict) -> bytes | None:
+            try:
+                return change(row)
+            except Exception:
+                return row["content"]  # a page that cannot be changed is read as it is
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):  # images are large
+                part = batch.slice(lo, 64)
+                at = part.schema.get_field_index("content")
+                yield part.set_column(at, part.schema.field(at), pa.array([one(r) for r in part.to_pylist()], part.schema.field(at).type))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def prepared(pages: DataFrame, routes: DataFrame, chain: Callable[[bytes], bytes]) -> DataFrame:
+    """``pages`` (doc, page, content) in which those of documents that are historical scans, by ``routes`` (doc, doc_type), went through ``chain``; a page it fails on stays."""
+    typed = pages.join(routes.select("doc", "doc_type"), "doc", "left")
+    want = wants_preprocessing(F.col("doc_type"))
+    plain = typed.where(~want).select(*pages.columns)
+    return _contents(typed.where(want).select(*pages.columns), lambda row: chain(row["content"])).unionByName(plain)
+
+
+def read_blocks(pages: DataFrame, blocks: DataFrame, cut: Callable[[bytes, tuple[int, int, int, int]], bytes], name: str, profile: ResourceProfile | None = None) -> DataFrame:
+    """The lines of each block's part of its page, which ``cut`` takes out of the image; boxes and numbers are the page's.
+
+    Blocks that carry no text are not read; a page without blocks is read whole. Lines are numbered within their block, a million numbers a block.
+    """
+    shown = blocks.where(~F.col("label").isin(SKIP_LABELS)).select("doc", "page", "block", crop(F.col("box"), F.col("width"), F.col("height")).alias("part"))
+    skipped = blocks.select("doc", "page").distinct().withColumn("known", F.lit(True))
+    parts = pages.join(shown, ["doc", "page"], "left").join(skipped, ["doc", "page"], "left").where("part is not null or known is null")
+    cuts = _contents(
+        parts.select("doc", "page", "block", "part", "content"),
+        lambda row: cut(row["content"], tuple(int(row["part"][e]) for e in ("x0", "y0", "x1", "y1"))) if row["part"] else row["content"],
+    )
+    named = cuts.select(F.to_json(F.struct("doc", "page", "block", "part")).alias("doc"), F.lit(1).alias("page"), "content")
+    found = read_pages(named, name, profile)
+    of = F.from_json("doc", parts.select("doc", "page", "block", "part").schema)
+    found = found.select(of.alias("of"), "line_no", "text", "box", "confidence", "error")
+    moved = lambda axis, edge: F.col("box")[edge] + F.coalesce(F.col("of.part")[axis], F.lit(0)).cast("double")
+    box = F.when(F.col("box").isNotNull(), F.struct(moved("x0", "x0").alias("x0"), moved("y0", "y0").alias("y0"), moved("x0", "x1").alias("x1"), moved("y0", "y1").alias("y1")))
+    number = (F.coalesce("of.block", F.lit(0)) * 1_000_000 + F.col("line_no")).cast("int")
+    return found.select("of.doc", F.col("of.page").cast("int").alias("page"), number.alias("line_no"), "text", box.alias("box"), "confidence", "error")
+
+
 def correct(lines: DataFrame, model: Callable[[str], str], threshold: float = 0.90, profile: ResourceProfile | None = None) -> DataFrame:
     """Only lines that need it go through the model; the plan is split before it, for no filter passes a Python function.
 

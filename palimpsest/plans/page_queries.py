@@ -284,6 +284,17 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(blocks(spark, sf_dir)).select("doc", "page", "block", "rank")
 
 
+def read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks with page sizes and texts, every seventh blank."""
+    text = F.when(c("block") % 7 == 3, " ").otherwise(F.concat(F.lit(" block "), c("block").cast("string"), F.lit("\n")))
+    return blocks(spark, sf_dir).withColumns({"width": F.lit(600), "height": F.lit(800), "text": text, "fallback": F.lit(False)})
+
+
+@query()
+def page_accessors(spark, sf_dir):
+    return layout.page_accessors(read_blocks(spark, sf_dir))
+
+
 @query()
 def reconstruct_page(spark, sf_dir):
     return layout.reconstruct(ocr_lines(spark, sf_dir), blocks(spark, sf_dir))

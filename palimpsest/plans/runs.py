@@ -52,12 +52,24 @@ def read_once(pages: DataFrame, engine: str, store: str | None = None) -> DataFr
 
 
 def batch_run(
-    pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL, columns: int = 1, store: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages; models are called once a page, see :func:`read_once`."""
-    store = store or stores.new_folder(pages.sparkSession, "recognised")
-    found = read_once(pages, engine, store).where("error is null and line_no is not null")
-    found = recognition.corrected_once(found, corrector, f"{store}/{engine}-lines", profile=processes.residency(pages.sparkSession)) if corrector else found.withColumn("is_corrected", F.lit(False))
+    pages: DataFrame, engine: str, blocks: DataFrame, corrector: Model | None = None, profile: ScriptProfile = TAMIL, columns: int = 1, store: str | None = None,
+    routes: DataFrame | None = None, preprocess: Callable[[bytes], bytes] | None = None, cut: Callable[[bytes, tuple[int, int, int, int]], bytes] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Page results, with ``engine`` and ``lm_corrected``, and formatted documents of (doc, page, content) pages; models are called once a page, see :func:`read_once`.
+
+    With ``routes`` (doc, doc_type), pages of historical scans go through ``preprocess`` first; with ``cut`` the engine reads each block's part of the image by itself.
+    """
+    spark = pages.sparkSession
+    store = store or stores.new_folder(spark, "recognised")
+    if routes is not None and preprocess is not None:
+        pages = recognition.prepared(pages, routes, preprocess)
+    if cut is None:
+        read = read_once(pages, engine, store)
+    else:
+        usable = layout.usable_blocks(blocks)
+        read = stores.keyed(f"{store}/{engine}-blocks", pages, ["doc", "page"], lambda todo: recognition.read_blocks(todo, usable, cut, engine, processes.residency(spark)))
+    found = read.where("error is null and line_no is not null")
+    found = recognition.corrected_once(found, corrector, f"{store}/{engine}-lines", profile=processes.residency(spark)) if corrector else found.withColumn("is_corrected", F.lit(False))
     results = page_results(found, blocks, profile, columns).join(recognition.corrected_pages(found), ["doc", "page"]).withColumn("engine", F.lit(engine))
     return results, formatting.format_document(results.select("doc", "page", "text"))
 

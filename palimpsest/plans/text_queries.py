@@ -347,6 +347,21 @@ def byte_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", udfs.byte_tokens("text").alias("input_ids"))
 
 
+_EACH_LINE = "SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
+
+
+@query(f"SELECT doc_id, line_no, {S.rep('line', T.BRACKETED_ENGLISH)} AS line FROM ({_EACH_LINE})")
+def bracketed_english(spark, sf_dir):
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return split.select("doc_id", "line_no", T.strip_bracketed_english(c("line")).alias("line"))
+
+
+@query(f"SELECT doc_id, line_no, {S.strip(S.rep(S.rep('line', T.LEADING_STANZA), T.TRAILING_STANZA))} AS line FROM ({_EACH_LINE})")
+def stanza_numbers(spark, sf_dir):
+    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return split.select("doc_id", "line_no", T.strip_stanza_numbers(c("line")).alias("line"))
+
+
 def _by_sql(spark, sf_dir, statement: str) -> DataFrame:
     """A statement over ``documents`` in which the table functions are known."""
     tables.register(spark)

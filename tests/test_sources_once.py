@@ -263,3 +263,51 @@ def test_stores_are_whole_or_not_there(spark, tmp_path):
     (tmp_path / "t" / "step=1" / "_SUCCESS").unlink()
     assert stores.numbered(spark, path) == [0] and stores.read_steps(spark, path, [0]).count() == 2
     assert stores.once(f"{path}/x", lambda: rows, spark).count() == stores.once(f"{path}/x", lambda: rows.limit(0), spark).count() == 2
+
+
+def test_pages_are_prepared_by_route(spark, tmp_path):
+    pages = spark.createDataFrame([("scan", 1, b"a"), ("scan", 2, b"bad"), ("print", 1, b"c"), ("unknown", 1, b"d")], "doc string, page int, content binary")
+    routes = spark.createDataFrame([("scan", "historical_scan"), ("print", "modern_print")], "doc string, doc_type string")
+    tell = teller(tmp_path / "chain")
+
+    def chain(content):
+        tell(bytes(content).decode())
+        if bytes(content) == b"bad":
+            raise ValueError("no image")
+        return bytes(content).upper()
+
+    got = {(r.doc, r.page): bytes(r.content) for r in recognition.prepared(pages, routes, chain).collect()}
+    assert got == {("scan", 1): b"A", ("scan", 2): b"bad", ("print", 1): b"c", ("unknown", 1): b"d"} and sorted(said(tmp_path / "chain")) == ["a", "bad"]
+
+    def load():
+        return lambda page: pd.DataFrame([{"doc": page.doc.iloc[0], "page": page.page.iloc[0], "line_no": 0, "text": bytes(page.content.iloc[0]).decode() * 9, "box": {"x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 9.0}, "confidence": 0.99}])
+
+    recognition.register("content", load)
+    blocks = spark.createDataFrame([(d, p, 0, "Text", (0.0, 0.0, 100.0, 70.0), 0.9, 100, 100) for d, p in got], f"doc string, page int, block int, label string, box {BOX}, confidence double, width int, height int")
+    results, _ = runs.batch_run(pages, "content", blocks, profile=LATIN, routes=routes, preprocess=chain)
+    assert {r.doc: r.text for r in results.where("page = 1").collect()} == {"scan": "A" * 9, "print": "c" * 9, "unknown": "d" * 9}
+
+
+def test_blocks_are_cut_and_read(spark, tmp_path):
+    tell = teller(tmp_path / "calls")
+
+    def load():
+        def engine(pages):
+            tell(len(pages))
+            return pd.DataFrame([{"doc": d, "page": p, "line_no": 0, "text": bytes(c).decode(), "box": {"x0": 1.0, "y0": 2.0, "x1": 30.0, "y1": 12.0}, "confidence": 0.99} for d, p, c in zip(pages["doc"], pages["page"], pages["content"], strict=True)])
+
+        return engine
+
+    recognition.register("crops", load, pages_per_call=8)
+    pages = spark.createDataFrame([("d", 1, b"whole"), ("d", 2, b"alone"), ("d", 3, b"picture")], "doc string, page int, content binary").coalesce(1)
+    rows = [("d", 1, 0, "Text", (10.0, 20.0, 100.0, 60.0), 0.9, 200, 200), ("d", 1, 1, "SectionHeader", (10.0, 70.0, 198.0, 90.0), 0.9, 200, 200), ("d", 1, 2, "Picture", (0.0, 100.0, 9.0, 110.0), 0.9, 200, 200), ("d", 3, 0, "Picture", (0.0, 0.0, 9.0, 9.0), 0.9, 200, 200)]
+    blocks = spark.createDataFrame(rows, f"doc string, page int, block int, label string, box {BOX}, confidence double, width int, height int")
+    cut = lambda content, part: f"{bytes(content).decode()}{part}".encode()
+    got = {(r.page, r.line_no): (r.text, r.box) for r in recognition.read_blocks(pages, blocks, cut, "crops").collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 0): "whole(6, 16, 104, 64)", (1, 1_000_000): "whole(6, 66, 200, 94)", (2, 0): "alone"}
+    assert tuple(got[1, 0][1]) == (7.0, 18.0, 36.0, 28.0) and tuple(got[2, 0][1]) == (1.0, 2.0, 30.0, 12.0) and said(tmp_path / "calls") == ["3"]
+    store = str(tmp_path / "store")
+    for _ in range(2):
+        results, _ = runs.batch_run(pages.where("page = 1"), "crops", blocks.where("page = 1"), profile=LATIN, store=store, cut=cut)
+        assert [x for x in results.first().text.split("\n") if x] == ["whole(6, 16, 104, 64)", "whole(6, 66, 200, 94)"]
+    assert len(said(tmp_path / "calls")) == 2  # the second run calls nothing
