@@ -14,7 +14,8 @@ confirm those too; so no link between groups is lost to the choice of leaders.
 
 Defined cases: documents without text or words have empty sets, are linked with nothing and are kept. Rows
 without a doc_id have no component and are kept. Rows that share a doc_id are one document that has the links of
-all its rows. Equal sets are linked without a check. An empty table gives an empty result; further columns are ignored.
+all its rows. Equal sets are linked without a check. Very long texts are taken whole, a slice of their own; a similarity of exactly 0.75 links, and
+of documents that tie for a bucket's leader or a component's name the smallest doc_id is taken. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -239,6 +240,8 @@ def _set(text: str) -> np.ndarray:
 
 #: Documents, and shingles of their sets, in a block: what is compared at once when a bucket lies in several components.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Tasks over which the places of one bucket are dealt when its list of asking blocks is joined to them.
+SPREAD = 16
 CELL = ["main", "i", "j"]
 
 
@@ -330,8 +333,9 @@ def _cells(members: DataFrame) -> DataFrame:
     )
     # A document that asks is asked by the blocks up to its own.
     owned = places.join(asking.select("main", "doc_id", "own"), ["main", "doc_id"], "left")
-    asked_by = owned.where("own is not null").groupBy("key").agg(F.collect_set("own").alias("blocks"))
-    once = owned.join(asked_by, "key").groupBy("main", "doc_id", "component", "n_shingles", "own").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    # A bucket that a third of all documents share is dealt over SPREAD tasks, each with the bucket's list of blocks.
+    asked_by = owned.where("own is not null").groupBy("key").agg(F.collect_set("own").alias("blocks")).withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    once = owned.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")).join(asked_by, ["key", "spread"]).groupBy("main", "doc_id", "component", "n_shingles", "own").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
     asked = once.select("main", F.explode("blocks").alias("i"), "doc_id", "component", "n_shingles", "own").where("own is null or own >= i")
     parts = asked.groupBy("main", "i").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).select("main", "i", _blocks("n", "shingles").alias("parts"))
     asked = asked.join(parts, ["main", "i"]).select("main", "i", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("j"), "doc_id", F.coalesce("own", F.lit(-1)).alias("own"), F.lit(False).alias("asks"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import column_bytes
@@ -117,7 +117,7 @@ def units(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """(cls, rep, weight, vector binary): one row per distinct vector."""
+    """(h, g, rep, weight, vector binary): one row per distinct vector."""
 
     def run(batches):
         for batch in batches:
@@ -125,9 +125,14 @@ def _packed(df: DataFrame) -> DataFrame:
             flat, offs = column.flatten().to_numpy(), np.asarray(column.offsets)
             offs = offs - offs[0]
             packed = [flat[s:e].tobytes() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "rep", "weight")), pa.array(packed, pa.binary())], ["cls", "rep", "weight", "vector"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "g", "rep", "weight")), pa.array(packed, pa.binary())], ["h", "g", "rep", "weight", "vector"])
 
-    return df.mapInArrow(run, "cls long, rep long, weight long, vector binary")
+    return df.mapInArrow(run, "h long, g long, rep long, weight long, vector binary")
+
+
+def hashes(v: Column) -> tuple[Column, Column]:
+    """Two hashes of different seeds; vectors are equal where both are."""
+    return F.xxhash64(v), F.xxhash64(F.lit(1), v)
 
 
 CELL = "list int, i int, q int, query boolean, cls long, weight long, home int, probes binary, code binary, error float, vector binary"
@@ -246,11 +251,13 @@ def link(vectors: DataFrame) -> DataFrame:
     size = F.size("v")
     lengths = rows.where(sound).groupBy(size.alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = lengths[0]["dim"] if lengths else 0
-    rows = rows.withColumn("sound", sound & (size == dim)).withColumn("cls", F.when(F.col("sound"), F.xxhash64("v")))
-    distinct = rows.where("sound").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
-    classes = materialize(_packed(distinct), "classes")
+    rows = rows.withColumn("sound", sound & (size == dim))
+    h, g = hashes(F.col("v"))
+    whole = rows.where("sound").withColumns({"h": h, "g": g})
+    distinct = whole.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
+    classes = materialize(_packed(distinct).withColumn("cls", F.monotonically_increasing_id()), "classes")
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("vector").collect()
+    sample = classes.orderBy("h", "g").limit(SAMPLE).select("vector").collect()
     x = np.array([np.frombuffer(r.vector, np.float64) for r in sample]).reshape(len(sample), max(dim, 1))
     x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
     quantiser = Quantiser((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) if len(x) else x.astype(np.float32), total)
@@ -273,16 +280,14 @@ def link(vectors: DataFrame) -> DataFrame:
     links = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     labels = components(found.where("b is not null").select("a", "b"))
     known = classes.join(links, "cls", "left").join(labels, F.col("cls") == F.col("node"), "left").select(
-        "cls", "rep", F.col("weight").alias("weight"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "cls").alias("component")
+        "h", "g", "rep", F.col("weight").alias("weight"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "cls").alias("component")
     )
     known = materialize(known, "classes")
     smallest = known.groupBy("component").agg(F.min("rep").alias("smallest"))
-    of_class = known.join(smallest, "component").select("cls", "smallest", (F.col("n") + F.col("weight") - 1).alias("n_links"))
-    return (
-        rows.join(of_class, "cls", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    )
+    of_class = known.join(smallest, "component").select("h", "g", "smallest", (F.col("n") + F.col("weight") - 1).alias("n_links"))
+    linked = whole.select("vec_id", "h", "g").join(of_class, ["h", "g"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
+    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))  # they meet no one, not even in a join
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
