@@ -11,7 +11,8 @@ Each stage takes what its predecessor kept and gives a table; all but the last g
 4. decontaminate: documents in which a window of ``benchmark`` occurs go.
 5. tokens: ids, their number and the digests of ids and decoded bytes of each document.
 
-Null and empty texts pass all stages as empty texts; empty tables give empty tables; further columns are kept.
+Null and empty texts pass all stages as empty texts; empty tables give empty tables; further columns are kept. Very long texts pass whole. Ties: of
+near duplicates the smallest doc_id stays, of repeated rows one; a score at the classifier's threshold is kept.
 """
 
 from __future__ import annotations

@@ -171,6 +171,18 @@ def run_document(results: DataFrame, lines_: DataFrame | None = None, models: tu
     return out | {"elapsed_ocr": read - began, "elapsed_agents": ended - read, "elapsed_total": ended - began}
 
 
+def acquire_all(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], folder: str) -> DataFrame:
+    """(source, path, rows, error): each source's table below ``folder``, made if it is not there yet; one that fails is a row with its error, the others go on."""
+    out = []
+    for name, make in sources.items():
+        path = f"{folder.rstrip('/')}/{name}"
+        try:
+            out.append((name, path, readers.once(spark, path, make).count(), None))
+        except Exception as e:  # one source's failure is its own
+            out.append((name, path, None, str(e).splitlines()[0] if str(e) else type(e).__name__))
+    return spark.createDataFrame(out, "source string, path string, rows long, error string")
+
+
 def clean_all(web: DataFrame, verse: DataFrame, printed: DataFrame, profile: ScriptProfile = TAMIL) -> tuple[DataFrame, DataFrame]:
     """The combined corpus of three line tables (doc_id, line_no, line) and its validation row."""
     cleaned = [("web", corpus.clean_web(web, profile)), ("verse", corpus.clean_verse(verse, profile)), ("print", corpus.clean_print(printed, profile))]

@@ -311,3 +311,22 @@ def test_blocks_are_cut_and_read(spark, tmp_path):
         results, _ = runs.batch_run(pages.where("page = 1"), "crops", blocks.where("page = 1"), profile=LATIN, store=store, cut=cut)
         assert [x for x in results.first().text.split("\n") if x] == ["whole(6, 16, 104, 64)", "whole(6, 66, 200, 94)"]
     assert len(said(tmp_path / "calls")) == 2  # the second run calls nothing
+
+
+def test_all_sources_are_acquired_once(spark, tmp_path):
+    made = []
+
+    def source(name, rows):
+        def make():
+            made.append(name)
+            if rows is None:
+                raise OSError("no network\nat all")
+            return spark.range(rows)
+
+        return make
+
+    sources = {"a": source("a", 3), "broken": source("broken", None), "b": source("b", 5)}
+    for _ in range(2):
+        got = {r.source: (r.rows, r.error) for r in runs.acquire_all(spark, sources, str(tmp_path)).collect()}
+        assert got == {"a": (3, None), "broken": (None, "no network"), "b": (5, None)}
+    assert made == ["a", "broken", "b", "broken"] and spark.read.parquet(str(tmp_path / "b")).count() == 5  # what failed is tried again, the rest is not
