@@ -39,6 +39,8 @@ MODEL_TAGS = r"<2[a-z]{2}>|</?s>"
 XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 #: A character reference as HTML 5 reads it, at the start of what begins with its ampersand.
 REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: One that its semicolon closes.
+CLOSED_REFERENCE = REFERENCE.replace(";?", ";")
 
 
 def replace(c: Column, pattern: str, by: str = "") -> Column:
@@ -229,18 +231,22 @@ def _named(ref: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(html5), name), cut, ref)
 
 
-def decode_entities(c: Column) -> Column:
-    """All character references of HTML 5, as html.unescape; texts without an ampersand cost a search for one."""
+def decode_entities(c: Column, closed: bool = False) -> Column:
+    """All character references of HTML 5, as html.unescape; texts without an ampersand cost a search for one.
+
+    With ``closed`` only those that end in a semicolon: once tags are stripped, what follows an open one may be another element's text.
+    """
 
     def reference(ref: Column) -> Column:
-        out = F.when(ref.startswith("&#"), _numbered(ref)).otherwise(_named(ref))
+        named = F.coalesce(F.try_element_at(_map(html5), F.substring(ref, F.lit(2), F.char_length(ref))), ref) if closed else _named(ref)
+        out = F.when(ref.startswith("&#"), _numbered(ref)).otherwise(named)
         for entity, char in [*XML_ENTITIES, ("&nbsp;", "\u00a0")]:
             out = F.when(ref == entity, F.lit(char)).otherwise(out)
         return out
 
     def part(x: Column) -> Column:
         whole = lambda ref: F.when(ref == "", x).otherwise(F.concat(reference(ref), F.substring(x, F.char_length(ref) + 1, F.char_length(x))))
-        return let(F.regexp_extract(x, REFERENCE, 0), whole)
+        return let(F.regexp_extract(x, CLOSED_REFERENCE if closed else REFERENCE, 0), whole)
 
     return let(c, lambda x: F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "(?=&)", -1), part), "")).otherwise(x))
 

@@ -158,7 +158,7 @@ def fetched_texts(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
 
 def page_sentences(pages: DataFrame, key: str, html: str, profile: ScriptProfile = TAMIL, most: int | None = None) -> DataFrame:
     """Valid sentences of web pages, tags stripped and character references decoded; with ``most`` the first so many."""
-    plain = pages.where(F.col(html).isNotNull()).select(key, T.decode_entities(T.strip_tags(F.col(html))).alias("text"))
+    plain = pages.where(F.col(html).isNotNull()).select(key, T.decode_entities(T.strip_tags(F.col(html)), closed=True).alias("text"))
     return corpus.sentences(plain, key, profile, most)
 
 

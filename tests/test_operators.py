@@ -51,6 +51,13 @@ def test_entities_are_those_of_html(spark):
     assert one(spark, T.decode_entities, None) is None
 
 
+def test_open_references_stay_where_tags_were_stripped(spark):
+    """``&amp<style>p{`` is ``&ampp{`` without its tag: that is no reference, nor is a longer name closed later."""
+    stripped = lambda c: T.decode_entities(T.strip_tags(c), closed=True)
+    assert one(spark, stripped, "a &amp<style>p{x} &amp;lt; &not<i>in</i> &ampx; &#39 &#39; &#x3C; &copy;&quot &hellip;") == "a &ampp{x} &lt; &notin &ampx; &#39 ' < ©&quot …"
+    assert one(spark, stripped, "&&amp;&;&#;&#x;&nosuch;") == "&&&;&#;&#x;&nosuch;"
+
+
 def test_merge_short_lines(spark):
     assert one(spark, lines.merge_short_lines, "a short line here\nthat goes on\n\n'speech'\nend.") == "a short line here that goes on\n\n'speech'\nend."
     assert one(spark, lines.merge_short_lines, "tiny\nword") == "tiny\nword"
