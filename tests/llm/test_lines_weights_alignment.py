@@ -113,6 +113,20 @@ def test_runs_are_merged_without_a_shuffle_or_sort_of_theirs(spark):
     assert "Exchange" not in merged
 
 
+def test_counts_of_runs_add_up(spark):
+    """Keys that no run alone counts in ten documents, in as many buckets as there are."""
+    store = linededup.LineRuns(spark, new_path(spark, "store"), fanout=3)
+    rows = [(i, "\n".join(f"line {k}" for k in range(i % 2, 4000, 2))) for i in range(20)]  # each line in ten documents
+    for k in range(4):
+        store.add(table(spark, rows[k * 5 : k * 5 + 5]), str(k))
+    assert sorted(level for level, _ in store.runs) == [0, 1]
+    for names in ([n for _, n in store.runs], *[[n] for _, n in store.runs]):
+        merged = store._merged(names)
+        assert merged.count() == merged.select("h", "g").distinct().count() == 4000
+    assert store.frequent().count() == 4000
+    assert linededup.drop_lines(table(spark, rows), store.frequent()).select(F.sum("n_dropped")).first()[0] == 40_000
+
+
 def test_lines_of_nothing(spark):
     store = linededup.LineRuns(spark, new_path(spark, "store"))
     assert store.frequent().count() == 0
