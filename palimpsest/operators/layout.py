@@ -1,13 +1,14 @@
 """Page layout: lines and blocks with boxes, reading order, page reconstruction.
 
 Boxes are struct<x0, y0, x1, y1>. Everything happens within a page, so pages are the unit of parallel work, and a page
-is small; only the greedy suppression and the recursive cut are sequential and run as Arrow-batched functions
-on arrays, row by row of the page table, without a shuffle.
+is small: its rows are gathered once, and only the recursive cut runs as an Arrow-batched function on arrays, row by row of
+the page table, without a shuffle.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,30 +66,18 @@ def assign_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     once and no line is multiplied.
     """
     page = ["doc", "page"]
-    per_page = blocks.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("block", "box"))).alias("blocks"))
-    share = lambda b: F.when(area(F.col("box")) > 0, overlap(F.col("box"), b["box"]) / area(F.col("box"))).otherwise(F.lit(0.0))
-    start = F.struct(F.lit(0.0).cast("double").alias("share"), F.lit(None).cast("int").alias("block"))
-    best = F.aggregate(
-        "blocks", start, lambda acc, b: F.when(share(b) > acc["share"], F.struct(share(b).alias("share"), b["block"].cast("int").alias("block"))).otherwise(acc)
-    )
+    per_page = by_page(blocks, "box").withColumnRenamed("rows", "blocks")
     joined = lines.where(T.strip(F.col("text")) != "").join(per_page, page, "left")
-    return joined.select(
-        *page, "line_no", F.when(F.col("box").isNull(), F.get("blocks", 0)["block"].cast("int")).when(best["share"] > MIN_OVERLAP, best["block"]).alias("block")
-    )
-
+    return joined.select(*page, "line_no", block_of(F.col("blocks"), F.col("box")).alias("block"))
 
-def _greedy(blocks: list[dict], threshold: float) -> list[int]:
-    def both(a, b):
-        w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-        shared = max(0.0, w) * max(0.0, h)
-        size = sum(max(0.0, c["x1"] - c["x0"]) * max(0.0, c["y1"] - c["y0"]) for c in (a, b)) - shared
-        return shared / size if size > 0 else 0.0
 
-    kept: list[dict] = []
-    for block in sorted(blocks, key=lambda b: -b["confidence"]):
-        if all(both(block["box"], k["box"]) <= threshold for k in kept):
-            kept.append(block)
-    return sorted(b["block"] for b in kept)
+def block_of(blocks: Column, box: Column) -> Column:
+    """The number of the block of a page's (sorted by number) to which a line of that box belongs."""
+    share = lambda b: F.when(area(box) > 0, overlap(box, b["box"]) / area(box)).otherwise(F.lit(0.0))
+    start = F.struct(F.lit(0.0).cast("double").alias("share"), F.lit(None).cast("int").alias("block"))
+    better = lambda acc, b: T.let(share(b), lambda s: F.when(s > acc["share"], F.struct(s.alias("share"), b["block"].cast("int").alias("block"))).otherwise(acc))
+    best = lambda acc: F.when(acc["share"] > MIN_OVERLAP, acc["block"])
+    return F.when(box.isNull(), F.get(blocks, F.lit(0))["block"].cast("int")).otherwise(F.aggregate(blocks, start, better, best))
 
 
 def same_block(columns: int) -> float:
@@ -96,16 +85,20 @@ def same_block(columns: int) -> float:
     return SAME_BLOCK_COLUMNS if columns > 1 else SAME_BLOCK
 
 
-def suppress_duplicates(blocks: DataFrame, threshold: float = SAME_BLOCK) -> DataFrame:
-    """The blocks that greedy suppression keeps: by falling confidence, none that overlaps a kept one too much."""
+def by_page(blocks: DataFrame, *others: str) -> DataFrame:
+    """(doc, page, rows): a page's blocks with all their columns (or block and ``others``), sorted by number."""
+    columns = others or [c for c in blocks.columns if c not in ("doc", "page", "block")]
+    return blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("block", *columns))).alias("rows"))
 
-    @F.pandas_udf("array<int>")
-    def keep(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda rows: _greedy(list(rows), threshold))
 
-    per_page = blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("block", "confidence", "box"))).alias("blocks"))
-    kept = per_page.select("doc", "page", F.explode(keep("blocks")).alias("block"))
-    return blocks.join(kept, ["doc", "page", "block"], "left_semi")
+def suppress_duplicates(blocks: DataFrame, threshold: float = SAME_BLOCK) -> DataFrame:
+    """The blocks that greedy suppression keeps: by falling confidence, none that overlaps a kept one too much."""
+    per_page = by_page(blocks, "confidence", *[c for c in blocks.columns if c not in ("doc", "page", "block", "confidence")])
+    row = per_page.schema["rows"].dataType.elementType.simpleString()
+    # Rows come by number; the place of equal confidences follows it.
+    ranked = F.transform(F.array_sort(F.transform("rows", lambda r, i: F.struct((-r["confidence"]).alias("c"), i.alias("i"), r.alias("r")))), lambda x: x["r"])
+    kept = F.aggregate(ranked, F.array().cast(f"array<{row}>"), lambda acc, b: F.when(F.exists(acc, lambda k: iou(b["box"], k["box"]) > threshold), acc).otherwise(F.concat(acc, F.array(b))))
+    return per_page.select("doc", "page", F.inline(kept)).select(*blocks.columns)
 
 
 def cut_order(boxes: list[tuple[float, float, float, float]], columns: int = 1) -> list[int]:
@@ -114,27 +107,34 @@ def cut_order(boxes: list[tuple[float, float, float, float]], columns: int = 1)
     A box on a cut line counts once, and a cut that puts all boxes on one side is none, so the recursion ends.
     """
     slack = 15 if columns > 1 else 0
+    x0, y0, x1, y1 = zip(*boxes, strict=True) if boxes else ((),) * 4
 
     def vertical(group: list[int]) -> tuple[list[int], list[int], list[int]] | None:
-        left, right = min(boxes[i][0] for i in group), max(boxes[i][2] for i in group)
+        sides = [(x0[i], x1[i]) for i in group]
+        left, right = min(a for a, _ in sides), max(b for _, b in sides)
         margin = (right - left) * 0.15
-        for x in sorted({boxes[i][k] for i in group for k in (0, 2)}):
-            if not left + margin < x < right - margin or any(boxes[i][0] + slack < x < boxes[i][2] - slack for i in group):
-                continue
-            before = [i for i in group if boxes[i][2] <= x]
-            after = [i for i in group if boxes[i][0] >= x and boxes[i][2] > x]
-            if before and after:
-                return [i for i in group if i not in before and i not in after], before, after
+        for x in sorted({v for side in sides for v in side if left + margin < v < right - margin}):
+            for a, b in sides:
+                if a + slack < x < b - slack:
+                    break
+            else:
+                before = [i for i in group if x1[i] <= x]
+                after = [i for i in group if x0[i] >= x and x1[i] > x]
+                if before and after:
+                    cut = {*before, *after}
+                    return [i for i in group if i not in cut], before, after
         return None
 
     def horizontal(group: list[int]) -> tuple[list[int], list[int]] | None:
-        for y in sorted({boxes[i][k] for i in group for k in (1, 3)}):
-            if any(boxes[i][1] < y < boxes[i][3] for i in group):
-                continue
-            above = [i for i in group if boxes[i][3] <= y]
-            below = [i for i in group if i not in above]
-            if above and below:
-                return above, below
+        sides = [(y0[i], y1[i]) for i in group]
+        for y in sorted({v for side in sides for v in side}):
+            for a, b in sides:
+                if a < y < b:
+                    break
+            else:
+                above, below = [i for i in group if y1[i] <= y], [i for i in group if not y1[i] <= y]
+                if above and below:
+                    return above, below
         return None
 
     def read(group: list[int]) -> list[int]:
@@ -151,74 +151,94 @@ def cut_order(boxes: list[tuple[float, float, float, float]], columns: int = 1)
     return read(list(range(len(boxes))))
 
 
-def _reading_ranks(boxes: pd.Series, columns: pd.Series) -> pd.Series:
-    def ranks(page, n):
-        order = cut_order([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in page], int(n))
-        out = [0] * len(order)
-        for rank, i in enumerate(order):
-            out[i] = rank
-        return out
-
-    return pd.Series([ranks(p, n) for p, n in zip(boxes, columns, strict=True)])
+def _reading_ranks(pages: pa.Array, columns: pa.Array) -> pa.Array:
+    offsets = pages.offsets.to_numpy()
+    ends = (offsets - offsets[0]).tolist()
+    flat = list(zip(*[x.to_pylist() for x in pages.flatten().flatten()], strict=True))
+    ranks = np.zeros(len(flat), np.int32)
+    for start, end, n in zip(ends, ends[1:], columns.to_pylist(), strict=False):
+        if end - start > 1:
+            for rank, i in enumerate(cut_order(flat[start:end], n)):
+                ranks[start + i] = rank
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranks))
 
 
 def reading_ranks(boxes: Column, columns: Column) -> Column:
-    """For each box of a page, its place in reading order, from 0."""
-    return F.pandas_udf(_reading_ranks, "array<int>")(boxes, columns)
+    """For each box of a page, its place in reading order, from 0; no page is null."""
+    return F.arrow_udf(_reading_ranks, "array<int>")(boxes, columns.cast("int"))
 
 
 def reading_order(blocks: DataFrame, columns: Column | None = None) -> DataFrame:
     """``blocks`` (doc, page, block, box) with ``rank``, the place in reading order."""
-    per_page = blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("block", "box"))).alias("rows"))
-    ranks = reading_ranks(F.transform("rows", lambda r: r["box"]), columns if columns is not None else F.lit(1))
-    flat = per_page.withColumn("ranks", ranks).select("doc", "page", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["block"]).alias("block"), F.col("ranks").alias("rank"))).alias("z"))
-    return blocks.join(flat.select("doc", "page", F.col("z.block").alias("block"), F.col("z.rank").alias("rank")), ["doc", "page", "block"])
+    others = [c for c in blocks.columns if c not in ("doc", "page", "block")]
+    ranked = by_page(blocks, *others).withColumn("ranks", reading_ranks(F.transform("rows", lambda r: r["box"]), columns if columns is not None else F.lit(1)))
+    flat = ranked.select("doc", "page", F.explode(F.arrays_zip("rows", "ranks")).alias("z"))
+    return flat.select("doc", "page", "z.rows.*", F.col("z.ranks").alias("rank"))
 
 
 def reconstruct(lines: DataFrame, blocks: DataFrame, columns: int = 1) -> DataFrame:
     """(doc, page, text): block texts and stray lines in the reading order of so many columns.
 
-    Footers, page labels in headers and the contents of pictures go; a fallback page is its lines.
+    Footers, page labels in headers and the contents of pictures go; a fallback page is its lines. Lines and blocks meet once, by page.
     """
     page = ["doc", "page"]
-    placed = lines.where(T.strip(F.col("text")) != "").join(assign_lines(lines, blocks), [*page, "line_no"])
-    rows = F.array_sort(F.collect_list(F.struct("line_no", T.strip(F.col("text")).alias("t"))))
-    of_block = placed.where("block is not null").groupBy(*page, "block").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("text"))
-    shown = ~F.col("label").isin(SKIP_LABELS) & ((F.col("label") == "PageHeader") & ~T.is_page_label(F.col("text")) | ~F.col("label").isin(STRUCTURAL_LABELS))
-    chunks = of_block.join(blocks, [*page, "block"]).where(shown).select(*page, F.col("block").cast("long").alias("block"), "box", "text")
-    # A stray line without a box, on a page without blocks, stands where its number puts it.
-    row = F.col("line_no").cast("double")
-    at_number = F.struct(F.lit(0.0).alias("x0"), row.alias("y0"), F.lit(1.0).alias("x1"), (row + 0.5).alias("y1"))
-    stray = placed.where("block is null").select(*page, (F.col("line_no") + 1_000_000).cast("long").alias("block"), F.coalesce("box", at_number).alias("box"), F.trim("text").alias("text"))
-    ordered = reading_order(chunks.unionByName(stray), F.lit(columns))
-    parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
-    return ordered.groupBy(*page).agg(T.strip(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n")).alias("text"))
+    said = lines.where(T.strip(F.col("text")) != "")
+    of_page = said.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line_no", T.strip(F.col("text")).alias("t"), "box", F.trim("text").alias("stray")))).alias("said"))
+    both = of_page.join(by_page(blocks, "box", "label").withColumnRenamed("rows", "blocks"), page, "left")
+    placed = F.transform("said", lambda s: F.struct(s.alias("line"), block_of(F.col("blocks"), s["box"]).alias("block")))
+
+    def chunk(b: Column, lines: Column) -> Column:
+        own = F.filter(lines, lambda s: s["block"] == b["block"])
+        text = F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda s: s["line"]["t"]), "\n"))
+        return T.let(text, lambda t: F.struct(b["block"].cast("long").alias("block"), b["box"].alias("box"), t.alias("text"), b["label"].alias("label")))
+
+    def shown(x: Column) -> Column:
+        return x["text"].isNotNull() & (~x["label"].isin([*SKIP_LABELS, *STRUCTURAL_LABELS]) | (x["label"] == "PageHeader") & ~T.is_page_label(x["text"]))
+
+    def stray(s: Column) -> Column:
+        # A stray line without a box, on a page without blocks, stands where its number puts it.
+        number, row = s["line"]["line_no"], s["line"]["line_no"].cast("double")
+        at_number = F.struct(F.lit(0.0).alias("x0"), row.alias("y0"), F.lit(1.0).alias("x1"), (row + 0.5).alias("y1"))
+        return F.struct((number + 1_000_000).cast("long").alias("block"), F.coalesce(s["line"]["box"], at_number).alias("box"), s["line"]["stray"].alias("text"))
+
+    def pieces(lines: Column) -> Column:
+        chunks = F.filter(F.transform(F.coalesce("blocks", F.array()), lambda b: chunk(b, lines)), shown)
+        bare = F.transform(chunks, lambda x: F.struct(x["block"].alias("block"), x["box"].alias("box"), x["text"].alias("text")))
+        return F.array_sort(F.concat(bare, F.transform(F.filter(lines, lambda s: s["block"].isNull()), stray)))
+
+    rows = both.select(*page, T.let(placed, pieces).alias("rows"))
+    ranked = rows.withColumn("ranks", reading_ranks(F.transform("rows", lambda r: r["box"]), F.lit(columns)))
+    parts = F.array_sort(F.transform(F.arrays_zip("ranks", "rows"), lambda z: F.struct(z["ranks"].alias("rank"), z["rows"]["text"].alias("text"))))
+    text = T.strip(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n"))
+    return ranked.select(*page, F.explode(F.when(F.size("rows") > 0, F.array(text))).alias("text"))  # a page of which nothing is shown is no row
 
 
 def page_accessors(blocks: DataFrame, columns: int = 1) -> DataFrame:
     """(doc, page, text_blocks, body_text, layout) of blocks (doc, page, block, label, box, confidence, width, height, text, fallback).
 
     text_blocks: the blocks that carry text, in reading order. body_text: their texts, blank ones left out, with a blank line between them and another
-    around a heading. layout: the whole page as JSON, all blocks by number, boxes rounded to pixels.
+    around a heading. layout: the whole page as JSON, all blocks by number, boxes rounded to pixels. Blocks meet once, by page.
     """
     page, text = ["doc", "page"], T.strip(F.coalesce("text", F.lit("")))
     heading, skipped = F.col("label").isin(HEADER_LABELS), F.col("label").isin(SKIP_LABELS)
-    ranks = reading_order(blocks.where(~skipped).select(*page, "block", "box"), F.lit(columns)).select(*page, "block", "rank")
     said = F.when(text != "", F.when(heading, F.concat(F.lit("\n"), text, F.lit("\n"))).otherwise(text))
     edges = F.array(*[F.bround(F.col("box")[e], 0).cast("long") for e in ("x0", "y0", "x1", "y1")])
     told = F.struct(
         F.col("block").alias("position"), "label", edges.alias("bbox"), F.bround("confidence", 4).alias("confidence"), heading.alias("is_header"), skipped.alias("is_skip"),
         F.coalesce("text", F.lit("")).alias("ocr_text"),
     )
-    placed = blocks.join(ranks, [*page, "block"], "left").select(*page, "width", "height", "fallback", "rank", "block", "label", said.alias("said"), told.alias("told"))
-    shown = F.when(F.col("rank").isNotNull(), F.struct("rank", "block", "label", "said"))
-    rows = placed.groupBy(*page).agg(
-        F.array_sort(F.collect_list(shown)).alias("shown"), F.array_sort(F.collect_list("told")).alias("blocks"), F.max("width").alias("width"), F.max("height").alias("height"),
+    rows = blocks.groupBy(*page).agg(
+        F.array_sort(F.collect_list(F.struct(told.alias("told"), "box", said.alias("said")))).alias("rows"), F.max("width").alias("width"), F.max("height").alias("height"),
         F.coalesce(F.bool_or("fallback"), F.lit(False)).alias("fallback"),
     )
+    shown = rows.withColumn("shown", F.filter("rows", lambda r: ~r["told"]["is_skip"]))
+    ranked = shown.withColumn("ranks", reading_ranks(F.transform("shown", lambda r: r["box"]), F.lit(columns)))
+    in_order = F.array_sort(F.transform(F.arrays_zip("ranks", "shown"), lambda z: F.struct(z["ranks"].alias("rank"), z["shown"]["told"].alias("told"), z["shown"]["said"].alias("said"))))
+    ranked = ranked.select(*page, "width", "height", "fallback", F.transform("rows", lambda r: r["told"]).alias("blocks"), in_order.alias("shown"))
     whole = F.to_json(F.struct(F.col("page").alias("page_num"), F.array("width", "height").alias("image_size"), "fallback", "blocks"))
     body = T.strip(F.array_join(F.array_compact(F.transform("shown", lambda b: b["said"])), "\n\n"))
-    return rows.select(*page, F.transform("shown", lambda b: F.struct(b["block"].alias("block"), b["label"].alias("label"))).alias("text_blocks"), body.alias("body_text"), whole.alias("layout"))
+    carried = F.transform("shown", lambda b: F.struct(b["told"]["position"].alias("block"), b["told"]["label"].alias("label")))
+    return ranked.select(*page, carried.alias("text_blocks"), body.alias("body_text"), whole.alias("layout"))
 
 
 def split_spreads(pages: DataFrame, ratio: float = 1.3) -> DataFrame:

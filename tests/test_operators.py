@@ -423,3 +423,22 @@ def test_appended_values_keep_their_place(spark):
     assert [(r.rank, r["at"], r.line) for r in corpus.append_distinct(known, new, "line", "at").orderBy("rank", "at").collect()] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c")]
     pages = spark.createDataFrame([(1, "x" * 60 + "\n" + "y" * 60), (2, "z" * 120)], "id int, text string")
     assert [r.line[0] for r in corpus.crawl_lines(pages, "id", "text", LATIN, most=2).orderBy("id", "line_no").collect()] == ["x", "y"]
+
+
+def test_rows_of_a_page_meet_once(spark):
+    """Suppression, reading order and accessors join nothing, reconstruction joins lines and blocks once; suppression needs no Python."""
+    box = "named_struct('x0', 0D, 'y0', 0D, 'x1', 9D, 'y1', 9D)"
+    blocks = spark.sql(f"SELECT 'd' doc, 1L page, 0 block, 'Text' label, {box} box, 0.5D confidence, 10 width, 10 height, 'a' text, false fallback")
+    said = spark.sql(f"SELECT 'd' doc, 1L page, 0 line_no, 'a' text, {box} box, 0.5D confidence")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    suppressed, ordered, told, whole = map(plan, (layout.suppress_duplicates(blocks), layout.reading_order(blocks), layout.page_accessors(blocks), layout.reconstruct(said, blocks)))
+    assert [p.count("Join ") for p in (suppressed, ordered, told, whole)] == [0, 0, 0, 1]
+    assert [p.count("EvalPython") for p in (suppressed, ordered, told, whole)] == [0, 1, 1, 1]
+
+
+def test_suppression_takes_equal_confidences_by_number(spark):
+    box = lambda x: {"x0": float(x), "y0": 0.0, "x1": x + 10.0, "y1": 10.0}
+    rows = [("d", 1, 3, 0.5, box(0)), ("d", 1, 1, 0.5, box(1)), ("d", 1, 2, 0.9, box(30)), ("d", 1, 0, 0.1, box(31)), ("d", 1, 4, 0.2, box(5)), ("d", 2, 0, 0.1, box(0))]
+    got = layout.suppress_duplicates(spark.createDataFrame(rows, f"doc string, page long, block int, confidence double, box {layout.BOX}"))
+    assert {(r.page, r.block) for r in got.collect()} == {(1, 1), (1, 2), (1, 4), (2, 0)}
+    assert got.columns == ["doc", "page", "block", "confidence", "box"]
