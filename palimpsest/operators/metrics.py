@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import nfc
+from ..functions.udfs import edits, nfc
 
 
 def char_error_rate(predicted: Column, reference: Column) -> Column:
-    return F.when(F.char_length(reference) > 0, F.levenshtein(predicted, reference) / F.char_length(reference))
+    return F.when(F.char_length(reference) > 0, edits(predicted, reference) / F.char_length(reference))
 
 
 def word_error_rate(predicted: Column, reference: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.udfs import edits as edits_of
 from ..functions.scripts import TAMIL, ScriptProfile
 from .sampling import take, train_val_split
 
@@ -23,7 +24,7 @@ def stats(pairs: DataFrame, *order: str, edits_of_first: int | None = None) -> D
         F.round(100 * F.count_if(has_tag) / F.count("*"), 1).alias("tagged_pct"),
     )
     edited = pairs if edits_of_first is None else pairs.orderBy(*order).limit(edits_of_first)
-    edits = edited.agg(F.round(F.avg(F.levenshtein(T.strip_leak_tags(F.col("input")), F.col("target"))), 1).alias("avg_edits"))
+    edits = edited.agg(F.round(F.avg(edits_of(T.strip_leak_tags(F.col("input")), F.col("target"))), 1).alias("avg_edits"))
     return whole.crossJoin(edits)  # one row each
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udfs
 from ..functions.scripts import LATIN
 from ..operators import images, lines, metrics, noise, pairs, sampling, shaping
 from . import sql as S
@@ -199,7 +200,7 @@ def resume_anti(spark, sf_dir):
 )
 def edit_distance(spark, sf_dir):
     a, b = T.replace(c("input"), _ASCII), T.replace(c("target"), _ASCII)
-    return simple_pairs(spark, sf_dir).select("key", F.levenshtein(a, b).alias("edits"), T.edits_at_least(a, b, 2).alias("enough"))
+    return simple_pairs(spark, sf_dir).select("key", udfs.edits(a, b).alias("edits"), T.edits_at_least(a, b, 2).alias("enough"))
 
 
 @query()

@@ -442,3 +442,15 @@ def test_suppression_takes_equal_confidences_by_number(spark):
     got = layout.suppress_duplicates(spark.createDataFrame(rows, f"doc string, page long, block int, confidence double, box {layout.BOX}"))
     assert {(r.page, r.block) for r in got.collect()} == {(1, 1), (1, 2), (1, 4), (2, 0)}
     assert got.columns == ["doc", "page", "block", "confidence", "box"]
+
+
+def test_edits_are_those_of_levenshtein(spark):
+    """Against Spark's own function, by which pairs were compared one by one before: ends of 64-bit words, empty, null and long texts."""
+    rng = random.Random(17)
+    draw = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(draw(rng.choice([0, 1, 63, 64, 65, 128, 129, 300]), "abé😀 க"), draw(rng.choice([0, 2, 64, 127, 400]), "abcé😀")) for _ in range(120)]
+    rows += [(a, a[:7] + "x" + a[9:]) for a, _ in rows] + [(None, "a"), ("a", None), (None, None), ("", ""), ("ab" * 1500, "ba" * 10)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    edits = udfs.edits(F.col("a"), F.col("b"))
+    assert df.where(~edits.eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+    assert "ArrowEvalPython" in df.select(edits)._jdf.queryExecution().executedPlan().toString()
