@@ -693,3 +693,25 @@ def test_quality_against_brute_force(spark):
     for r in got:
         assert r.score == pytest.approx(want[7 if r.doc_id is None else r.doc_id], abs=0.02) and r.predicted == int(r.score >= quality.THRESHOLD)
     assert len({r.score for r in got if r.doc_id == 5}) == 1
+
+
+def test_passages_are_looked_for_where_none_is_yet():
+    """Shared words outside of passages, too few for one, do not bring back passages that both sides know already."""
+    line, rest = [f"w{i}" for i in range(80)], [f"line{i}" for i in range(12)]
+    foreign = lambda side: [f"{side}{i}" for i in range(20)]
+    one, two = (passages.Tokens(passages.tokens_of(" ".join(line[:40] + [f"odd{side}"] + line[41:] + foreign(side) + rest))) for side in "ab")
+    whole = [(0, 0, len(one.values) - 1)]
+    assert passages.stretches(one, two, whole)
+    known = np.arange(len(one.values)) >= 100  # only the line of 12 words lies in no passage
+    assert passages.stretches(one, two, whole, (known, known)) == []
+    known[:5] = True
+    assert [s for s, *_ in passages.stretches(one, two, whole, (known, known))] == [0]
+
+
+def test_pairs_are_grouped_with_their_widest_ranges():
+    rows = [(1, 2, 3, 0, 10, 80, 1), (1, 2, 3, 1, 10, 70, 1), (1, 2, 3, 2, 12, 80, 0), (1, 2, 3, 4, 60, 99, 1), (1, 2, -4, 4, 12, 60, 1), (1, 3, 0, 0, 0, 50, 1), (1, 3, 0, 1, 0, 50, 1), (4, 1, 0, 0, 0, 50, 1), (4, 1, 0, 1, 0, 50, 1), (4, 1, 0, 5, 0, 50, 1)]
+    types = [pa.int64()] * 2 + [pa.int32()] * 5
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=passages.PAIR_NAMES)
+    for size in (1, 3, 100):
+        got = pa.Table.from_batches(list(passages._grouped(iter(table.to_batches(size)), False))).to_pylist()
+        assert [(r["a"], r["b"], r["late"], [tuple(x.values()) for x in r["ranges"]]) for r in got] == [(1, 2, False, [(-4, 12, 60), (3, 10, 80), (3, 60, 99)]), (4, 1, True, [(0, 0, 50)])]
