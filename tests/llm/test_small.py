@@ -695,6 +695,36 @@ def test_quality_against_brute_force(spark):
     assert len({r.score for r in got if r.doc_id == 5}) == 1
 
 
+def test_ranges_of_a_batch_are_those_of_its_rows():
+    """Covered ranges, long passages and what they leave, of all rows of a batch at once, against loops over each row."""
+    rng = random.Random(11)
+    raws = [b"", *("".join(rng.choice("ab  \t\n\x0bc") for _ in range(rng.randint(300, 1500))).encode() for _ in range(40)), b"", b"x" * 900]
+    runs = [sorted({(s, s + rng.randint(0, 60)) for s in (rng.randrange(len(r) - 170) for _ in range(rng.randint(0, 5)))}) if len(r) > 170 else [] for r in raws]
+    runs[-1] = [(0, 799), (799, 799), (100, 300)]
+
+    def merged(runs, gap):
+        out = []
+        for first, last in sorted(runs):
+            if out and first <= out[-1][1] + gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last))
+            else:
+                out.append((first, last))
+        return out
+
+    column = pa.array([None if not r and k % 2 else [{"first": s, "last": e} for s, e in r] for k, r in enumerate(runs)], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    body, offs = arrowtext.column_bytes(pa.array(raws, pa.binary()))
+    rows = lambda table: [[(s, e) for k, s, e in zip(*(x.tolist() for x in table), strict=True) if k == row] for row in range(len(raws))]
+    cut = suffixes.covered(*suffixes._starts(column), 101)
+    want = [[(s, e + 101) for s, e in merged(r, 101)] for r in runs]
+    assert rows(cut) == want
+    left = [bytes(b for i, b in enumerate(raw) if not any(s <= i < e for s, e in spans)) for raw, spans in zip(raws, want, strict=True)]
+    assert suffixes._kept(body, offs, *cut).to_pylist() == left
+    long = suffixes.long_passages(body, offs, *suffixes._starts(column), 101)
+    assert rows(long) == [[(s, e) for s, e in merged(r, 1) if e + 101 - s >= 400 or len(raw[s : e + 101].split()) > 50] for raw, r in zip(raws, runs, strict=True)]
+    assert 0 < len(long[0]) < sum(len(merged(r, 1)) for r in runs)
+    assert suffixes.covered(*suffixes._starts(column.slice(0, 0)))[0].tolist() == []
+
+
 def test_passages_are_looked_for_where_none_is_yet():
     """Shared words outside of passages, too few for one, do not bring back passages that both sides know already."""
     line, rest = [f"w{i}" for i in range(80)], [f"line{i}" for i in range(12)]
