@@ -745,3 +745,27 @@ def test_pairs_are_grouped_with_their_widest_ranges():
     for size in (1, 3, 100):
         got = pa.Table.from_batches(list(passages._grouped(iter(table.to_batches(size)), False))).to_pylist()
         assert [(r["a"], r["b"], r["late"], [tuple(x.values()) for x in r["ranges"]]) for r in got] == [(1, 2, False, [(-4, 12, 60), (3, 10, 80), (3, 60, 99)]), (4, 1, True, [(0, 0, 50)])]
+
+
+def test_shingles_that_stand_again_are_no_passage(monkeypatch):
+    """A word written 120 times is one shingle, so with other words that stand again around it no run needs comparing; what is a passage still is."""
+    again = lambda name: [f"{name}{k % 7}" for k in range(150)]
+    one, two = (passages.Tokens(passages.tokens_of(" ".join(again(side) + ["same"] * 120 + again(side)))) for side in "ab")
+    n, compared = len(one.values), []
+    diagonal = passages._diagonal
+    monkeypatch.setattr(passages, "_diagonal", lambda x, y, wanted: compared.append(len(x)) or diagonal(x, y, wanted))
+    assert passages.stretches(one, two, [(130, 0, n - 131)]) == [] and not compared
+    assert passages.stretches(one, two, [(30, 0, n - 31)]) == [(150, 235, 180, 265)]  # the run of one shingle
+    rng = random.Random(5)
+    for _ in range(300):  # runs of few different shingles: whatever is similar lies in what is left to compare
+        x, y = (np.array([rng.randrange(1, 9) if rng.random() < 0.5 else rng.randrange(1, 60) for _ in range(rng.randrange(passages.SPAN, 90))], np.uint64) for _ in "ab")
+        m = min(len(x), len(y))
+        y = np.where(np.array([rng.random() < 0.8 for _ in range(m)]), x[:m], y[:m])
+        a, b = passages.Tokens(x[:m]), passages.Tokens(y)
+        in_b, in_a = a.common(b), b.common(a)
+        foreign = passages._distinct(a.before, ~in_b) + passages._distinct(b.before, ~in_a)
+        lo, hi = passages._able(0, in_b - 3 * (a.once & ~in_b).astype(int) - 3 * (b.once & ~in_a), *passages._shared_ones(a, in_b), foreign, np.ones(m, bool))
+        for s in range(m - passages.SPAN + 1):
+            for e in range(s + passages.SPAN, m + 1):
+                u, v = set(x[s:e].tolist()), set(y[s:e].tolist())
+                assert 100 * len(u & v) < passages.SIMILAR * len(u | v) or lo <= s and e - 1 <= hi
