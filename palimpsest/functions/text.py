@@ -89,6 +89,11 @@ def count_script(c: Column, p: ScriptProfile = TAMIL) -> Column:
     return F.char_length(replace(c, f"[^{p.letters}]")).cast("long")
 
 
+def has_letters(c: Column, least: int, p: ScriptProfile = TAMIL) -> Column:
+    """Whether ``count_script`` is ``least`` or more, without making the text anew: the search ends at that letter."""
+    return c.rlike(rf"^(?:[^{p.letters}]*+[{p.letters}]){{{least}}}")
+
+
 def count_latin(c: Column) -> Column:
     return F.char_length(replace(c, "[^A-Za-z]")).cast("long")
 

@@ -49,7 +49,7 @@ def clean_web(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
 
     def verdict(raw, tags, bare, marker, line):
         drops = [
-            ("foreign_heavy", T.ratio(_foreign_letters(marker, profile), marker) > 0.30), ("web_junk", T.is_web_junk(marker)), ("too_short", T.count_script(line, profile) < 15),
+            ("foreign_heavy", T.ratio(_foreign_letters(marker, profile), marker) > 0.30), ("web_junk", T.is_web_junk(marker)), ("too_short", ~T.has_letters(line, 15, profile)),
         ]
         return _verdict(line, drops, [("html_tags", tags != raw), ("bracket_english", bare != tags), ("list_marker", marker != bare)])
 
@@ -90,7 +90,7 @@ def clean_verse(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
     def verdict(stanza, lead, bare, line):
         drops = [
             ("no_stanza", stanza.isNull()), ("section_header", T.is_section_header(bare, profile)), ("chapter_end", T.is_chapter_end(bare, profile)), ("editorial", T.is_editorial(bare, profile)),
-            ("too_short", T.count_script(line, profile) < 10),
+            ("too_short", ~T.has_letters(line, 10, profile)),
         ]
         return _verdict(line, drops, [("leading_number", lead != stanza), ("trailing_number", bare != lead)])
 
@@ -106,7 +106,7 @@ def clean_print(lines: DataFrame, profile: ScriptProfile = TAMIL) -> DataFrame:
 
     def verdict(raw, mark, line):
         heading = T.is_page_number(raw) | T.is_short_header(raw)
-        drops = [("page_number", T.is_page_number(raw)), ("header", heading), ("too_short", T.count_script(line, profile) < 15)]
+        drops = [("page_number", T.is_page_number(raw)), ("header", heading), ("too_short", ~T.has_letters(line, 15, profile))]
         return _verdict(line, drops, [("footnote", (mark != raw) & ~heading)])
 
     return _judged(lines, _bound(F.col("line"), [lambda c: c, T.strip_footnote, _collapsed], verdict))
@@ -194,15 +194,15 @@ def sentences(docs: DataFrame, key: str = "doc_id", profile: ScriptProfile = TAM
 
 def page_text(extract: Column, wikitext: Column, profile: ScriptProfile = TAMIL) -> Column:
     """The plain extract if it holds 100 script characters, else the stripped wikitext."""
-    return F.when(T.count_script(F.coalesce(extract, F.lit("")), profile) >= 100, extract).otherwise(T.strip_wikitext(wikitext))
+    return F.when(T.has_letters(F.coalesce(extract, F.lit("")), 100, profile), extract).otherwise(T.strip_wikitext(wikitext))
 
 
 def crawl_lines(pages: DataFrame, key: str, text: str, profile: ScriptProfile = TAMIL, seen: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Lines of pages with 100 script characters, cleaned, with 10 of their own, each once; pages in ``seen`` are left out, lines beyond ``most`` in order too."""
     fresh = pages if seen is None else pages.join(seen.select(key), key, "left_anti")
-    kept = fresh.where(T.count_script(F.col(text), profile) >= 100)
+    kept = fresh.where(T.has_letters(F.col(text), 100, profile))
     cleaned = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), T.clean_crawled_line(x).alias("line")))
-    lines = kept.select(key, F.inline(F.filter(cleaned, lambda s: T.count_script(s["line"], profile) >= 10)))
+    lines = kept.select(key, F.inline(F.filter(cleaned, lambda s: T.has_letters(s["line"], 10, profile))))
     first = keep_first(lines, "line", key, "line_no")
     return first if most is None else first_rows(first, most, key, "line_no")
 

@@ -454,3 +454,15 @@ def test_edits_are_those_of_levenshtein(spark):
     edits = udfs.edits(F.col("a"), F.col("b"))
     assert df.where(~edits.eqNullSafe(F.levenshtein("a", "b"))).count() == 0
     assert "ArrowEvalPython" in df.select(edits)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_lines_are_told_by_their_first_letters(spark):
+    """Whether a line has 15 letters is the same as by counting them all, and the cleaners make no line anew to tell."""
+    lines = [None, "", "a" * 14, "a" * 15, " 1.".join("abcdefghijklmn"), " é\n".join("abcdefg") + "ÿ", "😀".join("abcdefghijklmno"), "é" * 15, "1" * 5000, "x" + "- " * 3000 + "y" * 14, "அ" * 20]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no int, line string")
+    for profile in (LATIN, TAMIL):
+        got = df.select(T.has_letters(F.col("line"), 15, profile).alias("some"), (T.count_script(F.col("line"), profile) >= 15).alias("all")).collect()
+        assert [r.some for r in got] == [r["all"] for r in got] and {True, False, None} == {r.some for r in got}
+        for clean in (corpus.clean_print, corpus.clean_web, corpus.clean_verse):
+            plan = clean(df, profile)._jdf.queryExecution().optimizedPlan().toString()
+            assert f"[^{profile.letters}], " not in plan
