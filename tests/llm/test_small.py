@@ -769,3 +769,89 @@ def test_shingles_that_stand_again_are_no_passage(monkeypatch):
             for e in range(s + passages.SPAN, m + 1):
                 u, v = set(x[s:e].tolist()), set(y[s:e].tolist())
                 assert 100 * len(u & v) < passages.SIMILAR * len(u | v) or lo <= s and e - 1 <= hi
+
+
+def test_windows_that_share_too_little_reach_no_cell(spark, monkeypatch):
+    """700 documents share a line of 20 words and nothing else, 54 of them a passage besides: cells get the windows of those only, and find them."""
+    rng = random.Random(8)
+    fresh = iter(range(10**9))
+    prose_of = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    line, around = prose_of(20), prose_of(50)
+    rows = [(d, " ".join([*prose_of(rng.randrange(40, 60)), *(around[:25] if d % 13 == 5 else []), *line, *(around[25:] if d % 13 == 5 else []), *prose_of(rng.randrange(40, 60))])) for d in range(700)]
+    placed, write = [], passages.materialize
+
+    def noted(df, tag):
+        out = write(df, tag)
+        if tag == "windows" and "windows" in out.columns:
+            placed.extend(r.doc for r in out.select("doc").collect())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", noted)
+    got = by_id(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    family = set(range(5, 700, 13))
+    assert set(got) == family and {r.group_id for r in got.values()} == {5}
+    assert all(any(p.end - p.first >= 70 for p in r.passages) for r in got.values())
+    assert placed and set(placed) <= family
+
+
+def test_shingles_are_counted_in_parts_of_a_group():
+    """For each window the shingles that other sequences of its group hold, its own others and those of other groups left out, however many parts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60, 140))) for _ in range(12)]
+    rows = []
+    for d, text in enumerate(texts):
+        n = len(text.split()) - 4
+        rows.append({"seq": d, "text": text, "windows": [{"key": d % 2, "deals": 3, "centre": 9, "first": k, "last": n - 1 - k} for k in (0, 3)]})
+    parts = pa.Table.from_batches(passages._dealt([pa.RecordBatch.from_pylist(rows)])).sort_by([(c, "ascending") for c in ("main", "i")])
+    got = {}
+    for r in pa.Table.from_batches(passages._by_cell(passages._elsewhere)(parts.to_batches(7))).to_pylist():
+        n, least = got.get((r["seq"], r["first"]), (0, r["least"]))
+        got[r["seq"], r["first"]] = n + r["n"], least
+    assert len(got) == 24
+    tokens = [passages.tokens_of(t) >> np.uint64(32) for t in texts]
+    for (d, k), (n, least) in got.items():
+        own = lambda e, k: tokens[e][k : len(tokens[e]) - k].tolist()
+        others = set().union(*(own(e, 0) for e in range(d % 2, 12, 2) if e != d))
+        assert n == len(set(own(d, k)) & others) and least == min(len(set(own(d, k)[s : s + passages.SPAN])) for s in range(len(own(d, k)) - passages.SPAN + 1))
+
+
+def test_ranges_of_many_pairs_are_looked_at_at_once(monkeypatch):
+    """What is looked at for many ranges, or windows, together is told as it is for each alone."""
+    monkeypatch.setattr(passages, "FIELD", 700)
+    rng = random.Random(10)
+    text = lambda: np.array([rng.randrange(1, 40) if rng.random() < 0.5 else rng.randrange(1, 4000) for _ in range(rng.randrange(60, 200))], np.uint64)
+    ones, others, every, ranges = [], [], [], []
+    for k in range(120):
+        x, y = text(), text()
+        n = min(len(x), len(y))
+        y[:n] = np.where(np.array([rng.random() < (0.97, 0.8, 0.5)[k % 3] for _ in range(n)]), x[:n], y[:n])
+        ones.append(passages.Tokens(x))
+        others.append(passages.Tokens(y))
+        for t in (ones[-1], others[-1]):
+            t.open[: rng.randrange(len(t.open))] = False
+        every.append(rng.random() < 0.3)
+        ranges += [(k, 0, lo, min(n, lo + rng.randrange(30, 90)) - 1) for lo in range(0, n - 30, 25)] + [(k, 3, 0, n - 5)]
+    table = np.array(ranges)
+    pair, whole = passages._whole_ranges(table[:, 0], table[:, 1:])
+    likely = passages._likely(ones, others, np.array(every), pair, whole)
+    assert 0 < likely.sum() < len(likely)
+    for k, (a, b) in enumerate(zip(ones, others, strict=True)):
+        known = None if every[k] else (a.open, b.open)
+        assert passages.stretches(a, b, table[table[:, 0] == k][:, 1:].tolist(), known) == passages.stretches(a, b, whole[likely & (pair == k)].tolist(), known)
+    # A cell whose first row meets all others, window by window.
+    size = [len(x.values) for x in others]
+    offs = np.concatenate(([0], np.cumsum(size)))
+    token = np.unique(np.concatenate([x.values for x in others]), return_inverse=True)[1]
+    order, at = np.lexsort((np.repeat(np.arange(120), size), token)), np.repeat(np.arange(120), size)
+    same = (token[order[1:]] == token[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+    before, after = np.full(len(token), -1), np.full(len(token), len(token))
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    open_, mark = np.concatenate([x.open for x in others]), np.zeros(token.max() + 1, bool)
+    token[offs[7] : offs[7] + 60] = token[:60]  # not all is foreign
+    x, y = np.zeros(119, np.int64) + 2, offs[1:120] + 1
+    lengths = np.array([min(size[0] - 2, n - 1) for n in size[1:]])
+    got = passages._hopeful(slice(0, offs[1]), x, y, lengths, np.array(every[1:]), token, before, after, open_, np.full(len(mark), -1))
+    for k in range(119):
+        sides = [slice(s, s + lengths[k]) for s in (x[k], y[k])]
+        one, other = (passages.Slice(token, before, after, s, mark) for s in sides)
+        assert got[k] != passages._hopeless(one, other, None if every[k + 1] else tuple(open_[s] for s in sides))
